@@ -30,6 +30,8 @@ from granary.llm._words import mixed, shingles_of, text_slices, words_of
 PERCENT, SIZE = 75, 5
 #: Frequent shingles that are broadcast to order prefixes by, at most; a list this long is dealt out in parts.
 FREQUENT, LONG_LIST = 1 << 18, 512
+#: Partners of a set that are compared in one group.
+PARTNERS = 256
 #: Positions in a block of an index list.
 BLOCK = 16
 
@@ -176,11 +178,19 @@ def _slot_batches(slots: DataFrame, bits: int) -> Iterator[np.ndarray]:
 
 
 def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """pairs (x, y) with n_x, n_y and both, the exact sizes of sets and intersection."""
-    chosen = pairs.select(F.explode(F.array("x", "y")).alias("fp"))
-    sets = written(_chosen_sets(docs, chosen).groupBy("fp").agg(F.first("s").alias("s")), f"sets-{name}")
-    left = pairs.join(sets.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x")
-    both = left.join(sets.select(F.col("fp").alias("y"), F.col("s").alias("sy")), "y")
+    """pairs (x, y) with n_x, n_y and both, the exact sizes of sets and intersection.
+
+    Sets are shuffled once by fingerprint. A set y with many partners is copied for every few hundred of them, so
+    that no task has them all.
+    """
+    pairs = written(pairs.select("x", "y"), f"pairs-{name}")
+    sets = _chosen_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("fp"))).groupBy("fp").agg(F.first("s").alias("s"))
+    copies = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), f"copies-{name}")
+    dealt = pairs.join(copies, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("copy"))
+    left = dealt.join(sets.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x")
+    right = sets.select(F.col("fp").alias("y"), F.col("s").alias("sy")).join(copies, "y")
+    right = right.select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    both = left.join(right, ["y", "copy"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +249,12 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
         block = F.expr(f"pos div {BLOCK} * {BLOCK}")
         open_block = df.withColumn("block", block).where(possible("n", "block", "leader.n", "leader.pos"))
         kept = open_block.where(possible("n", "pos", "leader.n", "leader.pos") & (F.col("fp") != F.col("leader.fp")))
-        return kept.select(F.least("fp", "leader.fp").alias("x"), F.greatest("fp", "leader.fp").alias("y")).distinct()
+        return kept.select(F.col("fp").alias("x"), F.col("leader.fp").alias("y")).distinct()
+
+    def unknown(pairs: DataFrame) -> DataFrame:
+        """Pairs not compared yet, in either order."""
+        seen = found.select("x", "y").union(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        return pairs.join(seen, ["x", "y"], "left_anti")
 
     first = written(_overlaps(texts, candidates(lists), "0"), "overlaps-0")
     found, links = first, first.where(linked())
@@ -251,7 +266,7 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
         spread = written(spread.where("lo <> hi"), f"spread-{turn}")
         open_lists = named.join(spread, "h").drop("lo", "hi", "leader").withColumnRenamed("lead", "leader")
         lists = written(open_lists.drop("label"), f"lists-{turn}")
-        fresh = candidates(lists).join(found.select("x", "y"), ["x", "y"], "left_anti")
+        fresh = unknown(candidates(lists))
         found = written(_overlaps(texts, fresh, str(turn)).union(found), f"overlaps-{turn}")
         links = found.where(linked())
     labels = components(links, "labels-last")
@@ -267,7 +282,7 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     open_pair = (F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & possible("n", "pos", "n_2", "pos_2")
     told_apart = F.coalesce(F.abs(F.col("likeness") - F.col("likeness_2")) > apart, F.lit(False))
     pairs = near.join(other, "h").where(open_pair & ~told_apart).select(F.col("fp").alias("x"), F.col("fp_2").alias("y")).distinct()
-    fresh = pairs.join(found.select("x", "y"), ["x", "y"], "left_anti")
+    fresh = unknown(pairs)
     found = written(_overlaps(texts, fresh, "last").union(found), "overlaps-last")
     documents = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("fp"))
     return documents, found.where(linked())
