@@ -1,6 +1,490 @@
-def queries():
-    return {}
+"""Queries over the driver's tables, one for each operator family, each with its SQL twin where SQL can express it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import numbers, rules, text, urls
+from granary.operators import gates, increments, publish, resolve, search, similarity, validate
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+STOPWORDS = "a an and are as at be by for from in into is it of on or that the their then this to until with".split()
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - {n} + 2, 1)), lambda i: array_to_string({0}[i:i + {n} - 1], ' ')))"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# text
+
+
+@_query(f"""WITH a AS (SELECT doc_id, unnest({_GRAMS.format("w", n=8)}) AS g FROM (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents)),
+b AS (SELECT item_id, g, min(pos) AS pos FROM (SELECT item_id, i AS pos, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, {_TOKENS.format("text")} AS w FROM benchmark), unnest(range(1, greatest(len(w) - 6, 1))) AS u(i)) GROUP BY item_id, g)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, arg_min(b.g, pos) AS first_phrase FROM a JOIN b ON a.g = b.g GROUP BY doc_id, item_id""")
+def copied_phrase(spark, sf_dir):
+    return similarity.copied_phrases(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
+@_query(f"SELECT doc_id, len({_TOKENS.format('text')})::BIGINT AS n_tokens FROM documents")
+def tokenize_count(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@_query(f"SELECT doc_id, len({_GRAMS.format('w', n=3)})::BIGINT AS n_trigrams FROM (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents)")
+def ngram_count(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(text.ngrams(text.tokens(F.col("text")), 3)).cast("long").alias("n_trigrams"))
+
+
+@_query(f"""SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS word FROM documents)
+WHERE length(word) >= 4 AND word NOT IN ({", ".join(f"'{w}'" for w in STOPWORDS)}) GROUP BY word ORDER BY n DESC, word LIMIT 25""")
+def word_frequency_top25(spark, sf_dir):
+    return similarity.top(similarity.word_counts(_t(spark, sf_dir, "documents"), "text", 4, STOPWORDS), "n", "word")
+
+
+_TURNS = "(SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS reply FROM conversations)"
+
+
+def _turns(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").withColumn("reply", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).where("reply IS NOT NULL")
+
+
+@_query(f"""SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({_TOKENS.format('text')}) AS word, {_TOKENS.format('reply')} AS f FROM {_TURNS} WHERE reply IS NOT NULL)
+WHERE length(word) >= 4 AND NOT list_contains(f, word) GROUP BY word""")
+def source_only_words(spark, sf_dir):
+    return similarity.removed_words(_turns(spark, sf_dir), "text", "reply")
+
+
+@_query(f"""SELECT conv_id, turn, CASE WHEN a > 0 THEN floor((b / a - 1) * 1000 + 0.5) / 10 ELSE 0.0 END::DOUBLE AS change_percent
+FROM (SELECT conv_id, turn, len({_TOKENS.format('text')})::DOUBLE AS a, len({_TOKENS.format('reply')})::DOUBLE AS b FROM {_TURNS} WHERE reply IS NOT NULL)""")
+def prose_change_pct(spark, sf_dir):
+    size = lambda c: F.size(text.tokens(F.col(c))).cast("double")
+    return _turns(spark, sf_dir).select("conv_id", "turn", similarity.change_percent(size("text"), size("reply")).alias("change_percent"))
+
+
+_SIM = f"""WITH t AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS x, {_TOKENS.format('reply')} AS y FROM {_TURNS} WHERE reply IS NOT NULL),
+g AS (SELECT conv_id, turn, {_GRAMS.format('x', n=3)} AS a, {_GRAMS.format('y', n=3)} AS b FROM t),
+s AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE floor(len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) * 1000 + 0.5) / 10 END::DOUBLE AS likeness FROM g)"""
+
+
+@_query(_SIM + " SELECT conv_id, turn, likeness FROM s")
+def jaccard_pairs(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", similarity.trigram_percent(F.col("text"), F.col("reply")).alias("likeness"))
+
+
+@_query(_SIM + " SELECT conv_id, turn, CASE WHEN likeness >= 50 THEN 'hold' WHEN likeness >= 20 THEN 'model' ELSE 'pass' END AS mode FROM s")
+def review_disposition(spark, sf_dir):
+    likeness = similarity.trigram_percent(F.col("text"), F.col("reply"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", rules.disposition(likeness, F.lit(0.0), F.lit(0), F.lit(False)).alias("mode"))
+
+
+@_query(f"""WITH t AS (SELECT conv_id, role, {_GRAMS.format('w', n=3)} AS g FROM (SELECT conv_id, role, {_TOKENS.format('text')} AS w FROM conversations)),
+p AS (SELECT a.conv_id, CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0 ELSE floor(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(a.g || b.g)) * 1000 + 0.5) / 10 END AS s
+FROM t AS a JOIN t AS b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')
+SELECT c.conv_id, coalesce(max(s), 0.0)::DOUBLE AS max_step FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY c.conv_id""")
+def max_step_similarity(spark, sf_dir):
+    steps = lambda role: F.collect_list(F.when(F.col("role") == role, F.coalesce("text", F.lit(""))))
+    grouped = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(steps("user").alias("a"), steps("assistant").alias("b"))
+    return grouped.select("conv_id", similarity.max_step_percent(F.col("a"), F.col("b")).alias("max_step"))
+
+
+@_query(f"""WITH b AS (SELECT DISTINCT n_name AS term, lower(n_name) AS f FROM nation UNION SELECT DISTINCT word, word FROM (VALUES ('worthless'), ('the of'), ('by and')) AS v(word)),
+d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS t FROM documents)
+SELECT DISTINCT doc_id, term FROM d JOIN b ON contains(t, ' ' || f || ' ')""")
+def brand_terms(spark, sf_dir):
+    more = F.explode(F.array(F.lit("worthless"), F.lit("the of"), F.lit("by and"))).alias("term")
+    names = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("term"))
+    return similarity.terms_in(_t(spark, sf_dir, "documents"), "doc_id", "text", names.union(names.limit(1).select(more)))
+
+
+# addresses
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
+
+
+@_query(rf"""SELECT page_id, CASE WHEN q = '' THEN p ELSE p || '?' || q END AS canonical_url FROM (SELECT page_id, regexp_extract(b, '^[^?]*', 0) AS p,
+array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:utm_[^=]*|fbclid|gclid)(?:=|$)')),
+lambda x, i: {{'k': regexp_extract(x, '^[^=]*', 0), 'i': i, 'p': x}})), lambda s: s.p), '&') AS q FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages))""")
+def url_canonical(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
+
+
+@_query(rf"""SELECT page_id, CASE WHEN starts_with(r, '/') THEN s || '://' || h || r ELSE s || '://' || h || '/' || r END AS publish_url FROM (SELECT page_id, {_HOST} AS h,
+lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, regexp_extract(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://[^/?]*(.*)$', 1) AS r FROM pages)""")
+def url_publish_form(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.publishable(F.col("url")).alias("publish_url"))
+
+
+@_query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def hostname(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+
+
+@_query(f"SELECT host, count(*)::BIGINT AS n FROM (SELECT {_HOST} AS host FROM pages) GROUP BY host")
+def host_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"SELECT page_id, {_HOST} || ':' || substr(sha256(url), 1, 24) AS archive_id FROM pages")
+def archive_id(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", urls.archive_id(F.col("url")).alias("archive_id"))
+
+
+@_query()
+def link_extract(spark, sf_dir):
+    pages = _t(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(urls.links("html", "url")).alias("pos", "link"))
+
+
+@_query(rf"""SELECT page_id FROM pages WHERE contains(url, 'example') AND NOT contains(url, 'spam') AND (contains(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/en/')
+OR contains(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/fr/'))""")
+def allow_block_filter(spark, sf_dir):
+    url = F.col("url")
+    allowed = F.exists(F.array(F.lit("/en/"), F.lit("/fr/")), lambda a: F.contains(urls.path_of(url), a))
+    return _t(spark, sf_dir, "pages").where(F.contains(url, F.lit("example")) & ~F.contains(url, F.lit("spam")) & allowed).select("page_id")
+
+
+#: Robots rules of the query: pattern and whether it allows.
+_RULES = [("/", True), ("/*/1", False), ("/en/1*", True), ("/de", False)]
+
+
+@_query(r"""WITH r AS (SELECT * FROM (VALUES ('^/', 1, TRUE), ('^/.*/1', 4, FALSE), ('^/en/1.*', 6, TRUE), ('^/de', 3, FALSE)) AS v(p, n, ok)),
+t AS (SELECT page_id, CASE WHEN x = '' THEN '/' ELSE x END AS path FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS x FROM pages))
+SELECT page_id, coalesce(arg_max(ok, n * 2 + ok::INT), TRUE) AS allowed FROM t LEFT JOIN r ON regexp_matches(path, p) GROUP BY page_id""")
+def robots_decision(spark, sf_dir):
+    path = urls.path_of(F.col("url"))
+    hits = [F.when(F.rlike(path, urls.rule_pattern(F.lit(p))), F.struct(F.lit(len(p)).alias("n"), F.lit(ok).alias("ok"))) for p, ok in _RULES]
+    return _t(spark, sf_dir, "pages").select("page_id", F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["ok"], F.lit(True)).alias("allowed"))
+
+
+@_query()
+def plain_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.plain_text("html").alias("plain_text"))
+
+
+@_query("""SELECT p_partkey, p_name AS name, '{"@type":"Recipe","name":"' || p_name || '","size":' || p_size || '}' AS node FROM part""")
+def jsonld_extract(spark, sf_dir):
+    body = F.to_json(F.struct(F.lit("Recipe").alias("@type"), F.col("p_name").alias("name"), F.col("p_size").alias("size")))
+    html = F.concat(F.lit('<p>x</p><script type="application/ld+json">{"@graph":['), body, F.lit(']}</script><script type="application/ld+json">broken</script>'))
+    nodes = _t(spark, sf_dir, "part").select("p_partkey", F.explode(text.json_ld(html)).alias("found")).withColumn("node", text.canonical_json("found"))
+    return nodes.select("p_partkey", F.get_json_object("node", "$.name").alias("name"), "node")
+
+
+@_query("SELECT p_partkey, p_name AS name, 2::BIGINT AS n_lines FROM part")
+def microdata_extract(spark, sf_dir):
+    name = F.col("p_name")
+    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Recipe"><h1 itemprop="name">'), name, F.lit('</h1><li itemprop="recipeIngredient">1 cup '), name, F.lit('</li><li itemprop="recipeIngredient">salt</li><p itemprop="recipeInstructions">Mix.</p></div>'))
+    got = _t(spark, sf_dir, "part").select("p_partkey", text.microdata(html).alias("r"))
+    return got.select("p_partkey", F.get_json_object("r", "$.name[0]").alias("name"), F.json_array_length(F.get_json_object("r", "$.recipeIngredient")).cast("long").alias("n_lines"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# search and plans
+
+
+@_query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'a') AND p_size = 7")
+def facet_search(spark, sf_dir):
+    found = search.matches(" A ", [F.col("p_name"), F.col("p_brand"), F.col("p_type")], [(F.col("p_size").cast("string"), "7"), (F.col("p_brand"), "all")])
+    return _t(spark, sf_dir, "part").where(found).select("p_partkey")
+
+
+@_query("SELECT l_orderkey, l_linenumber, floor(l_quantity * 1.5 * 100 + 0.5) / 100 AS scaled FROM lineitem")
+def scale_quantity(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.scaled(F.col("l_quantity"), F.lit(1.5)).alias("scaled"))
+
+
+@_query("""SELECT user_id, event_id, first_at FROM (SELECT user_id, event_id, min(event_id) OVER (PARTITION BY user_id) AS first_at,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def union_last_wins(spark, sf_dir):
+    return search.last_wins(_t(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", "first_at")
+
+
+@_query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def first_wins(spark, sf_dir):
+    return search.first_wins(_t(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@_query("""SELECT o_orderkey, c_name, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS position
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def plan_join(spark, sf_dir):
+    joined = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return search.next_position(joined, "o_custkey", "o_orderkey").select("o_orderkey", "c_name", "position")
+
+
+# quantities and dates
+
+
+@_query("""SELECT p_partkey, p_name AS item, p_size || ' 1/2' AS quantity, 'cups' AS unit, 'chopped' AS preparation, FALSE AS optional FROM part""")
+def parse_quantity_line(spark, sf_dir):
+    line = F.concat(F.col("p_size").cast("string"), F.lit("½ cups "), F.col("p_name"), F.lit(", chopped"))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.parse_line(line).alias("r")).select("p_partkey", "r.item", "r.quantity", "r.unit", "r.preparation", "r.optional")
+
+
+@_query("SELECT p_partkey, (p_size * 60 + p_partkey % 60)::BIGINT AS minutes FROM part")
+def duration_iso(spark, sf_dir):
+    value = F.concat(F.lit("PT"), F.col("p_size").cast("string"), F.lit("H"), (F.col("p_partkey") % 60).cast("string"), F.lit("M"))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.iso_minutes(value).alias("minutes"))
+
+
+@_query("SELECT p_partkey, (p_size * 60 + p_partkey % 60)::BIGINT AS minutes FROM part")
+def duration_english(spark, sf_dir):
+    value = F.concat(F.col("p_size").cast("string"), F.lit(" hours "), (F.col("p_partkey") % 60).cast("string"), F.lit(" min"))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.english_minutes(value).alias("minutes"))
+
+
+@_query("SELECT p_partkey, p_size::DOUBLE AS low, (p_size + 2)::INT AS high FROM part")
+def yield_parse(spark, sf_dir):
+    value = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 2).cast("string"), F.lit(" servings"))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.yield_quantity(value).alias("low"), numbers.inferred_yield(value).alias("high"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tablespoon' WHEN 1 THEN 'pound' WHEN 2 THEN NULL ELSE 'Handful' END AS unit, p_size + 0.5::DOUBLE AS quantity FROM part")
+def normalize_unit(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, ("tbsp", "LBS", "unit", "Handful"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    value = F.concat(F.col("p_size").cast("string"), F.lit(" 1/2"))
+    return _t(spark, sf_dir, "part").select("p_partkey", numbers.normal_unit(raw).alias("unit"), numbers.quantity_value(value).alias("quantity"))
+
+
+@_query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2000-01-01')::INT AS age_days FROM orders")
+def date_age(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.lit("2000-01-01").cast("date"), numbers.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("age_days"))
+
+
+# rules
+
+
+_DISHES = ["Tomato Salad", "Lentil Soup with Bread", "Almond Cake", "Chicken casserole", "Wheat stew", "Egg wrap", "Plain Tofu", "Iced coffee"]
+_DISH_SQL = "([" + ", ".join(f"'{d}'" for d in _DISHES) + f"])[1 + p_partkey % {len(_DISHES)}]"
+
+
+def _dish():
+    """A title made of a key's remainder, for rule queries."""
+    return F.element_at(F.array(*map(F.lit, _DISHES)), (F.col("p_partkey") % len(_DISHES) + 1).cast("int"))
+
+
+@_query(f"SELECT p_partkey, CASE WHEN t LIKE '%Salad%' THEN 'salad' WHEN t LIKE '%Soup%' OR t LIKE '%stew%' THEN 'soup' WHEN t LIKE '%wrap%' THEN 'sandwich' WHEN t LIKE '%Cake%' THEN 'dessert' WHEN t LIKE '%coffee%' THEN 'drink' ELSE 'other' END AS meal_type FROM (SELECT p_partkey, {_DISH_SQL} AS t FROM part)")
+def meal_type(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", rules.meal_type(_dish()).alias("meal_type"))
+
+
+@_query(f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN t LIKE '%egg%' THEN 'eggs' END, CASE WHEN t LIKE '%almond%' THEN 'tree-nuts' END,
+CASE WHEN t LIKE '%bread%' OR t LIKE '%wheat%' THEN 'wheat' END, CASE WHEN t LIKE '%tofu%' THEN 'soy' END], lambda x: x IS NOT NULL), ',') AS allergens FROM (SELECT p_partkey, lower({_DISH_SQL}) AS t FROM part)""")
+def allergens_ordered(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.allergens(_dish()), ",").alias("allergens"))
+
+
+@_query(f"SELECT p_partkey, CASE WHEN t LIKE '%egg%' THEN 'nut-free,vegetarian' WHEN t LIKE '%almond%' THEN 'vegan,vegetarian' ELSE 'vegan,nut-free,vegetarian' END AS diets FROM (SELECT p_partkey, lower({_DISH_SQL}) AS t FROM part)")
+def diet_reconcile(spark, sf_dir):
+    diets = F.array(*map(F.lit, ("vegan", "nut-free", "vegetarian", "vegan")))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.reconciled_diets(diets, rules.allergens(_dish())), ",").alias("diets"))
+
+
+@_query(f"SELECT p_partkey, CASE WHEN t = 'Chicken casserole' AND p_size % 2 = 0 THEN 'meat or egg casserole directions must specify 165°F' ELSE '' END AS reasons FROM (SELECT p_partkey, p_size, {_DISH_SQL} AS t FROM part)")
+def safety_ladder(spark, sf_dir):
+    dish = _dish()
+    directions = F.when(F.col("p_size") % 2 == 0, F.lit("Bake until done.")).otherwise(F.lit("Bake to 165 degrees F."))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.food_safety(dish, directions, dish), "; ").alias("reasons"))
+
+
+@_query("""SELECT p_partkey, i - 1 AS pos, ([ 'preheat', 'add', 'bake' ])[i] AS action, ([0, 0, p_size * 60])[i]::BIGINT AS minutes, ([350, 0, 0])[i]::INT AS fahrenheit FROM part, unnest([1, 2, 3]) AS u(i)""")
+def clause_operations(spark, sf_dir):
+    line = F.concat(F.lit("Preheat oven to 350°F. Add salt; bake for "), F.col("p_size").cast("string"), F.lit(" hours"))
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(rules.clauses(F.array(line))).alias("pos", "c"))
+    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), rules.action(F.col("c")).alias("action"), rules.clause_minutes(F.col("c")).alias("minutes"), rules.clause_fahrenheit(F.col("c")).alias("fahrenheit"))
+
+
+@_query("""SELECT doc_id, quality, toxic, array_to_string(list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'low quality' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM labels""")
+def review_reasons(spark, sf_dir):
+    found = rules.all_matches([(F.col("toxic") == 1, "toxic"), (F.col("quality") == 0, "low quality")])
+    return _t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.array_join(found, "; ").alias("reasons"))
+
+
+# entity resolution
+
+
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@_query(f"""WITH i AS (SELECT {_KEY.format('p_name')} AS k, min(p_partkey) AS id FROM part GROUP BY 1)
+SELECT l_orderkey, l_linenumber, id FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN i ON i.k = {_KEY.format("upper(p_name) || '!'")}""")
+def alias_resolve(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    lines = _t(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.concat(F.upper("p_name"), F.lit("!")).alias("item"))
+    return resolve.resolved(lines, "item", resolve.alias_index(part, "p_partkey", ["p_name"])).select("l_orderkey", "l_linenumber", "id")
+
+
+@_query(f"SELECT key, count(DISTINCT id)::BIGINT AS n_ids FROM (SELECT p_partkey AS id, {_KEY.format('p_name')} AS key FROM part UNION SELECT p_partkey, {_KEY.format('p_brand')} FROM part) WHERE key <> '' GROUP BY key HAVING count(DISTINCT id) > 1")
+def ambiguous_alias(spark, sf_dir):
+    return resolve.ambiguous(resolve.alias_index(_t(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand"]))
+
+
+@_query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN substr(b, 1, 91) || '-' || substr(sha256(p_partkey::VARCHAR), 1, 8) ELSE b END AS minted_id FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS b FROM part)")
+def mint_ids(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").withColumn("base", text.slug(F.col("p_name")))
+    return resolve.minted_ids(rows, "p_partkey", "base", "p_partkey").select("p_partkey", "minted_id")
+
+
+@_query("SELECT p_name, count(*)::BIGINT AS n, min(p_partkey) AS first_id FROM part GROUP BY p_name HAVING count(*) > 1")
+def dup_title_ids(spark, sf_dir):
+    return resolve.duplicate_groups(_t(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+@_query("SELECT p_brand, n, min(p_type) AS p_type FROM (SELECT *, max(n) OVER (PARTITION BY p_brand) AS m FROM (SELECT p_brand, p_type, count(*)::BIGINT AS n FROM part GROUP BY ALL)) WHERE n = m GROUP BY p_brand, n")
+def mode_unit(spark, sf_dir):
+    return resolve.mode_of(_t(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+@_query("SELECT p_brand, count(DISTINCT p_name)::BIGINT AS n_names, count(*)::BIGINT AS n_rows FROM part GROUP BY p_brand")
+def key_groups(spark, sf_dir):
+    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_distinct("p_name").alias("n_names"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def fk_anti(spark, sf_dir):
+    rich = _t(spark, sf_dir, "customer").where("c_acctbal > 0")
+    return resolve.dangling(_t(spark, sf_dir, "orders"), "o_custkey", rich, "c_custkey").select("o_orderkey")
+
+
+@_query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slug(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+# gates
+
+
+@_query("""SELECT doc_id, source, toxic = 0 AND sum((toxic = 0)::INT) OVER (PARTITION BY source ORDER BY doc_id) <= 5 AS accepted FROM documents JOIN labels USING (doc_id)""")
+def host_quota(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "toxic")
+    return gates.within_quota(rows, "source", "doc_id", F.col("toxic") == 0, 5).select("doc_id", "source", "accepted")
+
+
+@_query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus <> 'F' THEN 'draft-only' END,
+CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-12-01') > 1000 THEN 'stale review' END], lambda x: x IS NOT NULL), '; ') AS issues FROM orders""")
+def rights_issues(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", F.lit("approved")).otherwise(F.lit("draft-only"))
+    found = gates.rights_issues(status, F.lit("licence"), F.lit("x"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(""), F.lit("1998-12-01").cast("date"), 1000)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "; ").alias("issues"))
+
+
+@_query()
+def concentration_fold(spark, sf_dir):
+    return gates.share_gate(_t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("nation")), "nation", "s_suppkey", 10.0, 20)
+
+
+@_query("SELECT event_type, count(*)::BIGINT AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share FROM events GROUP BY event_type")
+def status_rollup(spark, sf_dir):
+    counted = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("event_type", "n", text.percent(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+@_query("SELECT source, lang, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source, lang")
+def site_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# integrity
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
+def dup_ids(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_orderkey", "l_linenumber"))
+    return validate.repeats(rows, "l_partkey", "at").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@_query("SELECT conv_id, count(*)::BIGINT AS n, min(turn) AS low, max(turn) AS high FROM conversations GROUP BY conv_id HAVING min(turn) <> 1 OR max(turn) <> count(*) OR count(DISTINCT turn) <> count(*)")
+def step_contiguity(spark, sf_dir):
+    return validate.step_gaps(_t(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@_query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unlisted' ELSE 'different' END AS issue FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
+def manifest_full_outer(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    present = orders.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    return validate.manifest_issues(orders.where("o_orderkey % 3 <> 0"), present, "o_orderkey", "o_orderstatus")
+
+
+@_query("""SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 8 = 0""")
+def changed_only(spark, sf_dir):
+    staged = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    final = staged.where("doc_id % 4 = 0").withColumn("digest", F.when(F.col("doc_id") % 8 == 0, F.lit("old")).otherwise(F.col("digest")))
+    return validate.changed(staged, final, "doc_id", "digest")
+
+
+@_query("""SELECT 'low balance' AS category, c_custkey AS id FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'no orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def audit_long(spark, sf_dir):
+    customer = _t(spark, sf_dir, "customer")
+    low = customer.where("c_acctbal < 0").select(F.lit("low balance").alias("category"), F.col("c_custkey").alias("id"))
+    idle = resolve.dangling(customer, "c_custkey", _t(spark, sf_dir, "orders"), "o_custkey")
+    return low.union(idle.select(F.lit("no orders"), "c_custkey"))
+
+
+# publishing
+
+
+@_query("SELECT doc_id, sha256('{\"description\":\"' || doc_id || '\",\"instructions\":[\"' || source || '\"]}') AS text_hash FROM documents")
+def text_hash(spark, sf_dir):
+    body = F.to_json(F.struct(F.col("doc_id").cast("string").alias("description"), F.array("source").alias("instructions")))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(body, 256).alias("text_hash"))
+
+
+_PAGED = "SELECT *, row_number() OVER (ORDER BY k) AS position FROM (SELECT lpad(doc_id::VARCHAR, 9, '0') AS k, source FROM documents WHERE source IS NOT NULL)"
+
+
+@_query(f"""SELECT ceil(position / 250.0)::BIGINT AS page, min(k) AS first_id, max(k) AS last_id, count(*)::BIGINT AS n,
+sha256(string_agg(k || ' ' || source, chr(10) ORDER BY position) || chr(10)) AS page_hash FROM ({_PAGED}) GROUP BY 1""")
+def pages_manifest(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("k"), "source")
+    return publish.manifest(publish.paged(rows, "k", 250), "k", F.concat_ws(" ", "k", "source"))
+
+
+@_query("SELECT name, row_number() OVER (ORDER BY name) AS position FROM (SELECT DISTINCT n_name AS name FROM nation UNION SELECT chr(57344) UNION SELECT chr(65536) UNION SELECT 'A')")
+def codepoint_sort(spark, sf_dir):
+    names = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    more = names.limit(1).select(F.explode(F.array(F.lit("\ue000"), F.lit("\U00010000"), F.lit("A"))).alias("name"))
+    return publish.paged(names.union(more).distinct(), "name", 10).select("name", "position")
+
+
+# increments
+
+
+@_query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND event_id % 3 = 0)")
+def ledger_new_urls(spark, sf_dir):
+    events = _t(spark, sf_dir, "events")
+    lowest = events.agg(F.min("event_type").alias("event_type"))
+    return increments.unseen(events, "user_id", events.where("event_id % 3 = 0").join(lowest, "event_type")).select("event_id", "user_id")
+
+
+@_query("""WITH RECURSIVE l AS (SELECT c_nationkey % 25 AS src, (c_nationkey + 3) % 25 AS dst FROM customer UNION SELECT c_nationkey % 25, (c_nationkey * 2) % 25 FROM customer),
+r AS (SELECT 0 AS node, 0 AS level UNION SELECT dst, level + 1 FROM r JOIN l ON src = node WHERE level < 4) SELECT node, min(level) AS level FROM r GROUP BY node""")
+def frontier_levels(spark, sf_dir):
+    customer = _t(spark, sf_dir, "customer")
+    key = F.col("c_nationkey")
+    links = customer.select((key % 25).alias("src"), F.explode(F.array((key + 3) % 25, key * 2 % 25)).alias("dst")).distinct()
+    return increments.frontier(links.where("src = 0").select(F.col("src").alias("node")), links, 4)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
