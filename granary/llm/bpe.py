@@ -118,16 +118,14 @@ class Codec:
         whole, ends, starts = left + right, np.cumsum(self.lengths[x]), np.cumsum(self.lengths[y])
         reach = 8
         while True:
-            i, j = len(x) - reach, reach
-            while 0 < i and 0x80 <= left[ends[i - 1]] <= 0xBF:  # whole characters only
+            i, j = max(0, len(x) - reach), min(len(y), reach)
+            # a window starts and ends between whole characters, outside white space (its pieces depend on what
+            # follows it) and outside added tokens
+            while i > 0 and not self._open(whole, int(ends[i - 1])):
                 i -= 1
-            while j < len(y) and 0x80 <= right[starts[j - 1]] <= 0xBF:
+            while j < len(y) and not self._open(whole, len(left) + int(starts[j - 1])):
                 j += 1
-            lo, hi = (0 if i <= 0 else int(ends[i - 1])), (len(whole) if j >= len(y) else len(left) + int(starts[j - 1]))
-            i, j = max(i, 0), min(j, len(y))
-            if self.marks and lo and any(whole.find(m.encode(), max(0, lo - len(m.encode())), lo + len(m.encode())) >= 0 for m in self.added):
-                reach *= 2
-                continue
+            lo, hi = (int(ends[i - 1]) if i else 0), (len(left) + int(starts[j - 1]) if j < len(y) else len(whole))
             window = np.frombuffer(self.leaf(whole[lo:hi].decode("utf-8")), "<u4")
             same_left = lo == 0 or (len(window) > 1 and window[0] == x[i] and window[1] == x[i + 1])
             same_right = hi == len(whole) or (len(window) > 1 and window[-1] == y[j - 1] and window[-2] == y[j - 2])
@@ -135,6 +133,17 @@ class Codec:
                 return whole, np.concatenate([x[:i], window, y[j:]])
             reach *= 2
 
+    def _open(self, data: bytes, at: int) -> bool:
+        """Whether a window may start or end at a place of data."""
+        if 0x80 <= data[at] <= 0xBF:
+            return False
+        start = at - 1
+        while 0x80 <= data[start] <= 0xBF:
+            start -= 1
+        if data[start:at].decode("utf-8").isspace():
+            return False
+        return all(data.find(m.encode(), max(0, at - len(m.encode()) + 1), at + len(m.encode()) - 1) < 0 for m in self.added)
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
