@@ -88,7 +88,7 @@ def _profile(docs: DataFrame) -> DataFrame:
 
 
 def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """(h, part, fp, n, pos): the prefix of every distinct set; part deals a frequent shingle's list out."""
+    """(h, part, entry: pos, fp and n): the prefix of every distinct set; part deals a frequent shingle's list out."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks, parts = frequent.value
@@ -118,10 +118,11 @@ def _postings(docs: DataFrame, frequent) -> DataFrame:
                 k = len(prefix)
                 out.append((prefix.view(np.int64), part, np.full(k, fp), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
             if out:
-                columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "part", "fp", "n", "pos"])
+                h, part, fps, sizes, places = (pa.array(np.concatenate(c)) for c in zip(*out, strict=True))
+                entry = pa.StructArray.from_arrays([places, fps, sizes], ["pos", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([h, part, entry], ["h", "part", "entry"])
 
-    return docs.select("text").mapInArrow(post, "h long, part int, fp long, n int, pos int")
+    return docs.select("text").mapInArrow(post, "h long, part int, entry struct<pos: int, fp: long, n: int>")
 
 
 def possible(n: str, pos: str, m: str, at: str) -> Column:
@@ -239,10 +240,10 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     frequent = spark.sparkContext.broadcast((hashes[order], (len(order) - order).astype(np.int64), np.maximum(1, counts[order] // LONG_LIST).astype(np.int64)))
 
     in_list = Window.partitionBy("h", "part")
-    posted = _postings(texts, frequent)
-    entry = F.struct("pos", "fp", "n")
-    indexed = posted.withColumn("leader", F.min(entry).over(in_list)).withColumn("last", F.max("fp").over(in_list)).withColumn("least", F.min("fp").over(in_list))
-    lists = written(indexed.where("least <> last OR part > 0").drop("least", "last").distinct(), "lists")
+    # a set has one entry in a list; entries are shuffled as they are, as a window would add what it orders by
+    indexed = _postings(texts, frequent).withColumn("leader", F.min("entry").over(in_list)).withColumn("last", F.max("entry").over(in_list))
+    lists = indexed.where("leader <> last OR part > 0").select("h", "part", "entry.fp", "entry.n", "entry.pos", "leader")
+    lists = written(lists.distinct(), "lists")
 
     def candidates(df: DataFrame) -> DataFrame:
         """Pairs of (fp, n, pos) and leader; whole blocks of positions are skipped where their first can't do."""
