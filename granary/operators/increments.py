@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,26 @@ def frontier(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
             edge = edge.checkpoint()
         seen = seen.unionByName(edge)
     return seen
+
+
+def remaining(queue: DataFrame, key: str, records: DataFrame, version: str, retry_held: bool = False) -> DataFrame:
+    """Queue rows whose key has no completed record (key, status, version); records of another version don't count."""
+    open_again = ["failed", *(["needs-review", "publication-hold"] if retry_held else [])]
+    done = records.where(F.col("version").eqNullSafe(F.lit(version)) & ~F.coalesce("status", F.lit("")).isin(open_again))
+    return unseen(queue, key, done)
+
+
+def seed_pages(sites: DataFrame, site: str, seeds: str, template: str, start: str, end: str) -> DataFrame:
+    """(site, seed): each site's distinct seeds and, where it has a template, one address a page from start (1 at
+    least) to end (start at least)."""
+    first = F.greatest(F.lit(1), F.coalesce(start, F.lit(1)))
+    pages = F.transform(F.sequence(first, F.greatest(first, F.coalesce(end, first))), lambda i: F.replace(F.col(template), F.lit("{page}"), i.cast("string")))
+    known = F.filter(F.coalesce(seeds, F.array().cast("array<string>")), lambda s: s != "")
+    more = F.when(F.coalesce(template, F.lit("")) != "", pages).otherwise(F.array().cast("array<string>"))
+    return sites.select(site, F.explode(F.array_distinct(F.concat(known, more))).alias("seed"))
+
+
+def crawl_state(found: Column, wanted: Column, problems: Column, drained: Column) -> Column:
+    """exhausted or incomplete where sources ended with fewer new rows than wanted, else more."""
+    ended = F.coalesce(drained & (found < wanted), F.lit(False))
+    return F.when(ended & (F.coalesce(problems, F.lit(0)) == 0), F.lit("exhausted")).when(ended, F.lit("incomplete")).otherwise(F.lit("more"))

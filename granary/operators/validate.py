@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.rules import all_matches
+
 
 def repeats(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Second and later rows of a key."""
@@ -28,3 +30,16 @@ def changed(staged: DataFrame, final: DataFrame, key: str, digest: str) -> DataF
     """Staged rows that are not final yet, or with another digest."""
     known = final.select(key, F.col(digest).alias("_final"))
     return staged.join(known, key, "left").where(F.col("_final").isNull() | (F.col("_final") != F.col(digest))).drop("_final")
+
+
+def conflicts(staged: DataFrame, final: DataFrame, key: str) -> DataFrame:
+    """Keys on both sides whose shared columns differ in any value; nulls are equal to nulls."""
+    shared = [c for c in staged.columns if c in final.columns and c != key]
+    a, b = staged.select(key, F.struct(*shared).alias("_a")), final.select(key, F.struct(*shared).alias("_b"))
+    return a.join(b, key).where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key).distinct()
+
+
+def staleness(version: Column, wanted: str, source_hash: Column, source: Column, final_hash: Column, final: Column) -> Column:
+    """Why a staged row can't be used again: its version or either of its texts' digests changed."""
+    differs = lambda digest, text: ~F.coalesce(digest, F.lit("")).eqNullSafe(F.sha2(F.coalesce(text, F.lit("")), 256))
+    return all_matches([(~version.eqNullSafe(F.lit(wanted)), "version changed"), (differs(source_hash, source), "source changed"), (differs(final_hash, final), "text changed")])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions import numbers, rules, text, urls
+from granary.functions import numbers, produce, rules, text, urls
 from granary.operators import gates, increments, publish, resolve, search, similarity, validate
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -482,6 +482,79 @@ def frontier_levels(spark, sf_dir):
     return increments.frontier(links.where("src = 0").select(F.col("src").alias("node")), links, 4)
 
 
+# ingredients and queues
+
+
+_FOODS = ["roma tomato", "coconut milk", "cheddar cheese", "dried basil", "basil leaves", "bunch of thyme", "carrot", "egg", "olive oil", "paper towel"]
+_FOOD_SQL = "([" + ", ".join(f"'{d}'" for d in _FOODS) + f"])[1 + p_partkey % {len(_FOODS)}]"
+_KINDS_SQL = "(['produce', 'other', 'dairy', 'herb', 'herb', 'grain', 'produce', 'protein', 'oil', 'other'])[1 + p_partkey % 10]"
+_TIMES_SQL = "(['summer,fall', 'year-round', 'year-round', 'year-round', 'summer,fall', 'year-round', 'fall,winter', 'year-round', 'year-round', 'year-round'])[1 + p_partkey % 10]"
+
+
+def _food():
+    return F.element_at(F.array(*map(F.lit, _FOODS)), (F.col("p_partkey") % len(_FOODS) + 1).cast("int"))
+
+
+@_query(f"SELECT p_partkey, {_FOOD_SQL} AS food, {_KINDS_SQL} AS category, {_TIMES_SQL} AS seasons FROM part")
+def first_match_category(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select("p_partkey", _food().alias("food")).withColumn("category", produce.category(F.col("food")))
+    return rows.withColumn("seasons", F.array_join(produce.seasons(F.col("food"), F.col("category")), ","))
+
+
+@_query("SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'oven,skillet' ELSE 'saucepan,colander' END AS equipment FROM part")
+def all_match_flags(spark, sf_dir):
+    line = F.when(F.col("p_partkey") % 2 == 0, F.lit("Heat the Oven; brown in a large pan.")).otherwise(F.lit("Boil in a medium pot, then drain."))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(produce.equipment(line), ",").alias("equipment"))
+
+
+@_query("SELECT p_partkey, (['summer,fall', 'fall,winter', 'summer', 'year-round'])[1 + p_partkey % 4] AS seasons FROM part")
+def season_scores(spark, sf_dir):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    title = pick("tomato tart with carrot", "carrot soup", "summer plate", "plain toast")
+    lines = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, s)).alias("seasons")) for n, s in (("tomato", ("summer", "fall")), ("carrot", ("fall", "winter")), ("rice", ("year-round",)))])
+    used = F.filter(lines, lambda i: F.contains(title, i["name"]))
+    scores = produce.season_scores(title, F.get(F.split(title, " with "), F.lit(0)), used)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(produce.seasons_of_scores(scores), ",").alias("seasons"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') OR o_orderkey % 3 = 0")
+def queue_resume(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    status = F.when(F.col("o_orderstatus") == "O", F.lit("failed")).when(F.col("o_orderstatus") == "P", F.lit("needs-review")).otherwise(F.lit("ready"))
+    records = orders.select("o_orderkey", status.alias("status"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("2")).otherwise(F.lit("3")).alias("version"))
+    return increments.remaining(orders, "o_orderkey", records, "3", retry_held=True).select("o_orderkey")
+
+
+@_query("SELECT n_nationkey, 'https://x.example/' || n_name || '?p=' || i AS seed FROM nation, unnest(range(1, greatest(n_regionkey, 1) + 1)) AS u(i)")
+def seed_pages(spark, sf_dir):
+    first = F.concat(F.lit("https://x.example/"), F.col("n_name"), F.lit("?p=1"))
+    sites = _t(spark, sf_dir, "nation").select("n_nationkey", F.array(first).alias("seeds"), F.concat(F.lit("https://x.example/"), F.col("n_name"), F.lit("?p={page}")).alias("template"), F.lit(0).alias("low"), F.col("n_regionkey").cast("int").alias("high"))
+    return increments.seed_pages(sites, "n_nationkey", "seeds", "template", "low", "high")
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_nationkey >= 10 OR s_suppkey % 5 = 0 THEN 'more' WHEN s_suppkey % 2 = 0 THEN 'exhausted' ELSE 'incomplete' END AS state FROM supplier")
+def crawl_state(spark, sf_dir):
+    state = increments.crawl_state(F.col("s_nationkey"), F.lit(10), F.col("s_suppkey") % 2, F.col("s_suppkey") % 5 != 0)
+    return _t(spark, sf_dir, "supplier").select("s_suppkey", state.alias("state"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 OR (c_custkey % 9 = 0 AND c_mktsegment IS NOT NULL)")
+def deep_conflict(spark, sf_dir):
+    staged = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    segment = F.when(F.col("c_custkey") % 9 == 0, F.lit(None)).otherwise(F.col("c_mktsegment"))
+    balance = F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return validate.conflicts(staged, staged.select("c_custkey", segment.alias("c_mktsegment"), balance.alias("c_acctbal")), "c_custkey")
+
+
+@_query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'version changed' END, CASE WHEN doc_id % 3 = 0 THEN 'source changed' END], lambda x: x IS NOT NULL), '; ') AS issues FROM documents""")
+def stage_freshness(spark, sf_dir):
+    text_ = F.coalesce("text", F.lit(""))
+    kept = F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat(text_, F.lit("!"))).otherwise(text_), 256)
+    version = F.when(F.col("doc_id") % 5 == 0, F.lit("2")).otherwise(F.lit("3"))
+    issues = validate.staleness(version, "3", kept, F.col("text"), F.sha2("lang", 256), F.col("lang"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(issues, "; ").alias("issues"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
