@@ -2,7 +2,7 @@
 
 The writer gives every page a response record, or a revisit record where a later page has the same payload.
 Response bodies use chunked transfer coding; blocks above a size are cut into a first record and continuation
-records, which land in any archive. The reader parses archives one by one, groups segments by the identifier
+records, which may land in any archive. The reader parses archives one by one, groups segments by the identifier
 of their origin record, orders them by number, verifies that none is missing and that the total length is the
 stated one, and decodes the chunked framing.
 
@@ -106,11 +106,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
 
     Rows with payloads equal to another's, of ``least`` bytes or more, are revisits of the row with the largest
     page_id (of repeated ids, the last read). A null html is an empty payload, a null url leaves the target out,
-    a null page_id counts below all others. Other columns are ignored; without rows no record is written.
+    a null page_id counts below all others. Other columns are ignored; without rows no record is written. With a
+    number of archives, records (segments among them) are dealt out to so many; else each task writes an archive.
     """
     spark = pages.sparkSession
     small_batches(spark, 256)
-    archives = archives or int(spark.conf.get("spark.sql.shuffle.partitions"))
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.monotonically_increasing_id().alias("rid"))
     heads = written(rows.groupBy("sha1").agg(F.max(F.struct("page_id", "rid")).alias("head")), "heads")
@@ -136,7 +136,9 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
                     out += segments(fields, head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload), segment)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    made = joined.mapInArrow(build, "record binary").repartition(archives, F.xxhash64("record"))
+    made = joined.mapInArrow(build, "record binary")
+    if archives:
+        made = made.repartition(archives, F.xxhash64("record"))
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
 
 
@@ -145,22 +147,40 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives under path, reassembled: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, target_uri and payload (null for revisits, or without with_payload)."""
+    refers_to, target_uri and payload (null for revisits, or without with_payload).
+
+    A record without segments is decoded and verified where it is read; only segments are shuffled with their blocks.
+    """
+
+    def decoded(kind: str, digest: str, block: bytes, origin: str) -> tuple[bytes | None, int]:
+        """(payload, its size) of a whole block; raises if the digest is another."""
+        head, _, body = block.partition(CRLF + CRLF)
+        http = {k.lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
+        if kind == "revisit":
+            return None, int(http[b"content-length"])
+        payload = dechunked(body) if http.get(b"transfer-encoding") == b"chunked" else body
+        if payload_digest(payload) != digest.removeprefix("sha1:"):
+            raise ValueError(f"the payload of {origin} has another digest")
+        return payload, len(payload)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
                 out = []
                 for f, block in records(data.as_buffer().to_pybytes()):
-                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                    out.append({"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": int(number or 1), "total": total and int(total), "kind": f["warc-type"],
-                                "digest": f.get("warc-payload-digest"), "refers": f.get("warc-refers-to"), "uri": f.get("warc-target-uri"), "block": block})
+                    number, total, size = f.get("warc-segment-number"), f.get("warc-segment-total-length"), None
+                    origin = f.get("warc-segment-origin-id", f["warc-record-id"])
+                    if number is None:
+                        payload, size = decoded(f["warc-type"], f["warc-payload-digest"], block, origin)
+                        block = payload if with_payload else None
+                    out.append({"origin": origin, "number": int(number or 1), "total": total and int(total), "kind": f["warc-type"], "digest": f.get("warc-payload-digest"),
+                                "refers": f.get("warc-refers-to"), "uri": f.get("warc-target-uri"), "block": block, "size": size})
                 yield pa.RecordBatch.from_pylist(out, schema=part)
 
-    part = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("uri", pa.string()), ("block", pa.binary())])
+    part = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("refers", pa.string()), ("uri", pa.string()), ("block", pa.binary()), ("size", pa.int64())])
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    parts = found.mapInArrow(parse, "origin string, number int, total long, kind string, digest string, refers string, uri string, block binary")
-    grouped = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "digest", "refers", "uri", "block")).alias("parts"))
+    parts = found.mapInArrow(parse, "origin string, number int, total long, kind string, digest string, refers string, uri string, block binary, size long")
+    grouped = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "kind", "digest", "refers", "uri", "block", "size")).alias("parts"))
 
     def page_of(uri: str | None) -> int | None:
         name = uri and uri.split(":")[3]
@@ -171,16 +191,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             out = []
             for origin, got in zip(batch["origin"].to_pylist(), batch["parts"].to_pylist(), strict=True):
                 first = min(got, key=lambda p: p["number"])
-                head, _, body = assemble([(p["number"], p["total"], p["block"]) for p in got]).partition(CRLF + CRLF)
-                http = {k.lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
-                digest = first["digest"].removeprefix("sha1:")
-                if first["kind"] == "revisit":
-                    payload, size = None, int(http[b"content-length"])
+                if first["size"] is None:
+                    payload, size = decoded(first["kind"], first["digest"], assemble([(p["number"], p["total"], p["block"]) for p in got]), origin)
+                elif len(got) == 1:
+                    payload, size = first["block"], first["size"]
                 else:
-                    payload = dechunked(body) if http.get(b"transfer-encoding") == b"chunked" else body
-                    size = len(payload)
-                    if payload_digest(payload) != digest:
-                        raise ValueError(f"the payload of {origin} has another digest")
+                    raise ValueError(f"{origin} is repeated")
+                digest = first["digest"].removeprefix("sha1:")
                 out.append({"page_id": page_of(origin), "payload_bytes": size, "payload_digest": digest, "record_type": first["kind"], "refers_to": page_of(first["refers"]), "target_uri": first["uri"], "payload": payload if with_payload else None})
             yield pa.RecordBatch.from_pylist(out, schema=whole)
 
