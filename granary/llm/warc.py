@@ -6,13 +6,15 @@ records, which may land in any archive. The reader parses archives one by one, g
 of their origin record, orders them by number, verifies that none is missing and that the total length is the
 stated one, and decodes the chunked framing.
 
-Archives are uncompressed and written by Spark's own committing text writer (a record is bytes, its last line
-end comes from the writer), so they can live in any store and a lost executor leaves no half of an archive.
+Archives are compressed by gzip and written by Spark's own committing text writer (a record is bytes, its last
+line end comes from the writer), so they can live in any store and a lost executor leaves no half of an archive.
+The reader takes plain archives as well.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.llm._common import new_path, small_batches, written
 
 SEGMENT, CHUNK = 64 * 1024, 16 * 1024
-CRLF = b"\r\n"
+CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -139,7 +141,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
     made = joined.mapInArrow(build, "record binary")
     if archives:
         made = made.repartition(archives, F.xxhash64("record"))
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
@@ -165,9 +167,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch["content"]:
-                out = []
-                for f, block in records(data.as_buffer().to_pybytes()):
+            for content in batch["content"]:
+                out, data = [], content.as_buffer().to_pybytes()
+                for f, block in records(gzip.decompress(data) if data.startswith(GZIP) else data):
                     number, total, size = f.get("warc-segment-number"), f.get("warc-segment-total-length"), None
                     origin = f.get("warc-segment-origin-id", f["warc-record-id"])
                     if number is None:
