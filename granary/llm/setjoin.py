@@ -7,7 +7,8 @@ blocks of positions, where size and position can't leave enough overlap.
 Set relations: sets that are equal are one set. In every list, sets are first compared with the list's leader
 alone. What a leader's answers settle is derived, not computed again: sets linked to the same leader are linked
 through it, and by the triangle inequality of the Jaccard distance two sets can't be linked if their distances
-to the leader differ by more than a link allows. Only pairs that no leader settles are compared themselves.
+to the leader differ by more than a link allows. Only pairs that no leader settles are compared themselves, those
+that bitmaps of the sets' shingles can't rule out.
 
 So a group of n near copies costs n comparisons a list, and lists are joins on a key that Spark can split, never
 a group in one task. Components follow from links by label propagation with pointer jumping.
@@ -15,10 +16,11 @@ a group in one task. Components follow from links by label propagation with poin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,11 +53,32 @@ def _fingerprint(s: np.ndarray) -> np.ndarray:
     return np.array([a, b], dtype=np.uint64).view(np.int64)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """A set's size, then a bit for each of at least twice as many slots: whether a shingle falls in it."""
+    slots = 1 << max(6, (2 * len(s) - 1).bit_length())
+    used = np.zeros(slots, dtype=bool)
+    used[s & np.uint64(slots - 1)] = True
+    return np.int64(len(s)).tobytes() + np.packbits(used).tobytes()
+
+
+def _may_be_linked(a: bytes, b: bytes) -> bool:
+    """False only if two sets can't be linked: a slot that one alone uses holds a shingle that the other lacks."""
+    n, m = (int.from_bytes(v[:8], "little") for v in (a, b))
+    a, b = (np.frombuffer(v, np.uint8, offset=8) for v in (a, b))
+    while len(a) != len(b):  # a power of two of slots each, by low bits: halves of the longer one fall together
+        if len(a) > len(b):
+            a = a[: len(a) // 2] | a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * most >= PERCENT * (n + m - most)
+
+
 def _profile(docs: DataFrame) -> DataFrame:
-    """kind 0: a row's doc_id, size and fingerprint (a, b). kind 1: a shingle (a) that sets of a task share, with their number (n)."""
+    """kind 0: a row's doc_id, size, fingerprint (a, b) and sketch. kind 1: a shingle (a) that sets of a task share, with their number (n)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "a", "b"]
+        names = ["kind", "doc_id", "n", "a", "b", "sketch"]
         seen: set[int] = set()
         held, size = [], 0
 
@@ -63,17 +86,19 @@ def _profile(docs: DataFrame) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts > 1
             h = values[many].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), id_type), pa.array(counts[many]), pa.array(h), pa.nulls(len(h), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), id_type), pa.array(counts[many]), pa.array(h), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), pa.binary())], names)
 
         for batch in batches:
             n, marks = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
+            sketches = []
             for i, s in _sets(batch["text"]):
                 n[i], marks[i] = len(s), _fingerprint(s)
+                sketches.append(_sketch(s) if len(s) else None)
                 if len(s) and int(marks[i, 0]) not in seen:
                     seen.add(int(marks[i, 0]))
                     held.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch["doc_id"], pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch["doc_id"], pa.array(n), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(sketches, pa.binary())], names)
             if size > 1 << 23:
                 yield shared()
                 held, size = [], 0
@@ -84,7 +109,7 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
-    return docs.select("doc_id", "text").mapInArrow(profile, f"kind int, doc_id {kind.simpleString()}, n long, a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(profile, f"kind int, doc_id {kind.simpleString()}, n long, a long, b long, sketch binary")
 
 
 def _postings(docs: DataFrame, frequent) -> DataFrame:
@@ -134,13 +159,8 @@ def possible(n: str, pos: str, m: str, at: str) -> Column:
 
 def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(fp, s): the shingles, as bytes, of the sets with the fingerprints of chosen (fp)."""
-    context = docs.sparkSession.sparkContext
     bits = 23
-    slots = chosen.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot")).distinct()
-    table = np.zeros(1 << bits, dtype=bool)  # of fixed size; where it fills up, more sets are sent than needed
-    for batch in _slot_batches(slots, bits):
-        table |= batch
-    filled = context.broadcast(np.packbits(table))
+    filled = _filled(chosen, bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(filled.value).astype(bool)
@@ -162,6 +182,30 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return sent
 
 
+def _chosen_sketches(profile: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(fp, s): the sketches of the sets with the fingerprints of chosen (fp)."""
+    bits = 23
+    filled = _filled(chosen, bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(filled.value).astype(bool)
+        for batch in batches:
+            keep = wanted[batch["fp"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)]
+            yield batch.filter(pa.array(keep))
+
+    sketches = profile.where("kind = 0 AND n > 0").select(F.col("a").alias("fp"), F.col("sketch").alias("s"))
+    return sketches.mapInArrow(send, "fp long, s binary")
+
+
+def _filled(chosen: DataFrame, bits: int) -> Broadcast:
+    """A bitmap of the slots of the fingerprints of chosen (fp), of fixed size; where it fills up, more sets are sent than needed."""
+    slots = chosen.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot")).distinct()
+    table = np.zeros(1 << bits, dtype=bool)
+    for batch in _slot_batches(slots, bits):
+        table |= batch
+    return chosen.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+
 def _slot_batches(slots: DataFrame, bits: int) -> Iterator[np.ndarray]:
     """The slots in use as bitmaps, one a task, of fixed size."""
 
@@ -178,20 +222,25 @@ def _slot_batches(slots: DataFrame, bits: int) -> Iterator[np.ndarray]:
         yield np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """pairs (x, y) with n_x, n_y and both, the exact sizes of sets and intersection.
+def _side_by_side(pairs: DataFrame, chosen: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """pairs (x, y) with what chosen gives for either set (sx, sy).
 
     Sets are shuffled once by fingerprint. A set y with many partners is copied for every few hundred of them, so
     that no task has them all.
     """
     pairs = written(pairs.select("x", "y"), f"pairs-{name}")
-    sets = _chosen_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("fp"))).groupBy("fp").agg(F.first("s").alias("s"))
+    sets = chosen(pairs.select(F.explode(F.array("x", "y")).alias("fp"))).groupBy("fp").agg(F.first("s").alias("s"))
     copies = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), f"copies-{name}")
     dealt = pairs.join(copies, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("copy"))
     left = dealt.join(sets.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x")
     right = sets.select(F.col("fp").alias("y"), F.col("s").alias("sy")).join(copies, "y")
     right = right.select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    both = left.join(right, ["y", "copy"])
+    return left.join(right, ["y", "copy"]).select("x", "y", "sx", "sy")
+
+
+def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """pairs (x, y) with n_x, n_y and both, the exact sizes of sets and intersection."""
+    both = _side_by_side(pairs, lambda chosen: _chosen_sets(docs, chosen), name)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +253,19 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
             columns = [batch["x"], batch["y"], *(pa.array(v, pa.int64()) for v in (n, m, c))]
             yield pa.RecordBatch.from_arrays(columns, ["x", "y", "n_x", "n_y", "both"])
 
-    return both.select("x", "y", "sx", "sy").mapInArrow(overlap, "x long, y long, n_x long, n_y long, both long")
+    return both.mapInArrow(overlap, "x long, y long, n_x long, n_y long, both long")
+
+
+def _plausible(profile: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (x, y) that sketches don't rule out; all linked ones are among them."""
+    both = _side_by_side(pairs, lambda chosen: _chosen_sketches(profile, chosen), f"sketched-{name}")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_may_be_linked(a.as_py(), b.as_py()) for a, b in zip(batch["sx"], batch["sy"], strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(sift, "x long, y long")
 
 
 def linked(n: str = "n_x", m: str = "n_y", both: str = "both") -> Column:
@@ -283,7 +344,7 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     open_pair = (F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & possible("n", "pos", "n_2", "pos_2")
     told_apart = F.coalesce(F.abs(F.col("likeness") - F.col("likeness_2")) > apart, F.lit(False))
     pairs = near.join(other, "h").where(open_pair & ~told_apart).select(F.col("fp").alias("x"), F.col("fp_2").alias("y")).distinct()
-    fresh = unknown(pairs)
+    fresh = _plausible(profile, unknown(pairs), "last")
     found = written(_overlaps(texts, fresh, "last").union(found), "overlaps-last")
     documents = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("fp"))
     return documents, found.where(linked())

@@ -137,6 +137,22 @@ def test_warc_segments_come_back(spark, tmp_path):
         warc.assemble([(1, None, b"a"), (2, 3, b"b")])
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(5)
+    told_apart = 0
+    for _ in range(400):
+        pool = rng.integers(0, 2**64, size=int(rng.integers(1, 400)), dtype=np.uint64)
+        share = rng.uniform(0.3, 1)
+        x, y = (np.unique(pool[rng.random(len(pool)) < share]) for _ in range(2))
+        if len(x) and len(y):
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= 75 * (len(x) + len(y) - both)
+            kept = setjoin._may_be_linked(setjoin._sketch(x), setjoin._sketch(y))
+            assert kept or not linked
+            told_apart += not kept
+    assert told_apart > 100
+
+
 def test_near_copies_against_brute_force(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10_000)}" for _ in range(60)] for _ in range(6)]
