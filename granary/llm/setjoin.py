@@ -11,7 +11,7 @@ to the leader differ by more than a link allows. Only pairs that no leader settl
 that bitmaps of the sets' shingles can't rule out.
 
 So a group of n near copies costs n comparisons a list, and lists are joins on a key that Spark can split, never
-a group in one task. Components follow from links by label propagation with pointer jumping.
+a group in one task. Components follow from links by contraction to smallest neighbours.
 """
 
 from __future__ import annotations
@@ -273,18 +273,38 @@ def linked(n: str = "n_x", m: str = "n_y", both: str = "both") -> Column:
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
-    """(fp, label): for every set in links (x, y), the smallest set reachable from it."""
-    edges = written(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{name}-edges")
-    labels = written(edges.groupBy(F.col("x").alias("fp")).agg(F.min("y").alias("y")).select("fp", F.least("fp", "y").alias("label")), f"{name}-0")
-    for turn in range(1, 64):
-        near = edges.join(labels.select(F.col("fp").alias("y"), "label"), "y").groupBy(F.col("x").alias("fp")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "fp").select("fp", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("fp").alias("low"), F.col("label").alias("jumped"))
-        labels = written(low.join(jump, "low").select("fp", F.least("low", "jumped").alias("label"), (F.least("low", "jumped") < F.col("label")).alias("changed")), f"{name}-{turn}")
-        if not labels.where("changed").limit(1).count():
-            break
-        labels = labels.drop("changed")
-    return labels.select("fp", "label")
+    """(fp, label): for every set in links (x, y), the smallest set reachable from it.
+
+    Each round, every set with a smaller neighbour points to its smallest one, pointers are followed to their ends
+    by doubling, and links are drawn anew between the ends, until none is left. Of the sets that still have links
+    at least half go in any two rounds, whatever their order: an end of the second round was the smallest
+    neighbour of some set that went in the first.
+    """
+    edge = (F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+    edges = written(links.where("x <> y").select(*edge).distinct(), f"{name}-edges")
+    turns: list[DataFrame] = []
+    while not edges.isEmpty():
+        turn = f"{name}-{len(turns)}"
+        ends, moved, step = written(edges.groupBy(F.col("x").alias("fp")).agg(F.min("y").alias("label")), turn), True, 0
+        while moved:
+            ahead = ends.select(F.col("fp").alias("label"), F.col("label").alias("end"))
+            followed = ends.join(ahead, "label", "left").select("fp", F.coalesce("end", "label").alias("label"), F.col("end").isNotNull().alias("moved"))
+            followed, step = written(followed, f"{turn}-{step}"), step + 1
+            moved, ends = not followed.where("moved").isEmpty(), followed.drop("moved")
+        turns.append(ends)
+        drawn = edges.join(ends.select(F.col("fp").alias("x"), F.col("label").alias("end_x")), "x")
+        drawn = drawn.join(ends.select(F.col("fp").alias("y"), F.col("label").alias("end_y")), "y", "left")
+        drawn = drawn.select(F.col("end_x").alias("x"), F.coalesce("end_y", "y").alias("y")).where("x <> y")
+        edges = written(drawn.select(*edge).distinct(), f"{turn}-edges")
+    if not turns:
+        return edges.select(F.col("x").alias("fp"), F.col("y").alias("label"))
+    # ends of a round may go in later ones
+    labels = turns.pop()
+    while turns:
+        later = labels.select(F.col("fp").alias("label"), F.col("label").alias("end"))
+        earlier = turns.pop().join(later, "label", "left").select("fp", F.coalesce("end", "label").alias("label"))
+        labels = written(earlier.union(labels), f"{name}-{len(turns)}-all")
+    return labels.union(labels.select(F.col("label").alias("fp"), "label").distinct())
 
 
 def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:

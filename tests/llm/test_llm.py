@@ -186,6 +186,34 @@ def test_near_copies_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), find(i)) for i in texts}
 
 
+def test_a_long_chain_is_one_component(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(1_000, 9_000), 700)
+    # each text has 12 shingles and shares 11 with the next (11/13), 10 with the one after (10/14): a chain
+    chain = {ids[i]: " ".join(f"w{j}" for j in range(i, i + 16)) for i in range(400)}
+    chain |= {ids[i]: " ".join(f"v{j}" for j in range(i, i + 16)) for i in range(400, 700)}
+    got = setjoin.near_duplicates(spark.createDataFrame(list(chain.items()), "doc_id long, text string")).collect()
+    first, second = min(ids[:400]), min(ids[400:])
+    assert {r.doc_id: r.component_id for r in got} == {d: first if k < 400 else second for k, d in enumerate(ids)}
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "shuffled"])
+def test_components_of_paths_stars_and_rings(spark, order):
+    n = 600
+    names = list(range(n))
+    if order != "rising":
+        names = names[::-1] if order == "falling" else random.Random(6).sample(names, n)
+    path = [(i, i + 1) for i in range(299)]
+    star = [(300, i) for i in range(301, 400)]
+    ring = [(i, i + 1) for i in range(400, 599)] + [(599, 400)]
+    links = [(names[a], names[b]) for a, b in path + star + ring]
+    low = [min(names[a:b]) for a, b in ((0, 300), (300, 400), (400, 600))]
+    wanted = {names[i]: low[0] if i < 300 else low[1] if i < 400 else low[2] for i in range(n)}
+    got = setjoin.components(spark.createDataFrame(links, "x long, y long").repartition(4)).collect()
+    assert len(got) == n
+    assert {r.fp: r.label for r in got} == wanted
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 3000):
