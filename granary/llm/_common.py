@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def erased(df: DataFrame) -> None:
+    """Remove a table that written() gave, as soon as nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep an Arrow batch of texts to some MB, whatever the length of a text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

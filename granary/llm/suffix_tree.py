@@ -1,15 +1,17 @@
 """A probabilistic suffix tree over words.
 
-Symbols are the most frequent tokens, one class for all other words, the end of a text, and its start as a
-context. Contexts of growing length are counted over the whole training corpus, one pass a length. A context
-stays if it is frequent enough, its suffix stays, and a G test says that what follows it diverges from what
-follows its suffix. A state's next-symbol distribution is smoothed: the unseen part of its mass, a symbol's
-worth for each kind of symbol seen (Witten-Bell), goes by the suffix's distribution, and at the root by the
-base distribution. Scoring uses the longest suffix state of each place. A word of the class is divided among
-its words by the base distribution, so the model sums to one over all tokens.
-
-What is broadcast is bounded by parameters: the hot tokens (``hot``), and for each length the contexts (at most
-1 / ``context_share``) and their listed symbols (at most 1 / ``entry_share``). Counts of other words are joined.
+Symbols are all tokens of the training corpus, the end of a text, and its start as a context. Contexts of growing
+length are counted over the whole training corpus, one pass a length. A context stays if it is frequent enough, its
+suffix stays, and a G test says that what follows it diverges from what follows its suffix. A state's next-symbol
+distribution is smoothed: the unseen part of its mass, a symbol's worth for each kind of symbol seen (Witten-Bell),
+goes by the suffix's distribution, and at the root by the base distribution, in which all unknown tokens are one
+more kind. Scoring uses the longest suffix state of each place.
+
+Contexts and counts are tables that grow with the corpus; the least counts are fixed. As a symbol that a state does
+not list has the suffix's probability times a weight of the state, a place's log probability is that of the base
+plus a weight for each state on its way and a gain for each listed symbol. So a text is scored by sums over a
+table of (key, value), joined with the keys of its places. What is broadcast only saves shuffling: the hot tokens
+(``hot_size``) and hot values (``hot_values``), and bitmaps of fixed size that tell which keys can't be in a table.
 """
 
 from __future__ import annotations
@@ -18,18 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import small_batches, written
-from granary.llm._words import text_slices, words_of
+from granary.llm._common import erased, small_batches, written
+from granary.llm._words import mixed, text_slices, words_of
 
 END = np.uint64(0x5851F42D4C957F2D)
 #: Signed as Spark keeps it.
 END_LONG = int(END.astype(np.int64))
-SYMBOLS, HOT, DEPTH = 16_384, 1 << 18, 2
-CONTEXT_SHARE, ENTRY_SHARE, FEWEST = 1e-5, 5e-7, 8
+#: Start of a text, and the class of other words where ``symbols`` limits those told apart.
+START, OTHER = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+#: A context's weight has the context's key with these bits turned.
+WEIGHT = 0x6A09E667F3BCC909
+HOT, HOT_VALUES, DEPTH = 1 << 18, 1 << 20, 2
+#: A context is seen this often, a listed symbol after it that often, however large the corpus.
+FEWEST, LEAST = 8, 2
+#: Bits of a bitmap's slots.
+SLOTS = 25
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -51,7 +60,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 class Hot:
-    """The most frequent tokens with their counts; the first ``symbols`` of them are symbols of the tree."""
+    """The most frequent tokens with their counts; ``root`` has the base distribution of the first ``symbols`` of them."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, kinds: int, symbols: int):
         order = np.argsort(hashes)
@@ -74,7 +83,7 @@ class Hot:
 
 
 class Level:
-    """Retained contexts of one length with their totals, kinds and listed symbols, found by packed keys."""
+    """Retained contexts of one length with their totals, kinds and listed symbols, found by packed keys: the smoothing on arrays."""
 
     def __init__(self, contexts: np.ndarray, totals: np.ndarray, kinds: np.ndarray, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(contexts)
@@ -101,16 +110,58 @@ class Level:
         return out
 
 
-def _contexts(symbols: np.ndarray, cuts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to depth: (packed contexts, whether there is one) of all places. The start of a text is one symbol."""
-    place = np.arange(len(symbols)) - np.repeat(cuts[:-1], np.diff(cuts))
-    packed, base = np.zeros(len(symbols), dtype=np.int64), np.int64(1) << np.int64(20)
+def _grams(tokens: np.ndarray, cuts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each context length up to depth: (keys of contexts, of contexts with their next symbols, of the latter without
+    their first symbols) of the places that have one. A context reaches back to the start of a text at most, one symbol."""
+    place = np.arange(len(tokens)) - np.repeat(cuts[:-1], np.diff(cuts))
+    shorter = tokens
     for d in range(1, depth + 1):
-        before = np.ones(len(symbols), dtype=np.int64)
-        before[d:] = symbols[:-d] if d < len(symbols) else before[d:]
-        before = np.where(place >= d, before, 1)
-        packed = packed + before * base ** np.int64(d - 1)
-        yield packed, (place >= d - 1)
+        context = np.empty_like(shorter)
+        context[1:] = shorter[:-1]
+        if d == 1:
+            context[place == 0] = START
+        key = _key(context, shorter, d)
+        there = place >= d - 1
+        yield context[there], key[there], shorter[there]
+        shorter = key
+
+
+def _key(context: np.ndarray, sub: np.ndarray, depth: int) -> np.ndarray:
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + mixed(sub + np.uint64(depth)))
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(64 - SLOTS)
+
+
+def _bitmap(keys: DataFrame) -> Broadcast:
+    """A bitmap of the slots of keys (key), of fixed size; where it fills up, more is shuffled than needed."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, some = np.zeros(1 << SLOTS, dtype=bool), False
+        for batch in batches:
+            table[_slots(batch["key"].to_numpy().view(np.uint64))] = True
+            some |= batch.num_rows > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
+
+    table = np.zeros(1 << SLOTS >> 3, dtype=np.uint8)
+    for row in keys.select("key").coalesce(4).mapInArrow(pack, "bits binary").toLocalIterator():
+        table |= np.frombuffer(row["bits"], np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slots = _slots(keys)
+    return (table[slots >> np.uint64(3)] >> (np.uint64(7) - (slots & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _told_apart(tokens: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Tokens as symbols: all, or those in known (sorted) and one class of the others."""
+    if known is None:
+        return tokens
+    at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
+    return np.where(known[at] == tokens, tokens, OTHER) if len(known) else np.full(len(tokens), OTHER)
 
 
 def _emitted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -136,29 +187,57 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _grown(texts: DataFrame, hot, allowed, depth: int) -> DataFrame:
-    """(key, c): counts of (context of length depth, next symbol) over texts for the allowed contexts; key is context << 20 | symbol."""
+def _grown(texts: DataFrame, told: Broadcast, allowed: Broadcast, depth: int, least: int) -> DataFrame:
+    """(key, context, sub, c, kinds): counts of contexts of length depth, if allowed, with their next symbols; sub is
+    the key without the first symbol. Pairs seen less than least times are folded to rows without key and sub."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of, wanted = hot.value, allowed.value
+        known, wanted = told.value, allowed.value
         held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            context, key, sub = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, at, counts = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (context, sub)), pa.array(counts)], ["context", "sub", "c"])
+
         for batch in batches:
             for _, _, tokens, cuts in _tokens(batch["text"]):
-                at, is_hot = tokens_of.find(tokens)
-                symbols = np.where(is_hot, tokens_of.symbol[at], 0) if len(tokens_of.hashes) else np.zeros(len(tokens), np.int64)
-                for d, (contexts, there) in enumerate(_contexts(symbols, cuts, depth), 1):
-                    if d == depth and len(wanted):
-                        where = np.minimum(np.searchsorted(wanted, contexts), len(wanted) - 1)
-                        ok = there & (wanted[where] == contexts)
-                        held.append(contexts[ok] << np.int64(20) | symbols[ok])
-                        size += len(held[-1])
-                if size >= 1 << 23:
-                    yield _emitted(held)
+                for d, found in enumerate(_grams(_told_apart(tokens, known), cuts, depth), 1):
+                    if d == depth:
+                        ok = _in_bitmap(wanted, found[0])
+                        held.append(tuple(x[ok] for x in found))
+                        size += len(held[-1][0])
+                if size >= 1 << 22:
+                    yield counted()
                     held, size = [], 0
         if held:
-            yield _emitted(held)
+            yield counted()
 
-    return texts.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, size = ["key", "context", "sub", "c", "kinds"], [], 0
+
+        def folded() -> pa.RecordBatch:
+            context, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            context, at, kinds = np.unique(context, return_inverse=True, return_counts=True)
+            c = np.bincount(at, weights=c, minlength=len(context)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.array(context), pa.nulls(len(c), pa.int64()), pa.array(c), pa.array(kinds)], names)
+
+        for batch in batches:
+            context, sub, c = (batch[x].to_numpy() for x in ("context", "sub", "c"))
+            many = c >= least
+            key = _key(context[many].view(np.uint64), sub[many].view(np.uint64), depth).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, context[many], sub[many], c[many], np.ones(len(key), np.int64))], names)
+            held.append((context[~many], c[~many]))
+            size += len(held[-1][0])
+            if size >= 1 << 22:
+                yield folded()
+                held, size = [], 0
+        if held:
+            yield folded()
+
+    rows = texts.select("text").mapInArrow(count, "context long, sub long, c long")
+    rows = rows.groupBy("context", "sub").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(fold, "key long, context long, sub long, c long, kinds long")
 
 
 def _arrays(df: DataFrame) -> list[np.ndarray]:
@@ -166,82 +245,98 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [table[c].to_numpy() for c in table.column_names]
 
 
-class Model:
-    def __init__(self, hot: Hot, levels: list[Level]):
-        self.hot, self.levels = hot, levels
-
-    def log_scores(self, tokens: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability of each token's symbol, log10 base probability or 0, hot count, is hot)."""
-        at, is_hot = self.hot.find(tokens)
-        symbols = np.where(is_hot, self.hot.symbol[at], 0) if len(self.hot.hashes) else np.zeros(len(tokens), np.int64)
-        p = self.hot.root[symbols]
-        for (contexts, there), level in zip(_contexts(symbols, cuts, len(self.levels)), self.levels, strict=False):
-            p = np.where(there, level.refine(contexts, symbols, p), p)
-        return np.log10(p), np.where(is_hot, self.hot.log_base[at], 0.0) if len(self.hot.hashes) else np.zeros(len(tokens)), symbols, is_hot
+def _retained(grown: DataFrame, parents: DataFrame, fewest: int, least: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(states: context, n and weight; entries: key, p, c and gain) of the contexts that stay, from the suffixes' p by sub.
 
-
-def train(texts: DataFrame, symbols: int = SYMBOLS, hot_size: int = HOT, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, entry_share: float = ENTRY_SHARE) -> tuple[Model, DataFrame]:
-    """(model, table of all token counts) from a text column without nulls."""
+    The divergence test: 2 * sum c log(p / p of the suffix) against its mean plus three deviations under no divergence.
+    A pair that is seen often enough has its shorter one listed, so where the suffix doesn't stay there is no p.
+    """
+    listed = grown.where(F.col("key").isNotNull() & (F.col("c") >= least)).join(parents.select(F.col("key").alias("sub"), F.col("p").alias("parent")), "sub")
+    listed = written(listed.select("key", "context", "c", "parent"), f"listed-{name}")
+    totals = grown.groupBy("context").agg(F.sum("c").alias("n"), F.sum("kinds").alias("kinds")).where(F.col("n") >= fewest)
+    sums = listed.groupBy("context").agg(
+        F.sum("c").alias("held"), F.sum("parent").alias("mass"), F.count(F.lit(1)).alias("cells"), F.sum(2 * F.col("c") * F.log(F.col("c") / F.col("parent"))).alias("gain")
+    )
+    rest = F.col("n") - F.col("held")
+    of_rest = F.when(rest > 0, 2 * rest * F.log(F.greatest(rest, F.lit(1e-9)) / (F.col("n") * F.greatest(1 - F.col("mass"), F.lit(1e-9))))).otherwise(0.0)
+    gain = F.col("gain") - 2 * F.col("held") * F.log("n") + of_rest
+    tested = totals.join(sums, "context").where(gain > F.col("cells") + 3 * F.sqrt(2 * F.col("cells") + 1))
+    states = tested.select("context", "n", (F.col("n") + F.col("kinds")).alias("size"), ((rest + F.col("kinds")) / (F.col("n") + F.col("kinds"))).alias("weight"))
+    states = written(states, f"states-{name}")
+    p = F.col("c") / F.col("size") + F.col("weight") * F.col("parent")
+    entries = listed.join(states.drop("n"), "context").withColumn("p", p)
+    entries = written(entries.select("key", "p", "c", F.log10(F.col("p") / (F.col("weight") * F.col("parent"))).alias("gain")), f"entries-{name}")
+    erased(listed)
+    return states, entries
+
+
+def train(texts: DataFrame, symbols: int | None = None, hot_size: int = HOT, depth: int = DEPTH, fewest: int = FEWEST, least: int = LEAST) -> tuple[Hot, Broadcast, DataFrame, DataFrame]:
+    """(hot tokens, the symbols told apart, values, table of all token counts) from a text column without nulls.
+
+    values has key, value and c: for a context that stays its weight, for a symbol listed after it the gain above it,
+    both as log10, and how often it is met in the training texts. symbols: that many frequent tokens are told
+    apart only, all by default.
+    """
     context: SparkContext = texts.sparkSession.sparkContext
     counts = written(token_counts(texts), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top_keys, top_counts = _arrays(counts.orderBy(F.col("c").desc(), "key").limit(hot_size))
-    hot = Hot(top_keys.view(np.uint64), top_counts.astype(np.int64), int(total), int(kinds), symbols)
-    shared, levels = context.broadcast(hot), []
-    fewest, least = max(FEWEST, int(context_share * total)), max(2, int(entry_share * total))
-    frequent = [hot.symbol[(hot.symbol > 0) & (hot.counts >= fewest)], [1]]
-    allowed = np.sort(np.concatenate(frequent).astype(np.int64))
+    by_count = counts.orderBy(F.col("c").desc(), "key")
+    top_keys, top_counts = _arrays(by_count.limit(hot_size))
+    hot = Hot(top_keys.view(np.uint64), top_counts.astype(np.int64), int(total), int(kinds), 0)
+    base = (F.col("c") + 0.5) / F.lit(total + 0.5 * (kinds + 1))
+    parents, often = counts.select("key", base.alias("p"), "c"), counts.where(F.col("c") >= fewest).select("key")
+    known = None
+    if symbols is not None:
+        apart = written(by_count.limit(symbols), "symbols")
+        known = np.sort(_arrays(apart.select("key"))[0].view(np.uint64))
+        apart = apart.select("key", base.alias("p"), "c")
+        rest = apart.agg(F.greatest(F.lit(1e-300), 1 - F.coalesce(F.sum("p"), F.lit(0.0))).alias("p"), (F.lit(total) - F.coalesce(F.sum("c"), F.lit(0))).alias("c"))
+        parents = apart.union(rest.select(F.lit(int(OTHER.astype(np.int64))).alias("key"), "p", "c"))
+        often = parents.where(F.col("c") >= fewest).select("key")
+    often = often.union(texts.sparkSession.range(1).select(F.lit(int(START.astype(np.int64))).alias("key")))
+    told, values, spent = context.broadcast(known), [], []
     for d in range(1, depth + 1):
-        wanted = context.broadcast(allowed)
-        grown = written(_grown(texts, shared, wanted, d), f"grown{d}")
-        totals = grown.groupBy(F.shiftright("key", 20).alias("context")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= fewest)
-        contexts, n, kinds_of = _arrays(totals)
-        listed = grown.where(F.col("c") >= least).select("key", "c")
-        keys, c = _arrays(listed)
-        level = _retained(hot, levels, contexts, n, kinds_of, keys, c, d)
-        levels.append(level)
-        # contexts one symbol longer: seen often enough, with this level's state as their suffix
-        key, count = _arrays(grown.where((F.col("c") >= fewest) & (F.col("key").bitwiseAND(F.lit((1 << 20) - 1)) > 1)))
-        ctx, nxt = key >> 20, key & ((1 << 20) - 1)
-        longer = ctx << 20 | nxt  # the newest symbol is lowest
-        suffix = longer & ((np.int64(1) << np.int64(20 * d)) - 1)
-        allowed = np.unique(longer[np.isin(suffix, level.contexts)])
-        wanted.unpersist()
-    return Model(hot, levels), counts
-
-
-def _retained(hot: Hot, levels: list[Level], contexts, n, kinds, keys, c, d: int) -> Level:
-    """The divergence test: 2 * sum c log(p / p of the suffix) against its mean plus three deviations under no divergence."""
-    of = keys >> np.int64(20)
-    order = np.argsort(contexts)
-    contexts, n, kinds = contexts[order], n[order], kinds[order]
-    where = np.minimum(np.searchsorted(contexts, of), max(0, len(contexts) - 1))
-    ok = contexts[where] == of if len(contexts) else np.zeros(len(of), bool)
-    of, where, keys, c = of[ok], where[ok], keys[ok], c[ok]
-    symbols = keys & np.int64((1 << 20) - 1)
-    parent = hot.root[symbols]
-    for k, level in enumerate(levels, 1):
-        parent = level.refine(of & ((np.int64(1) << np.int64(20 * k)) - 1), symbols, parent)
-    gain = np.zeros(len(contexts))
-    np.add.at(gain, where, 2 * c * np.log(c / (n[where] * parent)))
-    rest = n.astype(float)
-    np.add.at(rest, where, -c.astype(float))
-    mass = np.ones(len(contexts))
-    np.add.at(mass, where, -parent)
-    gain += np.where(rest > 0, 2 * rest * np.log(np.maximum(rest, 1e-9) / (n * np.maximum(mass, 1e-9))), 0.0)
-    cells = np.bincount(where, minlength=len(contexts)).astype(float)
-    stays = gain > cells + 3 * np.sqrt(2 * cells + 1)
-    if levels:
-        stays &= np.isin(contexts & ((np.int64(1) << np.int64(20 * (d - 1))) - 1), levels[-1].contexts)
-    kept = contexts[stays]
-    own = np.isin(of, kept)
-    return Level(kept, n[stays], kinds[stays], keys[own], c[own])
-
-
-_SCORED = "rid long, n_tokens long, hot_known long, hot_base double, sym_score double, other array<struct<h: long, k: int>>"
-
-
-def score(docs: DataFrame, **options) -> DataFrame:
+        allowed = _bitmap(often)
+        grown = written(_grown(texts, told, allowed, d, min(fewest, least)), f"grown-{d}")
+        allowed.unpersist()
+        if d > 1:
+            erased(shorter)
+        shorter = grown
+        states, parents = _retained(grown, parents, fewest, least, str(d))
+        spent += [states, parents]
+        # Spark's cleaner removes a finished pass's shuffles only when the driver has collected what refers to them
+        texts.sparkSession._jvm.System.gc()
+        turned = F.col("context").bitwiseXOR(F.lit(WEIGHT)).alias("key")
+        values += [states.select(turned, F.log10("weight").alias("value"), F.col("n").alias("c")), parents.select("key", F.col("gain").alias("value"), "c")]
+        # contexts one symbol longer: seen often enough; _retained() looks for their suffixes
+        often = grown.where(F.col("key").isNotNull() & (F.col("c") >= fewest)).select("key")
+        if d == depth:
+            erased(grown)
+    table = values[0]
+    for more in values[1:]:
+        table = table.union(more)
+    table = written(table, "values")
+    for part in spent:
+        erased(part)
+    return hot, told, table, counts
+
+
+_SCORED = "rid long, n_tokens long, hot_known long, hot_base double, hot_value double, other array<struct<h: long, k: int>>, keys array<long>"
+
+
+def _lists(doc: np.ndarray, keys: np.ndarray, n: int) -> pa.ListArray:
+    """For each of n texts its distinct keys (h) and how often it has each (k)."""
+    order = np.lexsort((keys, doc))
+    d, h = doc[order], keys[order].view(np.int64)
+    first = np.ones(len(d), dtype=bool)
+    first[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(first)
+    repeats = np.diff(np.append(at, len(d)))
+    rows = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(repeats, pa.int32())], ["h", "k"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(d[at], np.arange(n + 1)), pa.int32()), rows)
+
+
+def score(docs: DataFrame, depth: int = DEPTH, hot_values: int = HOT_VALUES, **options) -> DataFrame:
     """Scores of docs' (doc_id, text) by a model learnt from those that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities). A null
@@ -251,31 +346,39 @@ def score(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    model, counts = train(rows.where(~F.col("held_out")).select("text"), **options)
-    shared = spark.sparkContext.broadcast(model)
-    hot = model.hot
+    hot, told, values, counts = train(rows.where(~F.col("held_out")).select("text"), depth=depth, **options)
+    hot_keys, hot_gains = _arrays(values.orderBy(F.col("c").desc(), "key").limit(hot_values).select("key", "value"))
+    order = np.argsort(hot_keys.view(np.uint64))
+    shared = spark.sparkContext.broadcast((hot, hot_keys.view(np.uint64)[order], hot_gains[order]))
+    filled = _bitmap(values)
     unit = hot.total + 0.5 * (hot.kinds + 1)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        (tokens_of, keys, gains), table, known = shared.value, filled.value, told.value
         for batch in batches:
             for lo, hi, tokens, cuts in _tokens(batch["text"]):
-                logs, base, symbols, is_hot = tree.log_scores(tokens, cuts)
-                # a word of the class: its share of the class by the base distribution; words that are not hot get theirs later
-                logs = logs + np.where(symbols == 0, base - np.log10(tree.hot.root[0]), 0.0)
+                n, doc = hi - lo, np.repeat(np.arange(hi - lo), np.diff(cuts))
+                at, is_hot = tokens_of.find(tokens)
+                base = np.where(is_hot, tokens_of.log_base[at], 0.0) if len(tokens_of.hashes) else np.zeros(len(tokens))
+                place = np.arange(len(tokens)) - np.repeat(cuts[:-1], np.diff(cuts))
+                value, of, cold = np.zeros(n), [], []
+                for d, (context, key, _) in enumerate(_grams(_told_apart(tokens, known), cuts, depth), 1):
+                    there = doc[place >= d - 1]
+                    for wanted in (context ^ np.uint64(WEIGHT), key):
+                        may = np.flatnonzero(_in_bitmap(table, wanted))
+                        wanted, where = wanted[may], there[may]
+                        found = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                        hit = keys[found] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                        value += np.bincount(where[hit], weights=gains[found[hit]], minlength=n)
+                        of.append(where[~hit])
+                        cold.append(wanted[~hit])
                 add = lambda x, c=cuts: np.add.reduceat(x, c[:-1])
-                doc = np.repeat(np.arange(hi - lo), np.diff(cuts))
-                cold = np.flatnonzero(~is_hot)
-                order = np.lexsort((tokens[cold], doc[cold]))
-                d, h = doc[cold][order], tokens[cold][order].view(np.int64)
-                first = np.ones(len(d), dtype=bool)
-                first[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-                at = np.flatnonzero(first)
-                repeats = np.diff(np.append(at, len(d)))
-                others = pa.StructArray.from_arrays([pa.array(h[at], pa.int64()), pa.array(repeats, pa.int32())], ["h", "k"])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d[at], np.arange(hi - lo + 1)), pa.int32()), others)
-                columns = [batch["doc_id"].slice(lo, hi - lo), batch["held_out"].slice(lo, hi - lo), batch["rid"].slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(add(is_hot.astype(np.int64))), pa.array(add(base)), pa.array(add(logs)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "rid", "n_tokens", "hot_known", "hot_base", "sym_score", "other"])
+                others = _lists(doc[~is_hot], tokens[~is_hot], n)
+                of, cold = np.concatenate([doc[:0], *of]), np.concatenate([tokens[:0], *cold])
+                order = np.argsort(of, kind="stable")
+                more = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(n + 1)), pa.int32()), pa.array(cold[order].view(np.int64)))
+                columns = [batch["doc_id"].slice(lo, n), batch["held_out"].slice(lo, n), batch["rid"].slice(lo, n), pa.array(np.diff(cuts)), pa.array(add(is_hot.astype(np.int64))), pa.array(add(base)), pa.array(value), others, more]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "rid", "n_tokens", "hot_known", "hot_base", "hot_value", "other", "keys"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(scores, f"doc_id {id_type}, held_out boolean, {_SCORED}")
@@ -285,12 +388,12 @@ def score(docs: DataFrame, **options) -> DataFrame:
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("cold_known"),
         F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(unit))).alias("cold_base"),
     )
-    cold_base = F.coalesce("cold_base", F.lit(0.0))
-    return scored.drop("other").join(cold, "rid", "left").select(
+    cold_values = scored.select("rid", F.explode("keys").alias("key")).join(values.select("key", "value"), "key").groupBy("rid").agg(F.sum("value").alias("cold_value"))
+    base_score = F.col("hot_base") + F.coalesce("cold_base", F.lit(0.0))
+    return scored.drop("other", "keys").join(cold, "rid", "left").join(cold_values, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(hot.total)).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + cold_base).alias("base_score"),
-        # scores() took the class's mass off each of its words already
-        (F.col("sym_score") + cold_base).alias("score"),
+        base_score.alias("base_score"),
+        (base_score + F.col("hot_value") + F.coalesce("cold_value", F.lit(0.0))).alias("score"),
     )

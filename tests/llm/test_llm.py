@@ -103,6 +103,60 @@ def test_suffix_tree_states_sum_to_one():
         assert level.refine(np.full(5, context), symbols, hot.root[symbols]).sum() == pytest.approx(1)
 
 
+def plain_tree(texts, depth, fewest=8, least=2):
+    """A function from a text's tokens to log10 of its probability by the suffix tree of texts, with plain dictionaries."""
+    counts = Counter(t for text in texts for t in text)
+    n, v = sum(counts.values()), len(counts)
+    p = lambda context, s: (counts[s] + 0.5) / (n + 0.5 * (v + 1))
+    states = [{} for _ in range(depth + 1)]
+
+    def contexts(text, i, d):
+        return tuple((["<start>"] + text)[i + 1 - d : i + 1]) if i >= d - 1 else None
+
+    def prob(context, s, upto):
+        out = p(None, s)
+        for d in range(1, min(upto, len(context)) + 1):
+            state = states[d].get(context[-d:])
+            if state is not None:
+                total, kinds, listed = state
+                out = (listed.get(s, 0) + (total - sum(listed.values()) + kinds) * out) / (total + kinds)
+        return out
+
+    for d in range(1, depth + 1):
+        seen = {}
+        for text in texts:
+            for i, s in enumerate(text):
+                if (c := contexts(text, i, d)) is not None:
+                    seen.setdefault(c, Counter())[s] += 1
+        for c, after in seen.items():
+            total, listed = sum(after.values()), {s: k for s, k in after.items() if k >= least}
+            if total < fewest or (d > 1 and c[1:] not in states[d - 1]):
+                continue
+            parent = {s: prob(c, s, d - 1) for s in listed}
+            rest = total - sum(listed.values())
+            gain = sum(2 * k * math.log(k / (total * parent[s])) for s, k in listed.items())
+            gain += 2 * rest * math.log(rest / (total * max(1e-9, 1 - sum(parent.values())))) if rest else 0
+            if gain > len(listed) + 3 * math.sqrt(2 * len(listed) + 1):
+                states[d][c] = (total, len(after), listed)
+    return states, lambda text: sum(math.log10(prob(next(c for k in range(depth, 0, -1) if (c := contexts(text, i, k)) is not None), s, depth)) for i, s in enumerate(text))
+
+
+@pytest.mark.parametrize(("depth", "hot"), [(2, {}), (4, {"hot_size": 50, "hot_values": 20})])
+def test_suffix_tree_against_plain_dictionaries(spark, data, depth, hot):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    rng = random.Random(8)
+    pairs = [(f"a{i}", f"b{i}") for i in range(9_000 if depth == 2 else 300)]
+    made = [(10_000 + k, " ".join(w for p in rng.sample(pairs, len(pairs)) for w in p)) for k in range(14)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(made, docs.select("doc_id", "text").schema)).localCheckpoint()
+    tokens = {r.doc_id: [*WORD.findall((r.text or "").translate(LOWER)), None] for r in docs.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
+    states, wanted = plain_tree([t for k, t in tokens.items() if not held[k]], depth)
+    # more than 16,384 words, each with a state of its own
+    assert all((a,) in states[1] for a, _ in pairs)
+    for r in suffix_tree.score(docs, depth=depth, **hot).collect():
+        assert r.score == pytest.approx(wanted(tokens[r.doc_id]), rel=1e-9), r.doc_id
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = rng.standard_normal((900, 16)).astype(np.float32)
