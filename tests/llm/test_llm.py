@@ -176,6 +176,27 @@ def test_neighbours_against_brute_force(spark):
     assert list(got[got.query_id == 50].sort_values("rank").vec_id) == [300, 301, 302, 303, 304]
 
 
+def test_the_chi_square_stop_leaves_leaves_unread_and_recall_holds(monkeypatch):
+    rng, stops, plain = np.random.default_rng(9), [], ann.chi_square_cdf
+
+    def noted(x, m):
+        stops.append(plain(x, m) >= ann.SURE)
+        return plain(x, m)
+
+    monkeypatch.setattr(ann, "chi_square_cdf", noted)
+    centres = rng.standard_normal((200, 32))
+    vectors = centres[rng.integers(0, 200, 20_000)] + 0.4 * rng.standard_normal((20_000, 32))
+    tree, unit = ann.Tree(np.arange(20_000), vectors, 5), vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    hits = 0
+    for q in range(0, 20_000, 100):
+        cos = unit @ unit[q]
+        cos[q] = -2
+        hits += len({v for _, v in tree.nearest(q, vectors[q], 5)} & set(np.argpartition(-cos, 5)[:5].tolist()))
+    print(f"recall {hits / 1000}, {sum(stops)} of 200 searches stopped early")
+    assert sum(stops) >= 100
+    assert hits >= 0.9 * 1000
+
+
 def test_warc_segments_come_back(spark, tmp_path):
     pages = [(1, "https://a.example/ ü", "é" * 90_000), (2, None, None), (3, "u", ""), (4, "u", "x"), (9, "u", "é" * 90_000), (4, "u", "y")]
     docs = spark.createDataFrame(pages, "page_id long, url string, html string")
