@@ -53,10 +53,12 @@ def max_step_percent(left: Column, right: Column) -> Column:
     return F.coalesce(bound(F.struct(a.alias("a"), b.alias("b")), best), F.lit(0.0))
 
 
-def terms_in(texts: DataFrame, key: str, text: str, terms: DataFrame, longest: int = 3) -> DataFrame:
-    """(key, term): terms (column term) that a text holds as whole words; an equi-join on word windows, not a nested loop."""
+def terms_in(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, term): terms (column term) that a text holds as whole words; an equi-join on word windows as long as terms are, not a nested loop."""
     words = tokens(F.col(text))
-    windows = F.array_union(F.array_distinct(words), F.flatten(F.array(*[ngrams(words, n) for n in range(2, longest + 1)])))
-    held = texts.select(key, F.explode(windows).alias("folded"))
-    wanted = terms.select("term", F.array_join(tokens(F.col("term")), " ").alias("folded")).where("folded <> ''").distinct()
+    folded = terms.select("term", tokens(F.col("term")).alias("words")).where(F.size("words") > 0)
+    wanted = folded.select("term", F.array_join("words", " ").alias("folded")).distinct()
+    lengths = sorted(r["n"] for r in folded.select(F.size("words").alias("n")).distinct().collect())
+    windows = [F.array_distinct(words) if n == 1 else ngrams(words, n) for n in lengths] or [F.array().cast("array<string>")]
+    held = texts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("folded"))
     return held.join(wanted, "folded").select(key, "term").distinct()

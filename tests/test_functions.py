@@ -128,3 +128,13 @@ def test_sources_and_stream(spark, tmp_path):
         spark.createDataFrame([(u,) for u in batch], "url string").write.mode("append").parquet(pages)
         ledgers.run_available(ledgers.new_addresses(spark, pages, "url string"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r.canonical_url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://a.example/", "https://b.example/", "https://c.example/"]
+
+
+def test_terms_of_any_length_are_found(spark):
+    from granary.operators.similarity import terms_in
+
+    texts = spark.createDataFrame([(1, "we ate Old Mill Stone Ground Flour today"), (2, "stone ground")], "doc_id long, text string")
+    terms = spark.createDataFrame([("old mill stone ground flour",), ("Stone Ground",), ("today",), ("",)], "term string")
+    got = {(r.doc_id, r.term) for r in terms_in(texts, "doc_id", "text", terms).collect()}
+    assert got == {(1, "old mill stone ground flour"), (1, "Stone Ground"), (1, "today"), (2, "Stone Ground")}
+    assert terms_in(texts, "doc_id", "text", terms.where("term = ''")).count() == 0
