@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions.rules import B, E, all_matches, first_match
-from granary.functions.text import bound
+from granary.functions.text import bound, import_slug, import_slugs, lookup_key
 
 SEASONS = ("spring", "summer", "fall", "winter")
 #: Ends of rules: whole words, or words that begin so.
@@ -113,3 +113,145 @@ def seasons_of_scores(scores: Column) -> Column:
         return F.when(F.array_max(s) < 2, F.array(F.lit("year-round"))).otherwise(all_matches([(s[i] >= least, name) for i, name in enumerate(SEASONS)]))
 
     return bound(scores, chosen)
+
+
+#: Allergens of an ingredient's folded name in output order: what names them, and what keeps the words from meaning them. Fixed values.
+NAME_ALLERGENS = [
+    ("milk", _rule("milk|cheese|cream|crema|yogurt|butter|ghee|buttermilk|whey|mozzarella|parmesan|cheddar|feta|gouda|brie|mascarpone|ricotta|burrata", WHOLE), PLANT_BASED),
+    ("eggs", _rule("eggs?|mayonnaise|mayo|aioli", WHOLE), _rule("vegan|plant based", WHOLE)),
+    ("fish", _rule("fish|salmon|trout|steelhead|cod|cobia|tilapia|tuna|halibut|barramundi|anchov|mahi|haddock", BEGINS), None),
+    ("shellfish", _rule("shrimp|prawn|scallop|lobster|crab|mussel|clam|oyster", BEGINS), None),
+    ("tree-nuts", _rule("almond|walnut|pecan|cashew|pistachio|hazelnut|pine nut|macadamia|brazil nut", BEGINS), None),
+    ("peanuts", _rule("peanut", BEGINS), None),
+    (
+        "wheat",
+        _rule("wheat|flour|panko|breadcrumb|bread|baguette|pasta|noodles?|couscous|bulgur|farro|freekeh|orzo|ravioli|tortellini|gnocchi|ciabatta|naan|flatbread|pizza dough", BEGINS),
+        _rule(r"(?:corn|rice|almond|coconut|chickpea|cassava|gluten free)\s+flour", WHOLE) + "|" + _rule("(?:rice|glass|cellophane) noodles?", WHOLE),
+    ),
+    ("soy", _rule("soy|tofu|tempeh|edamame|miso", BEGINS), None),
+    ("sesame", _rule("sesame|tahini", BEGINS), None),
+]
+#: Allergens by a recipe's tag. Fixed values.
+TAG_ALLERGENS = {
+    "milk": "milk", "eggs": "eggs", "egg": "eggs", "fish": "fish", "shellfish": "shellfish", "tree nuts": "tree-nuts", "tree-nuts": "tree-nuts", "peanuts": "peanuts", "peanut": "peanuts",
+    "wheat": "wheat", "soy": "soy", "sesame": "sesame",
+}
+#: Ids by a folded name that is no alias. Fixed values.
+SYNONYMS = {
+    "extra virgin olive oil": "olive-oil", "extra-virgin olive oil": "olive-oil", "evoo": "olive-oil", "fresh mozzarella cheese": "mozzarella", "yellow onions": "onion",
+    "yellow onion": "onion", "garlic cloves": "garlic", "garlic clove": "garlic",
+}
+#: Folders by meal type; other types are their own folder. Fixed values.
+FOLDERS = {
+    "main": "mains", "side": "sides", "sandwich": "sandwiches", "dessert": "desserts", "drink": "drinks", "snack": "snacks", "soup": "soups", "salad": "salads", "sauce": "sauces",
+    "baked-good": "baked-goods",
+}
+#: Words of the leading dish of a title that tell its meal type, and those that overrule them. Fixed values.
+ENTREES = _rule("beef|steak|chicken|pork|turkey|salmon|trout|barramundi|shrimp|scallop|pasta|penne|rigatoni|ravioli|tortelloni|meatball", BEGINS)
+SAVORY_PIES = _rule("shepherd|cottage|pot pie|cornbread pie|beef|steak|chicken|pork|turkey|mushroom|truffle|gnocchi|penne|risotto|agnolotti", WHOLE)
+DRINKS = _rule("smoothie|juice|lemonade|limeade|spritz|cocktail|mocktail|punch|latte|hot chocolate|iced tea", WHOLE)
+BREAKFASTS = _rule("breakfast|brunch|waffles?|pancakes?|french toast|oatmeal|overnight oats?|frittata|omelet|scramble", WHOLE)
+SOUPS = _rule("soup|stew|chowder|bisque", WHOLE) + r"|(?:^|\s)chili$"
+SANDWICHES = _rule("sandwich(?:es)?|burger(?:s)?|taco(?:s)?|quesadilla(?:s)?|wrap(?:s)?|burrito(?:s)?|hot dog(?:s)?|slider(?:s)?|banh mi", WHOLE)
+SALADS = _rule("salad|panzanella|slaw", WHOLE)
+SAUCES = _rule("sauce|dressing|marinade|salsa|pesto|gravy|dip", WHOLE) + "$"
+DESSERTS = _rule("cake|cookies?|brownies?|cheesecake|pie|cobbler|crisp|pudding|tiramisu|ice cream|sundae|dessert|truffles?", WHOLE)
+BREADS = _rule("bread|biscuits?|muffins?|scones?|dinner rolls?", WHOLE)
+SNACKS = _rule("snack|poppers?|bites?|trail mix", WHOLE)
+SIDES = "^(?:garlic )?(?:mashed potatoes|green beans|rice pilaf|roasted vegetables)$"
+#: Cuisines by words of a title and its tags, first match. Fixed values.
+TITLE_CUISINES = [
+    ("Mediterranean", _rule("mediterranean", WHOLE)), ("Mexican", _rule("mexican|taco|fajita|enchilada|quesadilla|burrito", BEGINS)),
+    ("Italian", _rule("italian|risotto|ravioli|tortellini|gnocchi|parmigiana|bruschetta", BEGINS)), ("Greek", _rule("greek|souvlaki|gyro|tzatziki", BEGINS)),
+    ("Korean", _rule("korean|bulgogi|bibimbap|gochujang", BEGINS)), ("Thai", _rule("thai|pad thai", WHOLE)), ("Indian", _rule("indian|tikka|masala|tandoori|korma", BEGINS)),
+    ("Vietnamese", _rule("vietnamese|banh mi|pho", WHOLE)), ("Japanese", _rule("japanese|teriyaki|yakitori|katsu|miso", BEGINS)), ("Chinese", _rule("chinese|szechuan|sichuan|kung pao", WHOLE)),
+    ("French", _rule("french|provencal|provençal|ratatouille", WHOLE)), ("Middle Eastern", _rule("middle eastern|shawarma|falafel|za atar|harissa", WHOLE)),
+]
+#: Meat and fish by words of a name, and names that only sound so. Fixed values.
+MEATS = _rule(
+    "chicken|beef|steak|pork|bacon|ham|turkey|duck|venison|lamb|sausage|prosciutto|salami|fish|salmon|trout|steelhead|cod|cobia|tilapia|tuna|halibut|barramundi|shrimp|prawn|scallop|"
+    "lobster|crab|mussel|clam",
+    BEGINS,
+)
+NOT_MEATS = _rule("vegan|plant based|steak spice|steak seasoning|steak sauce|beefsteak tomato", WHOLE)
+#: Tags that say something else than what a dish is. Fixed values.
+OTHER_TAGS = (*TAG_ALLERGENS, "veggie", "vegetarian", "vegan", "gluten-free", "gluten free", "new")
+DIETS = ("vegetarian", "vegan", "gluten-free", "dairy-free", "nut-free", "egg-free", "low-sodium")
+
+
+def preserved(name: Column) -> Column:
+    return F.rlike(name, F.lit(PRESERVED))
+
+
+def name_allergens(name: Column) -> Column:
+    """Allergens of a folded name, in fixed order."""
+    found = lambda p, unless: F.rlike(name, F.lit(p)) & (~F.rlike(name, F.lit(unless)) if unless else F.lit(True))
+    return all_matches([(found(p, unless), label) for label, p, unless in NAME_ALLERGENS])
+
+
+def folder(meal_type: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]), meal_type), meal_type)
+
+
+def leading_dish(title: Column) -> Column:
+    """The folded title up to its first "with"."""
+    return lookup_key(F.get(F.split(F.coalesce(title, F.lit("")), r"(?i)\s+with\s+"), F.lit(0)))
+
+
+def dish_type(dish: Column) -> Column:
+    """The meal type of a leading dish, by ordered rules."""
+    has = lambda p: F.rlike(dish, F.lit(p))
+    return (
+        F.when(has(DRINKS), "drink").when(has(BREAKFASTS), "breakfast").when(has(SOUPS), "soup").when(has(SANDWICHES), "sandwich").when(has(SALADS), "salad")
+        .when(has(SAUCES) & ~has(ENTREES) & (F.size(F.split(dish, " ")) <= 5), "sauce").when(~has(SAVORY_PIES) & has(DESSERTS), "dessert")
+        .when(~has(ENTREES) & ~has(_rule("pot pie", WHOLE)) & has(BREADS), "baked-good").when(has(SNACKS), "snack").when(has(SIDES), "side").otherwise("main")
+    )
+
+
+def title_cuisine(text: Column) -> Column:
+    """The cuisine of a folded title with its subtitle and tags; null where none is named."""
+    return first_match(text, TITLE_CUISINES)
+
+
+def _tag(tag: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(tag), r"^contains\s+", ""))
+
+
+def _texts(values: Column) -> Column:
+    return F.coalesce(values, F.array().cast("array<string>"))
+
+
+def dish_allergens(tags: Column, of_ingredients: Column) -> Column:
+    """Allergens that tags name or ingredients have, in fixed order."""
+    names = F.create_map(*[F.lit(x) for kv in TAG_ALLERGENS.items() for x in kv])
+    found = F.concat(F.transform(_texts(tags), lambda t: F.try_element_at(names, _tag(t))), _texts(of_ingredients))
+    return bound(found, lambda f: all_matches([(F.coalesce(F.array_contains(f, label), F.lit(False)), label) for label, _, _ in NAME_ALLERGENS]))
+
+
+def is_meat(name: Column) -> Column:
+    return F.rlike(name, F.lit(MEATS)) & ~F.rlike(name, F.lit(NOT_MEATS))
+
+
+def dish_diets(tags: Column, found: Column, names: Column) -> Column:
+    """Diets in fixed order: claimed by tags unless allergens or meat (of folded names) speak against them, and free
+    from what no allergen shows."""
+
+    def made(p: Column) -> Column:
+        tagged = lambda *t: F.arrays_overlap(p["tags"], F.array(*map(F.lit, t)))
+        holds = lambda *a: F.arrays_overlap(p["found"], F.array(*map(F.lit, a)))
+        vegan = tagged("vegan") & ~p["meat"] & ~holds("milk", "eggs", "fish", "shellfish")
+        chosen = {
+            "vegetarian": tagged("vegan", "veggie", "vegetarian") & ~p["meat"], "vegan": vegan, "gluten-free": tagged("gluten-free", "gluten free") & ~holds("wheat"),
+            "dairy-free": ~holds("milk"), "nut-free": ~holds("tree-nuts", "peanuts"), "egg-free": ~holds("eggs"),
+        }
+        return all_matches([(chosen[d], d) for d in DIETS if d in chosen])
+
+    low = F.transform(F.filter(_texts(tags), lambda t: t.isNotNull()), F.lower)
+    return bound(F.struct(low.alias("tags"), found.alias("found"), F.exists(_texts(names), is_meat).alias("meat")), made)
+
+
+def dish_tags(meal_type: Column, difficulty: Column, tags: Column) -> Column:
+    """Meal type, difficulty and the tags that say what a dish is, as slugs, and a mark for review; distinct."""
+    own = import_slugs(F.filter(_texts(tags), lambda t: ~_tag(t).isin(*OTHER_TAGS)))
+    all_tags = F.concat(F.array(meal_type, import_slug(difficulty)), own, F.array(F.lit("needs-review")))
+    return F.array_distinct(F.filter(all_tags, lambda t: t != ""))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from granary.functions.text import contains_term
+from granary.functions.text import bound, contains_term
 
 B, E = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
@@ -17,9 +17,9 @@ def first_match(text: Column, rules: list[tuple[str, str]], default: str | None
     return F.coalesce(*[F.when(F.rlike(text, F.lit(p)), F.lit(label)) for label, p in rules], F.lit(default))
 
 
-def all_matches(conditions: list[tuple[Column, str]]) -> Column:
-    """Labels of all conditions that hold, in the given order."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in conditions]))
+def all_matches(conditions: list[tuple[Column, str]], *more: Column) -> Column:
+    """Labels of all conditions that hold, in the given order, then further labels that are not null."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in conditions], *more))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -36,13 +36,13 @@ MEAL_TYPES = [
     ("sandwich", words("sandwich", "burger", "quesadilla", "wrap")), ("dessert", words("dessert", "cake", "cookie", "pie", "candy", "pudding", "ice cream")),
     ("drink", words("drink", "beverage", "cocktail", "smoothie", "coffee", "tea")), ("sauce", words("sauce", "dressing", "marinade", "dip")),
     ("baked-good", words("bread", "muffin", "biscuit", "scone", "rolls?")), ("side", words("side dish", "side")), ("snack", words("snack", "appetizer")),
-    ("main", words("dinner", "lunch", "main dish", "entree")),
+    ("main", words("dinner", "lunch", "main dish", "entree", "entr[éÉ]e")),
 ]
 #: Actions of an instruction clause, first match; without a word boundary in front. Fixed values.
 ACTIONS = [
     ("preheat", "preheat|heat"), ("combine", "combine|mix"), ("whisk", "whisk|beat|cream"), ("fold", "fold"), ("stir", "stir"), ("blend", "blend"), ("knead", "knead"),
     ("cut", "slice|cut|chop|dice|mince|trim"), ("shape", "shape|form|roll"), ("coat", "coat|dredge"), ("layer", "layer"), ("add", "add|sprinkle|top"),
-    ("transfer", "pour|transfer|place|arrange|spread"), ("bake", "bake"), ("roast", "roast"), ("grill", "grill|broil"), ("sauté", "fry|saute"), ("microwave", "microwave"),
+    ("transfer", "pour|transfer|place|arrange|spread"), ("bake", "bake"), ("roast", "roast"), ("grill", "grill|broil"), ("sauté", "fry|saute|saut[éÉ](?=[0-9A-Za-z_])"), ("microwave", "microwave"),
     ("home preservation", "canning|ferment|fermentation|preserv|sous vide"), ("simmer", "boil|simmer|poach"), ("cook", "cook|steam"), ("chill", "chill|refrigerate"),
     ("freeze", "freeze"), ("cool", "cool"), ("rest", "rest"), ("drain", "drain"), ("shred", "shred|pull"), ("garnish", "decorate|garnish"), ("serve", "serve|plate"),
 ]
@@ -52,7 +52,8 @@ ALLERGENS = {
     "shellfish": ["clam", "crab", "lobster", "mussel", "oyster", "shrimp"], "tree-nuts": ["almond", "cashew", "hazelnut", "pecan", "pistachio", "walnut"],
     "peanuts": ["peanut"], "wheat": ["bread", "flour", "pasta", "wheat"], "soy": ["soy", "tofu"], "sesame": ["sesame", "tahini"],
 }
-CUISINES = words("american", "asian", "british", "chinese", "french", "greek", "indian", "italian", "japanese", "korean", "mediterranean", "mexican", "spanish", "thai", "vietnamese")
+#: Cuisines that a category may name. Fixed values.
+CUISINES = rf"(?i){B}(?:" + "|".join(("american", "asian", "british", "chinese", "french", "greek", "indian", "italian", "japanese", "korean", "mediterranean", "mexican", "spanish", "thai", "vietnamese")) + rf")(?: inspired)?{E}"
 #: Diets that an allergen contradicts. Fixed values.
 CONTRADICTED = {
     "dairy-free": ["milk"], "egg-free": ["eggs"], "gluten-free": ["wheat"], "nut-free": ["tree-nuts", "peanuts"],
@@ -65,7 +66,9 @@ def meal_type(text: Column) -> Column:
 
 
 def action(clause: Column) -> Column:
-    return first_match(clause, [(label, f"(?i)(?:{p}){E}") for label, p in ACTIONS], "prepare")
+    """An accent is no word character, so a word that ends in one only ends where another letter follows."""
+    ends = lambda p: "|".join(x if x.endswith(")") else f"{x}{E}" for x in p.split("|"))
+    return first_match(clause, [(label, f"(?i)(?:{ends(p)})") for label, p in ACTIONS], "prepare")
 
 
 def allergens(text: Column) -> Column:
@@ -94,29 +97,107 @@ def clause_fahrenheit(clause: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(clause, rf"(?i){B}(\d{{2,3}})\s*(?:°|degrees?\s*)?F{E}", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
-def disposition(prose: Column, step: Column, n_brands: Column, risky: Column) -> Column:
-    """hold, model or pass by overlap percentages, brand terms and title."""
-    return F.when((n_brands > 0) | risky | (prose >= 50) | (step >= 70), F.lit("hold")).when((prose >= 20) | (step >= 35), F.lit("model")).otherwise(F.lit("pass"))
+#: Where an operation ends. Fixed values.
+ENDPOINTS = words(
+    "golden brown", "lightly browned", "tender", "smooth", "soft peaks?", "stiff peaks?", "melted", "thick(?:ened)?", "set", "firm", "opaque", "easily flaked", "cooked through", "combined",
+    "evenly coated", "boiling", "simmering", "frozen solid",
+)
+#: Animal foods, methods of preservation, and words of foods that are done already. Fixed values.
+ANIMAL = words(
+    "chicken", "duck", "turkey", "beef", "pork", "veal", "lamb", "goat", "sausage", "rabbit", "venison", "fish", "salmon", "tuna", "cod", "egg", "shrimp", "shellfish", "oyster", "mussel",
+    "clam", "crab", "lobster",
+)
+PRESERVING = words("canning", "ferment", "fermentation", "preserv", "sous vide")
+DONE = words("canned", "cooked", "precooked", "rotisserie", "deli", "smoked", "hard-boiled")
 
 
-def food_safety(ingredients: Column, directions: Column, title: Column) -> Column:
-    """Reasons for review: the meat ladder (casserole, poultry, ground, whole cut), then fish and shellfish."""
-    has = lambda text, *terms: F.rlike(text, F.lit(words(*terms)))
+def endpoint(clause: Column) -> Column:
+    return F.lower(F.regexp_extract(clause, ENDPOINTS, 0))
+
+
+def operation(clause: Column, items: Column) -> Column:
+    """A clause as a struct of action, the items it names (a word of four letters or more), temperature_f, duration_minutes and endpoint."""
+    low = F.lower(clause)
+    named = F.filter(items, lambda item: F.exists(F.split(item, r"\s+"), lambda w: (F.length(w) >= 4) & F.contains(low, F.lower(w))))
+    return F.struct(
+        action(clause).alias("action"), F.array_distinct(named).alias("ingredients"), clause_fahrenheit(clause).alias("temperature_f"), clause_minutes(clause).alias("duration_minutes"), endpoint(clause).alias("endpoint")
+    )
+
+
+def cuisine_of(categories: Column) -> Column:
+    """The first category's words that name a cuisine; empty if none does."""
+    found = F.filter(F.transform(categories, lambda c: F.regexp_extract(c, CUISINES, 0)), lambda x: x != "")
+    return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+
+
+def safety_flags(items: Column, lines: Column) -> Column:
+    low = lambda a: F.lower(F.array_join(a, " "))
+    return all_matches([
+        (F.rlike(low(items), F.lit(ANIMAL)), "raw animal protein or egg may require a safe endpoint"),
+        (F.rlike(low(lines), F.lit(PRESERVING)), "manual preservation safety review"),
+    ])
+
+
+def holding_reasons(prose: Column, step: Column, brands: Column, risky: Column) -> Column:
+    """Why a record is held: brand terms, its title, its prose's or a step's overlap in percent."""
+    shown = lambda p: F.when(p == F.floor(p), F.floor(p).cast("string")).otherwise(p.cast("string"))
+    return F.array_compact(
+        F.array(
+            F.when(F.size(brands) > 0, F.concat(F.lit("configured brand terms require review: "), F.array_join(brands, ", "))),
+            F.when(risky, F.lit("recipe title may identify a brand, publisher, or promotional source title")),
+            F.when(prose >= 50, F.concat(F.lit("source/final prose trigram overlap is "), shown(prose), F.lit("%"))),
+            F.when(step >= 70, F.concat(F.lit("a final instruction overlaps a source instruction by "), shown(step), F.lit("%"))),
+        )
+    )
+
+
+def disposition(prose: Column, step: Column, brands: Column, risky: Column) -> Column:
+    """A struct of mode (hold, model or pass) and its reasons, by overlap percentages, brand terms and title."""
+
+    def made(p: Column) -> Column:
+        between = (p["prose"] >= 20) | (p["step"] >= 35)
+        mode = F.when(F.size(p["reasons"]) > 0, F.lit("hold")).when(between, F.lit("model")).otherwise(F.lit("pass"))
+        borderline = F.array(F.lit("deterministic similarity is borderline and requires model review"))
+        reasons = F.when(F.size(p["reasons"]) > 0, p["reasons"]).when(between, borderline).otherwise(F.array().cast("array<string>"))
+        return F.struct(mode.alias("mode"), reasons.alias("reasons"))
+
+    return bound(F.struct(prose.cast("double").alias("prose"), step.cast("double").alias("step"), holding_reasons(prose, step, brands, risky).alias("reasons")), made)
+
+
+def active_foods(ingredients: Column) -> Column:
+    """Items and preparations, lower-cased, of those ingredients (structs) that are not done already."""
+    each = F.transform(ingredients, lambda i: F.concat(i["item"], F.lit(" "), F.coalesce(i["preparation"], F.lit(""))))
+    return F.lower(F.array_join(F.filter(each, lambda x: ~F.rlike(x, F.lit(DONE))), " "))
+
+
+def food_safety(foods: Column, directions: Column, title: Column, operations: Column = None, flags: Column = None) -> Column:
+    """Reasons for review: home preservation, the meat ladder (casserole, poultry, ground, whole cut), fish, shellfish, eggs.
+
+    foods: active_foods(); directions: all steps; title: name and tags; operations: actions and endpoints; flags: safety_flags() joined.
+    """
+    nothing = F.lit("")
+    has = lambda text, *terms: F.rlike(F.lower(F.coalesce(text, nothing)), F.lit(words(*terms)))
     heat = lambda f: F.rlike(directions, F.lit(rf"(?i){B}{f}\s*(?:°|degrees?\s*)?f{E}"))
     rested = F.rlike(directions, F.lit(rf"(?i){B}(?:3|three)[ -]?minute rest{E}|{B}rest{E}.{{0,20}}{B}(?:3|three) minutes?{E}"))
-    meat = has(ingredients, "beef", "chicken", "duck", "egg", "goat", "lamb", "meat", "pork", "rabbit", "sausage", "turkey", "venison")
+    casserole = has(title, "casserole")
+    meat = has(foods, "beef", "chicken", "duck", "egg", "goat", "lamb", "meat", "pork", "rabbit", "sausage", "turkey", "venison")
     ladder = (
-        F.when(has(title, "casserole") & meat & ~heat(165), F.lit("meat or egg casserole directions must specify 165°F"))
-        .when(has(ingredients, "chicken", "duck", "turkey", "poultry") & ~heat(165), F.lit("poultry directions must specify 165°F"))
-        .when(has(ingredients, "ground beef", "ground pork", "ground lamb", "ground veal", "sausage", "rabbit", "venison") & ~heat(160), F.lit("ground meat, sausage, rabbit, or venison directions must specify 160°F"))
-        .when(has(ingredients, "beef", "pork", "veal", "lamb", "goat", "ham", "steak", "chop", "roast") & (~heat(145) | ~rested), F.lit("whole-cut meat directions must specify 145°F and a 3-minute rest"))
+        F.when(casserole & meat & ~heat(165), F.lit("meat or egg casserole directions must specify 165°F"))
+        .when(has(foods, "chicken", "duck", "turkey", "poultry") & ~heat(165), F.lit("poultry directions must specify 165°F"))
+        .when(has(foods, "ground beef", "ground pork", "ground lamb", "ground veal", "sausage", "rabbit", "venison") & ~heat(160), F.lit("ground meat, sausage, rabbit, or venison directions must specify 160°F"))
+        .when(has(foods, "beef", "pork", "veal", "lamb", "goat", "ham", "steak", "chop", "roast") & (~heat(145) | ~rested), F.lit("whole-cut meat directions must specify 145°F and a 3-minute rest"))
     )
-    fish = has(ingredients, "anchovy", "cod", "fish", "salmon", "tuna", "trout", "tilapia") & ~heat(145) & ~has(directions, "opaque") & ~has(directions, "flakes? (?:easily|with a fork)")
-    shell = has(ingredients, "clam", "crab", "lobster", "mussel", "oyster", "scallop", "shellfish", "shrimp") & ~has(directions, "pearly", "white", "opaque", "shells? open")
-    return F.array_compact(
+    fish = has(foods, "anchovy", "cod", "fish", "salmon", "tuna", "trout", "tilapia") & ~heat(145) & ~has(directions, "opaque") & ~has(directions, "flakes? (?:easily|with a fork)")
+    shell = has(foods, "clam", "crab", "lobster", "mussel", "oyster", "scallop", "shellfish", "shrimp") & ~has(directions, "pearly", "white", "opaque", "shells? open")
+    firm = rf"(?i){B}(?:yolk|white|center|centers|middle|batter).{{0,30}}{B}(?:firm|set|cooked through|no longer wet){E}"
+    flagged = F.rlike(F.lower(nothing if flags is None else F.coalesce(flags, nothing)), F.lit("raw.animal|missing.food.safety|egg"))
+    eggs = has(foods, "eggs?") & ~casserole & ~heat(160) & ~F.rlike(directions, F.lit(firm)) & flagged
+    return F.array_distinct(F.array_compact(
         F.array(
+            F.when(has(nothing if operations is None else operations, "can", "canning", "ferment", "fermentation", "preserv", "sous vide"), F.lit("home canning, fermentation, preservation, or sous-vide methods require manual safety review")),
             ladder,
             F.when(fish, F.lit("fish directions must specify 145°F or an opaque, easily flaked endpoint")),
             F.when(shell, F.lit("shellfish directions must specify an opaque or open-shell endpoint")),
+            F.when(eggs, F.lit("raw-egg directions must specify 160°F or a firm, fully set endpoint")),
         )
-    )
+    ))

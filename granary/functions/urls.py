@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from urllib.parse import urljoin
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,37 +48,77 @@ def path_of(url: Column) -> Column:
     return F.when(got == "", F.lit("/")).otherwise(got)
 
 
-def listed(url: Column, base_host: str, allow: list[str], block: list[str]) -> Column:
-    """On the host, no blocked part, and an allowed part of the path (any, if none is named)."""
-    blocked = [F.contains(url, F.lit(b)) for b in block]
-    allowed = [F.contains(path_of(url), F.lit(a)) for a in allow]
-    out = host(url) == base_host
-    for b in blocked:
-        out = out & ~b
-    return out & (_any(allowed) if allowed else F.lit(True))
+def request_of(url: Column) -> Column:
+    """Path and query."""
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    return F.concat(path_of(url), query)
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+def authority(url: Column) -> Column:
+    """Lower-case host with its port, a www. included."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-_LOC = re.compile(r"<loc>\s*(.*?)\s*</loc>", re.I | re.S)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+def holds_any(text: Column, parts: Column) -> Column:
+    """Whether a text holds any of an array of parts; null counts as none."""
+    return F.exists(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.contains(text, p))
+
+
+def _unnamed(parts: Column) -> Column:
+    return F.coalesce(F.size(parts), F.lit(0)) <= 0
+
+
+def listed(url: Column, base: Column, allow: Column, block: Column) -> Column:
+    """On the base's host, no blocked part in the path, and an allowed part in it (any, if none is named)."""
+    path = path_of(url)
+    return (authority(url) == authority(base)) & ~holds_any(path, block) & (_unnamed(allow) | holds_any(path, allow))
+
+
+def followable(url: Column, base: Column, follow: Column, block: Column) -> Column:
+    """On the base's host, no blocked part in the path, and a part to follow in path or query."""
+    return (authority(url) == authority(base)) & ~holds_any(path_of(url), block) & holds_any(request_of(url), follow)
+
+
+def in_sitemap(url: Column, base: Column, hosts: Column, allow: Column) -> Column:
+    """On the base's host or one of some hosts, with an allowed part in the address (any, if none is named)."""
+    known = (authority(url) == authority(base)) | F.coalesce(F.array_contains(hosts, authority(url)), F.lit(False))
+    return known & (_unnamed(allow) | holds_any(url, allow))
+
+
+def is_sitemap(url: Column, content_type: Column) -> Column:
+    xml = F.rlike(path_of(url), F.lit(r"(?i)\.xml(?:\.gz)?(?:$|\?)"))
+    return xml | (F.contains(F.coalesce(content_type, F.lit("")), F.lit("xml")) & F.contains(url, F.lit("sitemap")))
+
+
+_LOC = re.compile(r"<loc\b[^>]*>(.*?)</loc>", re.I | re.S)
+_HREF = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s>]+))", re.I)
+#: Default ports; characters that stay as they are in a path and in a query. Fixed values.
+_PORTS = {"http": 80, "https": 443}
+_PATH, _QUERY = "!$%&'()*+,-./:;=@[]^_|~\\", "!$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
+def absolute(link: str, base: str) -> str | None:
+    """The address of a link on a page; null if there is none."""
+    try:
+        parts = urlsplit(urljoin(base, link.strip()))
+        port = parts.port
+    except ValueError:
+        return None
+    if not parts.scheme or (parts.scheme in _PORTS and not parts.hostname):
+        return None
+    if parts.scheme not in _PORTS:
+        return parts.geturl()
+    user = parts.netloc.rpartition("@")[0]
+    where = (f"{user}@" if user else "") + parts.hostname + (f":{port}" if port and port != _PORTS[parts.scheme] else "")
+    query = f"?{quote(parts.query, safe=_QUERY)}" if parts.query else ""
+    return f"{parts.scheme}://{where}{quote(parts.path, safe=_PATH) or '/'}{query}" + (f"#{quote(parts.fragment, safe=_QUERY)}" if parts.fragment else "")
 
 
 def links_of(text: str | None, base: str | None) -> list[str]:
-    """Site map locations, then anchors, resolved against the base, distinct in order."""
-    found = _LOC.findall(text or "") + ["".join(g) for g in _HREF.findall(text or "")]
-    out = []
-    for link in found:
-        try:
-            out.append(urljoin(base or "", link.strip()))
-        except ValueError:
-            continue
-    return list(dict.fromkeys(out))
+    """Site map locations as they are, then anchors resolved against the base, distinct in order."""
+    found = [m.strip().replace("&amp;", "&") for m in _LOC.findall(text or "")]
+    found += [absolute("".join(g), base or "") for g in _HREF.findall(text or "")]
+    return list(dict.fromkeys(x for x in found if x))
 
 
 def _links(texts: pd.Series, bases: pd.Series) -> pd.Series:
@@ -110,9 +151,9 @@ def robots_groups(text: str, agent: str) -> dict:
             rules = groups[-1][1]
             if key in ("allow", "disallow"):
                 rules[key].append(value)
-            elif key == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", value):
-                rules["delay_ms"] = max(rules["delay_ms"], int(float(value) * 1000))
-    own = [g for n, g in groups if any(x != "*" and x and agent.lower().startswith(x) for x in n)] or [g for n, g in groups if "*" in n]
+            elif key == "crawl-delay":
+                rules["delay_ms"] = math.ceil(float(value) * 1000) if re.fullmatch(r"\d+(\.\d+)?", value) else 0
+    own = [g for n, g in groups if any(x != "*" and agent.lower().startswith(x) for x in n)] or [g for n, g in groups if "*" in n]
     if not own:
         return {}
     return {"allow": [r for g in own for r in g["allow"]], "disallow": [r for g in own for r in g["disallow"]], "delay_ms": max(g["delay_ms"] for g in own)}

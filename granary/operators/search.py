@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matches(needle: str, fields: list[Column], facets: list[tuple[Column, str]]) -> Column:
-    """The trimmed needle as a substring of the lower-cased fields, and every facet equal ("all": any)."""
-    text = F.lower(F.concat_ws(" ", *fields))
+def matches(needle: str, fields: list[Column], facets: list[tuple[Column, str]] = (), within: list[tuple[Column, str]] = ()) -> Column:
+    """The trimmed needle as a substring of the lower-cased fields that are not empty, every facet equal, and every array
+    with its wanted value ("all": any)."""
+    text = F.lower(F.array_join(F.filter(F.array(*fields), lambda x: x.isNotNull() & (x != "")), " "))
     out = F.contains(text, F.lit(needle.strip().lower()))
     for column, wanted in facets:
         if wanted != "all":
-            out = out & (column == wanted)
+            out = out & F.coalesce(column == wanted, F.lit(False))
+    for array, wanted in within:
+        if wanted != "all":
+            out = out & F.coalesce(F.array_contains(array, wanted), F.lit(False))
     return out
 
 
@@ -30,3 +34,18 @@ def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 def next_position(items: DataFrame, group: str, order: str) -> DataFrame:
     """Positions from 0 in each group."""
     return items.withColumn("position", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+
+
+def first_in_order(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows in an order; never the first that happen to be read."""
+    return rows.orderBy(*order).limit(n)
+
+
+def in_order_of(rows: DataFrame, inputs: DataFrame, key: str, place: str) -> DataFrame:
+    """rows with the place of their key among the inputs, sorted by it; unknown keys come last."""
+    return rows.join(inputs.select(key, place), key, "left").orderBy(F.col(place).asc_nulls_last(), key)
+
+
+def collated(rows: DataFrame, column: str) -> DataFrame:
+    """rows sorted as readers expect it: by the Unicode collation, not by code points."""
+    return rows.orderBy(F.collate(F.col(column), "UNICODE"), column)

@@ -5,19 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import bound, jaccard, ngrams, percent, tokens
+from granary.functions.text import bound, folded_lists, folded_tokens, jaccard, ngrams, percent, tokens
 
 
-def phrases(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, phrase, pos): the first place of each distinct n-gram; exploded from sorted words, so no array of phrases is kept."""
-    return df.select(key, F.posexplode(ngrams(tokens(F.col(text)), n)).alias("pos", "phrase"))
+def _window(words: Column, at: Column, n: int) -> Column:
+    return F.slice(words, at + 1, n)
+
+
+def _hashes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, at, h): a hash of every window of n folded tokens of a text."""
+    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    hashes = bound(folded_tokens(F.col(text)), lambda w: F.transform(starts(w), lambda i: F.xxhash64(_window(w, i, n))))
+    return df.select(key, F.posexplode(hashes).alias("at", "h"))
+
+
+def _spelt(df: DataFrame, key: str, text: str, n: int, hits: DataFrame) -> DataFrame:
+    """(key, at, h, phrase) of hits (key, at, h); texts are read again for the rows that have some."""
+    listed = hits.groupBy(key).agg(F.collect_set(F.struct("at", "h")).alias("hits"))
+    both = F.struct(folded_tokens(F.col(text)).alias("words"), F.col("hits"))
+    spell = lambda p: F.transform(p["hits"], lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), _window(p["words"], x["at"], n).alias("words")))
+    found = df.select(key, text).join(listed, key).select(key, F.explode(bound(both, spell)).alias("x"))
+    # rows with the same key have other words in a place
+    return found.where(F.xxhash64("x.words") == F.col("x.h")).select(key, "x.at", "x.h", F.array_join("x.words", " ").alias("phrase"))
 
 
 def copied_phrases(sources: DataFrame, finals: DataFrame, key: str, final_key: str, n: int = 8) -> DataFrame:
-    """For each pair that shares n-grams: how many, and the first in the final's order."""
-    a, b = phrases(sources, key, "text", n).drop("pos"), phrases(finals, final_key, "text", n)
-    shared = a.join(b, "phrase").groupBy(key, final_key)
-    return shared.agg(F.count(F.lit(1)).alias("n_shared"), F.min_by("phrase", "pos").alias("first_phrase"))
+    """For each pair that shares n-grams (folded tokens): how many distinct ones, and the first in the final's order.
+
+    Windows meet by hash, as longs; only those that do are spelt out and compared.
+    """
+    a, b = _hashes(sources, key, "text", n), _hashes(finals, final_key, "text", n)
+    held = a.join(b.select("h").distinct(), "h", "left_semi")
+    shared = b.join(held.select("h").distinct(), "h", "left_semi")
+    left = _spelt(sources, key, "text", n, held).select(key, "h", "phrase").distinct()
+    right = _spelt(finals, final_key, "text", n, shared).withColumnRenamed("at", "pos")
+    met = left.join(right, ["h", "phrase"])
+    return met.groupBy(key, final_key).agg(F.count_distinct("phrase").alias("n_shared"), F.min_by("phrase", "pos").alias("first_phrase"))
 
 
 def word_counts(df: DataFrame, text: str, least: int = 1, stopwords: list[str] = ()) -> DataFrame:
@@ -42,21 +65,20 @@ def change_percent(before: Column, after: Column) -> Column:
 
 
 def trigram_percent(a: Column, b: Column) -> Column:
-    return percent(jaccard(ngrams(tokens(a), 3), ngrams(tokens(b), 3)))
+    return percent(jaccard(ngrams(folded_tokens(a), 3), ngrams(folded_tokens(b), 3)))
 
 
 def max_step_percent(left: Column, right: Column) -> Column:
     """The largest trigram overlap between any step of two arrays of texts; 0 if either has none."""
-    a = F.transform(left, lambda x: ngrams(tokens(x), 3))
-    b = F.transform(right, lambda x: ngrams(tokens(x), 3))
+    a, b = (F.transform(F.coalesce(folded_lists(c), F.array().cast("array<string>")), lambda x: ngrams(tokens(x), 3)) for c in (left, right))
     best = lambda p: F.array_max(F.transform(p["a"], lambda x: F.array_max(F.transform(p["b"], lambda y: percent(jaccard(x, y))))))
     return F.coalesce(bound(F.struct(a.alias("a"), b.alias("b")), best), F.lit(0.0))
 
 
 def terms_in(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, term): terms (column term) that a text holds as whole words; an equi-join on word windows as long as terms are, not a nested loop."""
-    words = tokens(F.col(text))
-    folded = terms.select("term", tokens(F.col("term")).alias("words")).where(F.size("words") > 0)
+    words = folded_tokens(F.col(text))
+    folded = terms.select("term", folded_tokens(F.col("term")).alias("words")).where(F.size("words") > 0)
     wanted = folded.select("term", F.array_join("words", " ").alias("folded")).distinct()
     lengths = sorted(r["n"] for r in folded.select(F.size("words").alias("n")).distinct().collect())
     windows = [F.array_distinct(words) if n == 1 else ngrams(words, n) for n in lengths] or [F.array().cast("array<string>")]

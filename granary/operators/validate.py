@@ -43,3 +43,21 @@ def staleness(version: Column, wanted: str, source_hash: Column, source: Column,
     """Why a staged row can't be used again: its version or either of its texts' digests changed."""
     differs = lambda digest, text: ~F.coalesce(digest, F.lit("")).eqNullSafe(F.sha2(F.coalesce(text, F.lit("")), 256))
     return all_matches([(~version.eqNullSafe(F.lit(wanted)), "version changed"), (differs(source_hash, source), "source changed"), (differs(final_hash, final), "text changed")])
+
+
+def all_errors(*lists: Column) -> Column:
+    """Errors of several lists, each once, in the order of their first; null lists count as empty."""
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one table has more often than the other, with side (left or right); none if they hold the same rows."""
+    columns = a.columns
+    left, right = a.exceptAll(b.select(*columns)), b.select(*columns).exceptAll(a)
+    return left.withColumn("side", F.lit("left")).union(right.withColumn("side", F.lit("right")))
+
+
+def run_analytics(records: DataFrame, status: str, words: DataFrame, top: int = 25) -> DataFrame:
+    """(kind, name, n): how many records have each status, and the most frequent words (word, n) of all."""
+    counts = records.groupBy(F.col(status).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("status").alias("kind"), "name", "n")
+    return counts.union(words.orderBy(F.col("n").desc(), "word").limit(top).select(F.lit("word").alias("kind"), F.col("word").alias("name"), "n"))

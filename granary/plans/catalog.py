@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions import numbers, produce, rules, text, urls
+from granary.functions import numbers, rules, text, urls
 from granary.operators import gates, increments, publish, resolve, search, similarity, validate
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 STOPWORDS = "a an and are as at be by for from in into is it of on or that the their then this to until with".split()
 _TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+#: Tokens after accents are removed.
+_FOLDED = "regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[a-z0-9]+')"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - {n} + 2, 1)), lambda i: array_to_string({0}[i:i + {n} - 1], ' ')))"
 
 
@@ -31,8 +33,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # text
 
 
-@_query(f"""WITH a AS (SELECT doc_id, unnest({_GRAMS.format("w", n=8)}) AS g FROM (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents)),
-b AS (SELECT item_id, g, min(pos) AS pos FROM (SELECT item_id, i AS pos, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, {_TOKENS.format("text")} AS w FROM benchmark), unnest(range(1, greatest(len(w) - 6, 1))) AS u(i)) GROUP BY item_id, g)
+@_query(f"""WITH a AS (SELECT doc_id, unnest({_GRAMS.format("w", n=8)}) AS g FROM (SELECT doc_id, {_FOLDED.format("text")} AS w FROM documents)),
+b AS (SELECT item_id, g, min(pos) AS pos FROM (SELECT item_id, i AS pos, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, {_FOLDED.format("text")} AS w FROM benchmark), unnest(range(1, greatest(len(w) - 6, 1))) AS u(i)) GROUP BY item_id, g)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, arg_min(b.g, pos) AS first_phrase FROM a JOIN b ON a.g = b.g GROUP BY doc_id, item_id""")
 def copied_phrase(spark, sf_dir):
     return similarity.copied_phrases(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"), "doc_id", "item_id")
@@ -74,7 +76,7 @@ def prose_change_pct(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", similarity.change_percent(size("text"), size("reply")).alias("change_percent"))
 
 
-_SIM = f"""WITH t AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS x, {_TOKENS.format('reply')} AS y FROM {_TURNS} WHERE reply IS NOT NULL),
+_SIM = f"""WITH t AS (SELECT conv_id, turn, {_FOLDED.format('text')} AS x, {_FOLDED.format('reply')} AS y FROM {_TURNS} WHERE reply IS NOT NULL),
 g AS (SELECT conv_id, turn, {_GRAMS.format('x', n=3)} AS a, {_GRAMS.format('y', n=3)} AS b FROM t),
 s AS (SELECT conv_id, turn, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE floor(len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)) * 1000 + 0.5) / 10 END::DOUBLE AS likeness FROM g)"""
 
@@ -84,13 +86,16 @@ def jaccard_pairs(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", similarity.trigram_percent(F.col("text"), F.col("reply")).alias("likeness"))
 
 
-@_query(_SIM + " SELECT conv_id, turn, CASE WHEN likeness >= 50 THEN 'hold' WHEN likeness >= 20 THEN 'model' ELSE 'pass' END AS mode FROM s")
+@_query(_SIM + """ SELECT conv_id, turn, CASE WHEN likeness >= 50 THEN 'hold' WHEN likeness >= 20 THEN 'model' ELSE 'pass' END AS mode,
+CASE WHEN likeness >= 50 THEN 'source/final prose trigram overlap is ' || CASE WHEN likeness = floor(likeness) THEN floor(likeness)::BIGINT::VARCHAR ELSE likeness::VARCHAR END || '%'
+WHEN likeness >= 20 THEN 'deterministic similarity is borderline and requires model review' ELSE '' END AS reasons FROM s""")
 def review_disposition(spark, sf_dir):
     likeness = similarity.trigram_percent(F.col("text"), F.col("reply"))
-    return _turns(spark, sf_dir).select("conv_id", "turn", rules.disposition(likeness, F.lit(0.0), F.lit(0), F.lit(False)).alias("mode"))
+    made = rules.disposition(likeness, F.lit(0.0), F.array().cast("array<string>"), F.lit(False))
+    return _turns(spark, sf_dir).select("conv_id", "turn", made.alias("d")).select("conv_id", "turn", "d.mode", F.array_join("d.reasons", "; ").alias("reasons"))
 
 
-@_query(f"""WITH t AS (SELECT conv_id, role, {_GRAMS.format('w', n=3)} AS g FROM (SELECT conv_id, role, {_TOKENS.format('text')} AS w FROM conversations)),
+@_query(f"""WITH t AS (SELECT conv_id, role, {_GRAMS.format('w', n=3)} AS g FROM (SELECT conv_id, role, {_FOLDED.format('text')} AS w FROM conversations)),
 p AS (SELECT a.conv_id, CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0 ELSE floor(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(a.g || b.g)) * 1000 + 0.5) / 10 END AS s
 FROM t AS a JOIN t AS b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant')
 SELECT c.conv_id, coalesce(max(s), 0.0)::DOUBLE AS max_step FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY c.conv_id""")
@@ -101,7 +106,7 @@ def max_step_similarity(spark, sf_dir):
 
 
 @_query(f"""WITH b AS (SELECT DISTINCT n_name AS term, lower(n_name) AS f FROM nation UNION SELECT DISTINCT word, word FROM (VALUES ('worthless'), ('the of'), ('by and')) AS v(word)),
-d AS (SELECT doc_id, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' AS t FROM documents)
+d AS (SELECT doc_id, ' ' || array_to_string({_FOLDED.format('text')}, ' ') || ' ' AS t FROM documents)
 SELECT DISTINCT doc_id, term FROM d JOIN b ON contains(t, ' ' || f || ' ')""")
 def brand_terms(spark, sf_dir):
     more = F.explode(F.array(F.lit("worthless"), F.lit("the of"), F.lit("by and"))).alias("term")
@@ -143,36 +148,12 @@ def archive_id(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", urls.archive_id(F.col("url")).alias("archive_id"))
 
 
-@_query()
+@_query(r"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first_at) - 1)::BIGINT AS pos, link FROM (SELECT page_id, link, min(i) AS first_at
+FROM (SELECT page_id, i, regexp_extract(lower(url), '^[a-z]+://[^/?#]+', 0) || replace(replace(url_encode(hs[i]), '%2F', '/'), '%2C', ',') AS link
+FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*"([^"]+)"', 1) AS hs FROM pages), unnest(range(1, len(hs) + 1)) AS u(i)) GROUP BY page_id, link)""")
 def link_extract(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
-    return pages.select("page_id", F.posexplode(urls.links("html", "url")).alias("pos", "link"))
-
-
-@_query(rf"""SELECT page_id FROM pages WHERE contains(url, 'example') AND NOT contains(url, 'spam') AND (contains(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/en/')
-OR contains(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/fr/'))""")
-def allow_block_filter(spark, sf_dir):
-    url = F.col("url")
-    allowed = F.exists(F.array(F.lit("/en/"), F.lit("/fr/")), lambda a: F.contains(urls.path_of(url), a))
-    return _t(spark, sf_dir, "pages").where(F.contains(url, F.lit("example")) & ~F.contains(url, F.lit("spam")) & allowed).select("page_id")
-
-
-#: Robots rules of the query: pattern and whether it allows.
-_RULES = [("/", True), ("/*/1", False), ("/en/1*", True), ("/de", False)]
-
-
-@_query(r"""WITH r AS (SELECT * FROM (VALUES ('^/', 1, TRUE), ('^/.*/1', 4, FALSE), ('^/en/1.*', 6, TRUE), ('^/de', 3, FALSE)) AS v(p, n, ok)),
-t AS (SELECT page_id, CASE WHEN x = '' THEN '/' ELSE x END AS path FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS x FROM pages))
-SELECT page_id, coalesce(arg_max(ok, n * 2 + ok::INT), TRUE) AS allowed FROM t LEFT JOIN r ON regexp_matches(path, p) GROUP BY page_id""")
-def robots_decision(spark, sf_dir):
-    path = urls.path_of(F.col("url"))
-    hits = [F.when(F.rlike(path, urls.rule_pattern(F.lit(p))), F.struct(F.lit(len(p)).alias("n"), F.lit(ok).alias("ok"))) for p, ok in _RULES]
-    return _t(spark, sf_dir, "pages").select("page_id", F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["ok"], F.lit(True)).alias("allowed"))
-
-
-@_query()
-def plain_text(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", text.plain_text("html").alias("plain_text"))
+    return pages.select("page_id", F.posexplode(urls.links("html", "url")).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), "link")
 
 
 @_query("""SELECT p_partkey, p_name AS name, '{"@type":"Recipe","name":"' || p_name || '","size":' || p_size || '}' AS node FROM part""")
@@ -183,14 +164,6 @@ def jsonld_extract(spark, sf_dir):
     return nodes.select("p_partkey", F.get_json_object("node", "$.name").alias("name"), "node")
 
 
-@_query("SELECT p_partkey, p_name AS name, 2::BIGINT AS n_lines FROM part")
-def microdata_extract(spark, sf_dir):
-    name = F.col("p_name")
-    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Recipe"><h1 itemprop="name">'), name, F.lit('</h1><li itemprop="recipeIngredient">1 cup '), name, F.lit('</li><li itemprop="recipeIngredient">salt</li><p itemprop="recipeInstructions">Mix.</p></div>'))
-    got = _t(spark, sf_dir, "part").select("p_partkey", text.microdata(html).alias("r"))
-    return got.select("p_partkey", F.get_json_object("r", "$.name[0]").alias("name"), F.json_array_length(F.get_json_object("r", "$.recipeIngredient")).cast("long").alias("n_lines"))
-
-
 @_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_props(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -199,12 +172,6 @@ def json_props(spark, sf_dir):
 # search and plans
 
 
-@_query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'a') AND p_size = 7")
-def facet_search(spark, sf_dir):
-    found = search.matches(" A ", [F.col("p_name"), F.col("p_brand"), F.col("p_type")], [(F.col("p_size").cast("string"), "7"), (F.col("p_brand"), "all")])
-    return _t(spark, sf_dir, "part").where(found).select("p_partkey")
-
-
 @_query("SELECT l_orderkey, l_linenumber, floor(l_quantity * 1.5 * 100 + 0.5) / 100 AS scaled FROM lineitem")
 def scale_quantity(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.scaled(F.col("l_quantity"), F.lit(1.5)).alias("scaled"))
@@ -231,37 +198,6 @@ def plan_join(spark, sf_dir):
 # quantities and dates
 
 
-@_query("""SELECT p_partkey, p_name AS item, p_size || ' 1/2' AS quantity, 'cups' AS unit, 'chopped' AS preparation, FALSE AS optional FROM part""")
-def parse_quantity_line(spark, sf_dir):
-    line = F.concat(F.col("p_size").cast("string"), F.lit("½ cups "), F.col("p_name"), F.lit(", chopped"))
-    return _t(spark, sf_dir, "part").select("p_partkey", numbers.parse_line(line).alias("r")).select("p_partkey", "r.item", "r.quantity", "r.unit", "r.preparation", "r.optional")
-
-
-@_query("SELECT p_partkey, (p_size * 60 + p_partkey % 60)::BIGINT AS minutes FROM part")
-def duration_iso(spark, sf_dir):
-    value = F.concat(F.lit("PT"), F.col("p_size").cast("string"), F.lit("H"), (F.col("p_partkey") % 60).cast("string"), F.lit("M"))
-    return _t(spark, sf_dir, "part").select("p_partkey", numbers.iso_minutes(value).alias("minutes"))
-
-
-@_query("SELECT p_partkey, (p_size * 60 + p_partkey % 60)::BIGINT AS minutes FROM part")
-def duration_english(spark, sf_dir):
-    value = F.concat(F.col("p_size").cast("string"), F.lit(" hours "), (F.col("p_partkey") % 60).cast("string"), F.lit(" min"))
-    return _t(spark, sf_dir, "part").select("p_partkey", numbers.english_minutes(value).alias("minutes"))
-
-
-@_query("SELECT p_partkey, p_size::DOUBLE AS low, (p_size + 2)::INT AS high FROM part")
-def yield_parse(spark, sf_dir):
-    value = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 2).cast("string"), F.lit(" servings"))
-    return _t(spark, sf_dir, "part").select("p_partkey", numbers.yield_quantity(value).alias("low"), numbers.inferred_yield(value).alias("high"))
-
-
-@_query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'tablespoon' WHEN 1 THEN 'pound' WHEN 2 THEN NULL ELSE 'Handful' END AS unit, p_size + 0.5::DOUBLE AS quantity FROM part")
-def normalize_unit(spark, sf_dir):
-    raw = F.element_at(F.array(*map(F.lit, ("tbsp", "LBS", "unit", "Handful"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    value = F.concat(F.col("p_size").cast("string"), F.lit(" 1/2"))
-    return _t(spark, sf_dir, "part").select("p_partkey", numbers.normal_unit(raw).alias("unit"), numbers.quantity_value(value).alias("quantity"))
-
-
 @_query("SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2000-01-01')::INT AS age_days FROM orders")
 def date_age(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.lit("2000-01-01").cast("date"), numbers.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("age_days"))
@@ -270,46 +206,6 @@ def date_age(spark, sf_dir):
 # rules
 
 
-_DISHES = ["Tomato Salad", "Lentil Soup with Bread", "Almond Cake", "Chicken casserole", "Wheat stew", "Egg wrap", "Plain Tofu", "Iced coffee"]
-_DISH_SQL = "([" + ", ".join(f"'{d}'" for d in _DISHES) + f"])[1 + p_partkey % {len(_DISHES)}]"
-
-
-def _dish():
-    """A title made of a key's remainder, for rule queries."""
-    return F.element_at(F.array(*map(F.lit, _DISHES)), (F.col("p_partkey") % len(_DISHES) + 1).cast("int"))
-
-
-@_query(f"SELECT p_partkey, CASE WHEN t LIKE '%Salad%' THEN 'salad' WHEN t LIKE '%Soup%' OR t LIKE '%stew%' THEN 'soup' WHEN t LIKE '%wrap%' THEN 'sandwich' WHEN t LIKE '%Cake%' THEN 'dessert' WHEN t LIKE '%coffee%' THEN 'drink' ELSE 'other' END AS meal_type FROM (SELECT p_partkey, {_DISH_SQL} AS t FROM part)")
-def meal_type(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", rules.meal_type(_dish()).alias("meal_type"))
-
-
-@_query(f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN t LIKE '%egg%' THEN 'eggs' END, CASE WHEN t LIKE '%almond%' THEN 'tree-nuts' END,
-CASE WHEN t LIKE '%bread%' OR t LIKE '%wheat%' THEN 'wheat' END, CASE WHEN t LIKE '%tofu%' THEN 'soy' END], lambda x: x IS NOT NULL), ',') AS allergens FROM (SELECT p_partkey, lower({_DISH_SQL}) AS t FROM part)""")
-def allergens_ordered(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.allergens(_dish()), ",").alias("allergens"))
-
-
-@_query(f"SELECT p_partkey, CASE WHEN t LIKE '%egg%' THEN 'nut-free,vegetarian' WHEN t LIKE '%almond%' THEN 'vegan,vegetarian' ELSE 'vegan,nut-free,vegetarian' END AS diets FROM (SELECT p_partkey, lower({_DISH_SQL}) AS t FROM part)")
-def diet_reconcile(spark, sf_dir):
-    diets = F.array(*map(F.lit, ("vegan", "nut-free", "vegetarian", "vegan")))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.reconciled_diets(diets, rules.allergens(_dish())), ",").alias("diets"))
-
-
-@_query(f"SELECT p_partkey, CASE WHEN t = 'Chicken casserole' AND p_size % 2 = 0 THEN 'meat or egg casserole directions must specify 165°F' ELSE '' END AS reasons FROM (SELECT p_partkey, p_size, {_DISH_SQL} AS t FROM part)")
-def safety_ladder(spark, sf_dir):
-    dish = _dish()
-    directions = F.when(F.col("p_size") % 2 == 0, F.lit("Bake until done.")).otherwise(F.lit("Bake to 165 degrees F."))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.food_safety(dish, directions, dish), "; ").alias("reasons"))
-
-
-@_query("""SELECT p_partkey, i - 1 AS pos, ([ 'preheat', 'add', 'bake' ])[i] AS action, ([0, 0, p_size * 60])[i]::BIGINT AS minutes, ([350, 0, 0])[i]::INT AS fahrenheit FROM part, unnest([1, 2, 3]) AS u(i)""")
-def clause_operations(spark, sf_dir):
-    line = F.concat(F.lit("Preheat oven to 350°F. Add salt; bake for "), F.col("p_size").cast("string"), F.lit(" hours"))
-    rows = _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(rules.clauses(F.array(line))).alias("pos", "c"))
-    return rows.select("p_partkey", F.col("pos").cast("long").alias("pos"), rules.action(F.col("c")).alias("action"), rules.clause_minutes(F.col("c")).alias("minutes"), rules.clause_fahrenheit(F.col("c")).alias("fahrenheit"))
-
-
 @_query("""SELECT doc_id, quality, toxic, array_to_string(list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'low quality' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM labels""")
 def review_reasons(spark, sf_dir):
     found = rules.all_matches([(F.col("toxic") == 1, "toxic"), (F.col("quality") == 0, "low quality")])
@@ -322,40 +218,6 @@ def review_reasons(spark, sf_dir):
 _KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@_query(f"""WITH i AS (SELECT {_KEY.format('p_name')} AS k, min(p_partkey) AS id FROM part GROUP BY 1)
-SELECT l_orderkey, l_linenumber, id FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN i ON i.k = {_KEY.format("upper(p_name) || '!'")}""")
-def alias_resolve(spark, sf_dir):
-    part = _t(spark, sf_dir, "part")
-    lines = _t(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.concat(F.upper("p_name"), F.lit("!")).alias("item"))
-    return resolve.resolved(lines, "item", resolve.alias_index(part, "p_partkey", ["p_name"])).select("l_orderkey", "l_linenumber", "id")
-
-
-@_query(f"SELECT key, count(DISTINCT id)::BIGINT AS n_ids FROM (SELECT p_partkey AS id, {_KEY.format('p_name')} AS key FROM part UNION SELECT p_partkey, {_KEY.format('p_brand')} FROM part) WHERE key <> '' GROUP BY key HAVING count(DISTINCT id) > 1")
-def ambiguous_alias(spark, sf_dir):
-    return resolve.ambiguous(resolve.alias_index(_t(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand"]))
-
-
-@_query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY b) > 1 THEN substr(b, 1, 91) || '-' || substr(sha256(p_partkey::VARCHAR), 1, 8) ELSE b END AS minted_id FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS b FROM part)")
-def mint_ids(spark, sf_dir):
-    rows = _t(spark, sf_dir, "part").withColumn("base", text.slug(F.col("p_name")))
-    return resolve.minted_ids(rows, "p_partkey", "base", "p_partkey").select("p_partkey", "minted_id")
-
-
-@_query("SELECT p_name, count(*)::BIGINT AS n, min(p_partkey) AS first_id FROM part GROUP BY p_name HAVING count(*) > 1")
-def dup_title_ids(spark, sf_dir):
-    return resolve.duplicate_groups(_t(spark, sf_dir, "part"), "p_name", "p_partkey")
-
-
-@_query("SELECT p_brand, n, min(p_type) AS p_type FROM (SELECT *, max(n) OVER (PARTITION BY p_brand) AS m FROM (SELECT p_brand, p_type, count(*)::BIGINT AS n FROM part GROUP BY ALL)) WHERE n = m GROUP BY p_brand, n")
-def mode_unit(spark, sf_dir):
-    return resolve.mode_of(_t(spark, sf_dir, "part"), "p_brand", "p_type")
-
-
-@_query("SELECT p_brand, count(DISTINCT p_name)::BIGINT AS n_names, count(*)::BIGINT AS n_rows FROM part GROUP BY p_brand")
-def key_groups(spark, sf_dir):
-    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_distinct("p_name").alias("n_names"), F.count(F.lit(1)).alias("n_rows"))
-
-
 @_query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def fk_anti(spark, sf_dir):
     rich = _t(spark, sf_dir, "customer").where("c_acctbal > 0")
@@ -376,19 +238,6 @@ def host_quota(spark, sf_dir):
     return gates.within_quota(rows, "source", "doc_id", F.col("toxic") == 0, 5).select("doc_id", "source", "accepted")
 
 
-@_query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus <> 'F' THEN 'draft-only' END,
-CASE WHEN date_diff('day', o_orderdate::DATE, DATE '1998-12-01') > 1000 THEN 'stale review' END], lambda x: x IS NOT NULL), '; ') AS issues FROM orders""")
-def rights_issues(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "F", F.lit("approved")).otherwise(F.lit("draft-only"))
-    found = gates.rights_issues(status, F.lit("licence"), F.lit("x"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(""), F.lit("1998-12-01").cast("date"), 1000)
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "; ").alias("issues"))
-
-
-@_query()
-def concentration_fold(spark, sf_dir):
-    return gates.share_gate(_t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("nation")), "nation", "s_suppkey", 10.0, 20)
-
-
 @_query("SELECT event_type, count(*)::BIGINT AS n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share FROM events GROUP BY event_type")
 def status_rollup(spark, sf_dir):
     counted = _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -485,38 +334,6 @@ def frontier_levels(spark, sf_dir):
 # ingredients and queues
 
 
-_FOODS = ["roma tomato", "coconut milk", "cheddar cheese", "dried basil", "basil leaves", "bunch of thyme", "carrot", "egg", "olive oil", "paper towel"]
-_FOOD_SQL = "([" + ", ".join(f"'{d}'" for d in _FOODS) + f"])[1 + p_partkey % {len(_FOODS)}]"
-_KINDS_SQL = "(['produce', 'other', 'dairy', 'herb', 'herb', 'grain', 'produce', 'protein', 'oil', 'other'])[1 + p_partkey % 10]"
-_TIMES_SQL = "(['summer,fall', 'year-round', 'year-round', 'year-round', 'summer,fall', 'year-round', 'fall,winter', 'year-round', 'year-round', 'year-round'])[1 + p_partkey % 10]"
-
-
-def _food():
-    return F.element_at(F.array(*map(F.lit, _FOODS)), (F.col("p_partkey") % len(_FOODS) + 1).cast("int"))
-
-
-@_query(f"SELECT p_partkey, {_FOOD_SQL} AS food, {_KINDS_SQL} AS category, {_TIMES_SQL} AS seasons FROM part")
-def first_match_category(spark, sf_dir):
-    rows = _t(spark, sf_dir, "part").select("p_partkey", _food().alias("food")).withColumn("category", produce.category(F.col("food")))
-    return rows.withColumn("seasons", F.array_join(produce.seasons(F.col("food"), F.col("category")), ","))
-
-
-@_query("SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'oven,skillet' ELSE 'saucepan,colander' END AS equipment FROM part")
-def all_match_flags(spark, sf_dir):
-    line = F.when(F.col("p_partkey") % 2 == 0, F.lit("Heat the Oven; brown in a large pan.")).otherwise(F.lit("Boil in a medium pot, then drain."))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(produce.equipment(line), ",").alias("equipment"))
-
-
-@_query("SELECT p_partkey, (['summer,fall', 'fall,winter', 'summer', 'year-round'])[1 + p_partkey % 4] AS seasons FROM part")
-def season_scores(spark, sf_dir):
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("p_partkey") % 4 + 1).cast("int"))
-    title = pick("tomato tart with carrot", "carrot soup", "summer plate", "plain toast")
-    lines = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, s)).alias("seasons")) for n, s in (("tomato", ("summer", "fall")), ("carrot", ("fall", "winter")), ("rice", ("year-round",)))])
-    used = F.filter(lines, lambda i: F.contains(title, i["name"]))
-    scores = produce.season_scores(title, F.get(F.split(title, " with "), F.lit(0)), used)
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(produce.seasons_of_scores(scores), ",").alias("seasons"))
-
-
 @_query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') OR o_orderkey % 3 = 0")
 def queue_resume(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -532,12 +349,6 @@ def seed_pages(spark, sf_dir):
     return increments.seed_pages(sites, "n_nationkey", "seeds", "template", "low", "high")
 
 
-@_query("SELECT s_suppkey, CASE WHEN s_nationkey >= 10 OR s_suppkey % 5 = 0 THEN 'more' WHEN s_suppkey % 2 = 0 THEN 'exhausted' ELSE 'incomplete' END AS state FROM supplier")
-def crawl_state(spark, sf_dir):
-    state = increments.crawl_state(F.col("s_nationkey"), F.lit(10), F.col("s_suppkey") % 2, F.col("s_suppkey") % 5 != 0)
-    return _t(spark, sf_dir, "supplier").select("s_suppkey", state.alias("state"))
-
-
 @_query("SELECT c_custkey FROM customer WHERE c_custkey % 4 = 0 OR (c_custkey % 9 = 0 AND c_mktsegment IS NOT NULL)")
 def deep_conflict(spark, sf_dir):
     staged = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -555,6 +366,10 @@ def stage_freshness(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(issues, "; ").alias("issues"))
 
 
+# queries of further modules join the same list
+from granary.plans import golden, records  # noqa: E402, F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
