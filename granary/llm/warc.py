@@ -6,9 +6,10 @@ records, which may land in any archive. The reader parses archives one by one, g
 of their origin record, orders them by number, verifies that none is missing and that the total length is the
 stated one, and decodes the chunked framing.
 
-Archives are compressed by gzip and written by Spark's own committing text writer (a record is bytes, its last
-line end comes from the writer), so they can live in any store and a lost executor leaves no half of an archive.
-The reader takes plain archives as well.
+Each record is a gzip member of its own, so one can be read alone. Archives are written by Spark's own committing
+text writer (a row is bytes; the separator is the last byte of a member, 0 in all below 16 MB), so they can live in
+any store and a lost executor leaves no half of an archive. An archive holds a bounded number of records, and a record
+a bounded block. The reader takes plain archives as well and holds one record at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from granary.llm._common import new_path, small_batches, written
 
-SEGMENT, CHUNK = 64 * 1024, 16 * 1024
+#: Bytes of a record's block and of a chunk, at most; records of an archive, at most.
+SEGMENT, CHUNK, RECORDS = 16 * 1024, 4 * 1024, 4096
 CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 
 
@@ -57,25 +60,36 @@ def dechunked(body: bytes) -> bytes:
 
 
 def record(fields: dict[str, str], block: bytes) -> bytes:
-    """A record without its last line end."""
     lines = [b"WARC/1.1", *(f"{k}: {v}".encode() for k, v in fields.items()), b"Content-Length: %d" % len(block)]
-    return CRLF.join(lines) + CRLF + CRLF + block + CRLF
+    return CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(CRLF + CRLF, at)
-        version, *lines = data[at:end].split(CRLF)
+def member(data: bytes) -> bytes:
+    """A gzip member without its last byte if that is 0; otherwise whole (a reader skips the zero that follows)."""
+    packed = gzip.compress(data, 6, mtime=0)
+    return packed[:-1] if packed.endswith(b"\0") else packed
+
+
+def records(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of a stream's records, one after another."""
+    while version := data.readline():
         if not version.startswith(b"WARC/"):
             raise ValueError("no record starts here")
-        fields = {k.lower().decode(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines)}
+        fields: dict[str, str] = {}
+        while (line := data.readline()) != CRLF:
+            if not line.endswith(CRLF):
+                raise ValueError("a record ends early")
+            name, _, value = line.partition(b":")
+            fields[name.lower().decode()] = value.strip().decode()
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
+        block = data.read(size)
+        if len(block) != size or data.read(4) != CRLF + CRLF:
             raise ValueError("a record ends early")
         yield fields, block
-        at = end + 4 + size + 4
+
+
+def opened(archive: bytes) -> io.BufferedIOBase:
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(archive))) if archive.startswith(GZIP) else io.BytesIO(archive)
 
 
 def segments(fields: dict[str, str], block: bytes, size: int = SEGMENT) -> list[bytes]:
@@ -103,13 +117,14 @@ def assemble(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT, archives: int | None = None) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", segment: int = SEGMENT, archives: int | None = None, most: int = RECORDS) -> None:
     """Write a record for every row of pages (page_id, url, html) into archives under path.
 
     Rows with payloads equal to another's, of ``least`` bytes or more, are revisits of the row with the largest
     page_id (of repeated ids, the last read). A null html is an empty payload, a null url leaves the target out,
     a null page_id counts below all others. Other columns are ignored; without rows no record is written. With a
-    number of archives, records (segments among them) are dealt out to so many; else each task writes an archive.
+    number of archives, records (segments among them) are dealt out to so many tasks; an archive has ``most`` records
+    at most.
     """
     spark = pages.sparkSession
     small_batches(spark, 256)
@@ -136,12 +151,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "202
                     out.append(record(fields, head + b"Content-Length: %d\r\n\r\n" % len(payload)))
                 else:
                     out += segments(fields, head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload), segment)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(member, out), pa.binary())], ["record"])
 
     made = joined.mapInArrow(build, "record binary")
     if archives:
         made = made.repartition(archives, F.xxhash64("record"))
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", most).text(path)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
@@ -168,8 +183,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch["content"]:
-                out, data = [], content.as_buffer().to_pybytes()
-                for f, block in records(gzip.decompress(data) if data.startswith(GZIP) else data):
+                out = []
+                for f, block in records(opened(content.as_buffer().to_pybytes())):
                     number, total, size = f.get("warc-segment-number"), f.get("warc-segment-total-length"), None
                     origin = f.get("warc-segment-origin-id", f["warc-record-id"])
                     if number is None:
