@@ -6,8 +6,9 @@ holds up to about a million ids of whole documents: the documents' ids and start
 minimum, width, start in the packed words and start in the exceptions, so any range of ids is read by decoding
 its own blocks.
 
-A file is the frames of one range of doc_id in order, each followed by a line feed. Files are written by Spark's
-own committing writer to the shared folder, so a lost executor leaves no half of a file behind.
+A part is one range of doc_id in order; its files hold a bounded number of frames, each followed by a line feed.
+Files are written by Spark's own committing writer to the shared folder, so a lost executor leaves no half of a file
+behind. Headers alone tell how many ids a part has.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm._common import new_path, small_batches
@@ -26,8 +27,10 @@ from granary.llm.bpe import codec
 
 BLOCK = 128
 FRAME_IDS = 1 << 20
+#: Frames of a file, at most: some 100 MB.
+FRAMES = 48
 MAGIC = b"PFR1"
-_HEAD = struct.Struct("<4sQIQQIQQ")  # magic, bytes, documents, first id's place in the file, ids, blocks, words, exceptions
+_HEAD = struct.Struct("<4sQIQQIQQ")  # magic, bytes, documents, first id's place in its part, ids, blocks, words, exceptions
 
 
 def pack(values: np.ndarray, share: float = 0.9) -> dict[str, np.ndarray]:
@@ -89,7 +92,7 @@ def unpack(p: dict[str, np.ndarray], first: int = 0, last: int | None = None) ->
 
 
 def frame(doc_ids: list, ids: list[bytes], place: int) -> bytes:
-    """Documents (ids as 32-bit little-endian bytes) as a frame; place: ids before it in the file."""
+    """Documents (ids as 32-bit little-endian bytes) as a frame; place: ids before it in its part."""
     values = np.frombuffer(b"".join(ids), "<u4")
     starts = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<u8")
     p = pack(values)
@@ -99,6 +102,12 @@ def frame(doc_ids: list, ids: list[bytes], place: int) -> bytes:
     return _HEAD.pack(MAGIC, _HEAD.size + len(body), len(doc_ids), place, len(values), len(p["low"]), len(p["words"]), len(p["exc_place"])) + body
 
 
+def head_of(data: bytes, at: int) -> tuple[int, int]:
+    """(where the next frame starts, ids of its part before that one)."""
+    _, size, _, place, n, *_ = _HEAD.unpack_from(data, at)
+    return at + size + 1, place + n
+
+
 def read_frame(data: bytes, at: int = 0) -> tuple[dict, int]:
     """(the frame that starts at ``at``, where the next one starts)."""
     magic, size, docs, place, n, blocks, words, exceptions = _HEAD.unpack_from(data, at)
@@ -123,17 +132,18 @@ def read_range(f: dict, lo: int, hi: int) -> np.ndarray:
     return unpack(f, first, last)[lo - first * BLOCK : hi - first * BLOCK]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, frames_a_file: int = FRAMES) -> None:
     """Write docs' (doc_id, text) ids, each with end_id after it, in ascending doc_id order under path.
 
-    Null doc_ids come first; rows with equal doc_ids are ordered by text. A null text counts as an empty one and
-    has the end id alone. Other columns are ignored.
+    Null doc_ids come first; rows with equal doc_ids are ordered by a hash of their texts, so that many of them don't
+    fall in one part. A null text counts as an empty one and has the end id alone. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.select("*", F.xxhash64("text").alias("mix"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(parts, "doc_id", "mix", "row").sortWithinPartitions("doc_id", "mix", "row").select("doc_id", "text")
     end = int(end_id).to_bytes(4, "little")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,32 +165,44 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
         if names:
             yield row()
 
-    written = ordered.mapInArrow(frames, "frame binary")
-    written.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    made = ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    made.write.option("lineSep", "\n").option("maxRecordsPerFile", frames_a_file).text(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files under path."""
 
-    def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         for batch in batches:
-            for name, data in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                data, at = data.as_buffer().to_pybytes(), 0
-                while at < len(data):
-                    f, at = read_frame(data, at)
-                    ids = unpack(f)[: f["n"]].astype("<u4")
-                    cuts = f["starts"].astype(np.int64)
-                    sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    names = pa.array(f["doc_id"], pa.int64(), mask=f["known"] == 0)
-                    columns = [pa.array([name] * len(names), pa.string()), names, pa.array(cuts[:-1] + f["place"], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(sums, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    docs = found.mapInArrow(docs_of, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
-    totals = docs.groupBy("file").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return docs.join(F.broadcast(offsets), "file").select("doc_id", (F.col("start") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32")
+            for part, data in zip(batch["part"].to_pylist(), batch["content"], strict=True):
+                yield part, data.as_buffer()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data in contents(batches):
+            at, end = 0, 0
+            while at < len(data):
+                at, end = head_of(data, at)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([end], pa.int64())], ["part", "n"])
+
+    def docs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data in contents(batches):
+            at = 0
+            while at < len(data):
+                f, at = read_frame(data, at)
+                ids = unpack(f)[: f["n"]].astype("<u4")
+                cuts = f["starts"].astype(np.int64)
+                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                names = pa.array(f["doc_id"], pa.int64(), mask=f["known"] == 0)
+                columns = [pa.array(np.full(len(names), part)), names, pa.array(cuts[:-1] + f["place"], pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    number = F.regexp_extract("path", "part-([0-9]+)", 1).cast("long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(number.alias("part"), "content")
+    docs = found.mapInArrow(docs_of, "part long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    totals = found.mapInArrow(ends, "part long, n long").groupBy("part").agg(F.max("n").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
