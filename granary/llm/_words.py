@@ -59,7 +59,7 @@ def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, cuts)
 
 
-def text_slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, cuts) of a string column without nulls, some MB at a time; a long text is a slice of its own."""
     if not pa.types.is_string(column.type):
         column = column.cast(pa.string())
