@@ -25,17 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm._common import small_batches, written
+from granary.llm._common import erased, most_frequent, small_batches, written
 from granary.llm._words import mixed, shingles_of, text_slices, words_of
 
 #: 100 * intersection >= PERCENT * union.
 PERCENT, SIZE = 75, 5
 #: Frequent shingles that are broadcast to order prefixes by, at most; a list this long is dealt out in parts.
-FREQUENT, LONG_LIST = 1 << 18, 512
+FREQUENT, LONG_LIST = 1 << 19, 512
 #: Partners of a set that are compared in one group.
 PARTNERS = 256
 #: Positions in a block of an index list.
 BLOCK = 16
+#: Sets whose components are broadcast, at most; more of them are joined by a shuffle of the lists.
+LABELS = 1 << 20
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -53,6 +55,20 @@ def _fingerprint(s: np.ndarray) -> np.ndarray:
     return np.array([a, b], dtype=np.uint64).view(np.int64)
 
 
+def _name(s: np.ndarray, doubtful: frozenset[int]) -> int:
+    """A set's name: the first 64 bits of its fingerprint, or a mix of all 128 where the first are another set's too."""
+    a = int((mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64))
+    if a not in doubtful:
+        return a
+    return int(mixed(_fingerprint(s).view(np.uint64) * np.array([1, 0x9E3779B97F4A7C15], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _doubtful(profile: DataFrame) -> frozenset[int]:
+    """Names that different sets have: about n * n / 2**65 of n sets, three of 10 billion."""
+    names = profile.where("kind = 0 AND n > 0").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
+    return frozenset(r["a"] for r in names.select("a").collect())
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """A set's size, then a bit for each of at least twice as many slots: whether a shingle falls in it."""
     slots = 1 << max(6, (2 * len(s) - 1).bit_length())
@@ -74,8 +90,8 @@ def _may_be_linked(a: bytes, b: bytes) -> bool:
     return 100 * most >= PERCENT * (n + m - most)
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """kind 0: a row's doc_id, size, fingerprint (a, b) and sketch. kind 1: a shingle (a) that sets of a task share, with their number (n)."""
+def _profile(docs: DataFrame, doubtful: frozenset[int] = frozenset()) -> DataFrame:
+    """kind 0: a row's doc_id, size, name (a), the other half of its fingerprint (b) and sketch. kind 1: a shingle (a) that sets of a task share, with their number (n)."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc_id", "n", "a", "b", "sketch"]
@@ -93,6 +109,8 @@ def _profile(docs: DataFrame) -> DataFrame:
             sketches = []
             for i, s in _sets(batch["text"]):
                 n[i], marks[i] = len(s), _fingerprint(s)
+                if doubtful:
+                    marks[i, 0] = _name(s, doubtful)
                 sketches.append(_sketch(s) if len(s) else None)
                 if len(s) and int(marks[i, 0]) not in seen:
                     seen.add(int(marks[i, 0]))
@@ -112,7 +130,7 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(profile, f"kind int, doc_id {kind.simpleString()}, n long, a long, b long, sketch binary")
 
 
-def _postings(docs: DataFrame, frequent) -> DataFrame:
+def _postings(docs: DataFrame, frequent: Broadcast, doubtful: frozenset[int]) -> DataFrame:
     """(h, part, entry: pos, fp and n): the prefix of every distinct set; part deals a frequent shingle's list out."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +141,7 @@ def _postings(docs: DataFrame, frequent) -> DataFrame:
             for _, s in _sets(batch["text"]):
                 if not len(s):
                     continue
-                fp = int(_fingerprint(s)[0])
+                fp = _name(s, doubtful)
                 if fp in seen:
                     continue
                 seen.add(fp)
@@ -157,10 +175,8 @@ def possible(n: str, pos: str, m: str, at: str) -> Column:
     return F.expr(f"100L * least({n}, {m}) >= {PERCENT}L * greatest({n}, {m}) AND least({n} - {pos}, {m} - {at}) >= {need}")
 
 
-def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(fp, s): the shingles, as bytes, of the sets with the fingerprints of chosen (fp)."""
-    bits = 23
-    filled = _filled(chosen, bits)
+def _chosen_sets(docs: DataFrame, filled: Broadcast, bits: int, doubtful: frozenset[int]) -> DataFrame:
+    """(fp, s): the shingles, as bytes, of the sets whose names (fp) fall in the bitmap."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(filled.value).astype(bool)
@@ -169,7 +185,7 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             fps, sets = [], []
             for _, s in _sets(batch["text"]):
                 if len(s):
-                    fp = int(_fingerprint(s)[0])
+                    fp = _name(s, doubtful)
                     if wanted[(fp & (2**64 - 1)) >> (64 - bits)] and fp not in seen:
                         seen.add(fp)
                         fps.append(fp)
@@ -178,14 +194,11 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                             seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "s"])
 
-    sent = docs.select("text").mapInArrow(send, "fp long, s binary")
-    return sent
+    return docs.select("text").mapInArrow(send, "fp long, s binary")
 
 
-def _chosen_sketches(profile: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(fp, s): the sketches of the sets with the fingerprints of chosen (fp)."""
-    bits = 23
-    filled = _filled(chosen, bits)
+def _chosen_sketches(profile: DataFrame, filled: Broadcast, bits: int) -> DataFrame:
+    """(fp, s): the sketches of the sets whose names (fp) fall in the bitmap."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(filled.value).astype(bool)
@@ -198,7 +211,7 @@ def _chosen_sketches(profile: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _filled(chosen: DataFrame, bits: int) -> Broadcast:
-    """A bitmap of the slots of the fingerprints of chosen (fp), of fixed size; where it fills up, more sets are sent than needed."""
+    """A bitmap of the slots of the names of chosen (fp), of fixed size; where it fills up, more sets are sent than needed."""
     slots = chosen.select(F.shiftrightunsigned("fp", 64 - bits).alias("slot")).distinct()
     table = np.zeros(1 << bits, dtype=bool)
     for batch in _slot_batches(slots, bits):
@@ -222,25 +235,29 @@ def _slot_batches(slots: DataFrame, bits: int) -> Iterator[np.ndarray]:
         yield np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
 
 
-def _side_by_side(pairs: DataFrame, chosen: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """pairs (x, y) with what chosen gives for either set (sx, sy).
+def _side_by_side(pairs: DataFrame, chosen: Callable[[Broadcast, int], DataFrame], compared: Callable[[DataFrame], DataFrame], name: str, bits: int = 23) -> DataFrame:
+    """What ``compared`` makes of pairs (x, y) with what ``chosen`` gives for either set (sx, sy), as a table.
 
-    Sets are shuffled once by fingerprint. A set y with many partners is copied for every few hundred of them, so
-    that no task has them all.
+    Sets are shuffled once by name. A set y with many partners is copied for every few hundred of them, so that no
+    task has them all.
     """
     pairs = written(pairs.select("x", "y"), f"pairs-{name}")
-    sets = chosen(pairs.select(F.explode(F.array("x", "y")).alias("fp"))).groupBy("fp").agg(F.first("s").alias("s"))
+    filled = _filled(pairs.select(F.explode(F.array("x", "y")).alias("fp")), bits)
+    sets = chosen(filled, bits).groupBy("fp").agg(F.first("s").alias("s"))
     copies = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies")), f"copies-{name}")
     dealt = pairs.join(copies, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("copy"))
     left = dealt.join(sets.select(F.col("fp").alias("x"), F.col("s").alias("sx")), "x")
     right = sets.select(F.col("fp").alias("y"), F.col("s").alias("sy")).join(copies, "y")
     right = right.select("y", "sy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    return left.join(right, ["y", "copy"]).select("x", "y", "sx", "sy")
+    out = written(compared(left.join(right, ["y", "copy"]).select("x", "y", "sx", "sy")), f"compared-{name}")
+    filled.destroy()
+    erased(pairs)
+    erased(copies)
+    return out
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _overlaps(docs: DataFrame, pairs: DataFrame, doubtful: frozenset[int], name: str) -> DataFrame:
     """pairs (x, y) with n_x, n_y and both, the exact sizes of sets and intersection."""
-    both = _side_by_side(pairs, lambda chosen: _chosen_sets(docs, chosen), name)
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,19 +270,20 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
             columns = [batch["x"], batch["y"], *(pa.array(v, pa.int64()) for v in (n, m, c))]
             yield pa.RecordBatch.from_arrays(columns, ["x", "y", "n_x", "n_y", "both"])
 
-    return both.mapInArrow(overlap, "x long, y long, n_x long, n_y long, both long")
+    compared = lambda both: both.mapInArrow(overlap, "x long, y long, n_x long, n_y long, both long")
+    return _side_by_side(pairs, lambda filled, bits: _chosen_sets(docs, filled, bits, doubtful), compared, name)
 
 
 def _plausible(profile: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (x, y) that sketches don't rule out; all linked ones are among them."""
-    both = _side_by_side(pairs, lambda chosen: _chosen_sketches(profile, chosen), f"sketched-{name}")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [_may_be_linked(a.as_py(), b.as_py()) for a, b in zip(batch["sx"], batch["sy"], strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(sift, "x long, y long")
+    compared = lambda both: both.mapInArrow(sift, "x long, y long")
+    return _side_by_side(pairs, lambda filled, bits: _chosen_sketches(profile, filled, bits), compared, f"sketched-{name}")
 
 
 def linked(n: str = "n_x", m: str = "n_y", both: str = "both") -> Column:
@@ -290,41 +308,63 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
             ahead = ends.select(F.col("fp").alias("label"), F.col("label").alias("end"))
             followed = ends.join(ahead, "label", "left").select("fp", F.coalesce("end", "label").alias("label"), F.col("end").isNotNull().alias("moved"))
             followed, step = written(followed, f"{turn}-{step}"), step + 1
-            moved, ends = not followed.where("moved").isEmpty(), followed.drop("moved")
+            moved = not followed.where("moved").isEmpty()
+            erased(ends)
+            ends = followed.drop("moved")
         turns.append(ends)
         drawn = edges.join(ends.select(F.col("fp").alias("x"), F.col("label").alias("end_x")), "x")
         drawn = drawn.join(ends.select(F.col("fp").alias("y"), F.col("label").alias("end_y")), "y", "left")
         drawn = drawn.select(F.col("end_x").alias("x"), F.coalesce("end_y", "y").alias("y")).where("x <> y")
-        edges = written(drawn.select(*edge).distinct(), f"{turn}-edges")
+        spent, edges = edges, written(drawn.select(*edge).distinct(), f"{turn}-edges")
+        erased(spent)
     if not turns:
         return edges.select(F.col("x").alias("fp"), F.col("y").alias("label"))
     # ends of a round may go in later ones
     labels = turns.pop()
     while turns:
-        later = labels.select(F.col("fp").alias("label"), F.col("label").alias("end"))
-        earlier = turns.pop().join(later, "label", "left").select("fp", F.coalesce("end", "label").alias("label"))
-        labels = written(earlier.union(labels), f"{name}-{len(turns)}-all")
+        later, first = labels.select(F.col("fp").alias("label"), F.col("label").alias("end")), turns.pop()
+        earlier = first.join(later, "label", "left").select("fp", F.coalesce("end", "label").alias("label"))
+        spent, labels = labels, written(earlier.union(labels), f"{name}-{len(turns)}-all")
+        erased(spent)
+        erased(first)
     return labels.union(labels.select(F.col("label").alias("fp"), "label").distinct())
 
 
-def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): a row a row of docs with doc_id, n_shingles and fp, and links between different
-    sets (x, y, n_x, n_y, both) that hold every component of the relation together."""
+def _extended(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels of all sets that labels or links (x, y) have: only the links between different components are followed."""
+    end = lambda side: labels.select(F.col("fp").alias(side), F.col("label").alias(f"end_{side}"))
+    between = links.join(end("x"), "x", "left").join(end("y"), "y", "left").select(F.coalesce("end_x", "x").alias("x"), F.coalesce("end_y", "y").alias("y"))
+    more = components(between, f"{name}-more")
+    later = more.select(F.col("fp").alias("label"), F.col("label").alias("end"))
+    moved = labels.join(later, "label", "left").select("fp", F.coalesce("end", "label").alias("label"))
+    return written(moved.union(more.join(labels.select("fp"), "fp", "left_anti")), name)
+
+
+def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, links, labels): a row a row of docs with doc_id, n_shingles and fp; links between different sets
+    (x, y, n_x, n_y, both) that hold every component of the relation together; the component (label) of every set
+    (fp) that has a link."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     profile = written(_profile(texts), "profile")
-    common = profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.col("n").desc(), "a").limit(FREQUENT).toArrow()
+    doubtful = _doubtful(profile)
+    if doubtful:
+        profile = written(_profile(texts, doubtful), "profile")
+    common = most_frequent(profile.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where("n > 2"), "n", "a", FREQUENT).toArrow()
     hashes, counts = common["a"].to_numpy().view(np.uint64), common["n"].to_numpy()
-    order = np.argsort(hashes)
     # ranks from rare to frequent; a long list is dealt out in parts of about LONG_LIST entries
-    frequent = spark.sparkContext.broadcast((hashes[order], (len(order) - order).astype(np.int64), np.maximum(1, counts[order] // LONG_LIST).astype(np.int64)))
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+    order = np.argsort(hashes)
+    frequent = spark.sparkContext.broadcast((hashes[order], ranks[order], np.maximum(1, counts[order] // LONG_LIST).astype(np.int64)))
 
     in_list = Window.partitionBy("h", "part")
     # a set has one entry in a list; entries are shuffled as they are, as a window would add what it orders by
-    indexed = _postings(texts, frequent).withColumn("leader", F.min("entry").over(in_list)).withColumn("last", F.max("entry").over(in_list))
+    indexed = _postings(texts, frequent, doubtful).withColumn("leader", F.min("entry").over(in_list)).withColumn("last", F.max("entry").over(in_list))
     lists = indexed.where("leader <> last OR part > 0").select("h", "part", "entry.fp", "entry.n", "entry.pos", "leader")
     lists = written(lists.distinct(), "lists")
+    frequent.destroy()
 
     def candidates(df: DataFrame) -> DataFrame:
         """Pairs of (fp, n, pos) and leader; whole blocks of positions are skipped where their first can't do."""
@@ -338,40 +378,44 @@ def join(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
         seen = found.select("x", "y").union(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
         return pairs.join(seen, ["x", "y"], "left_anti")
 
-    first = written(_overlaps(texts, candidates(lists), "0"), "overlaps-0")
-    found, links = first, first.where(linked())
+    def open_lists_of(turn: str, *found: Column) -> tuple[DataFrame, DataFrame]:
+        """Entries with their components, and the lists whose sets are not all in one, with what is to be found of them."""
+        known = F.broadcast(labels) if labels.count() <= LABELS else labels
+        named = written(lists.join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp")), f"named-{turn}")
+        spread = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *found)
+        return named, written(spread.where("lo <> hi").drop("lo", "hi"), f"spread-{turn}")
+
+    found = _overlaps(texts, candidates(lists), doubtful, "0")
+    labels = written(components(found.where(linked()), "labels-0"), "labels-1")
     for turn in range(1, rounds):
-        labels = components(links, f"labels-{turn}")
-        named = written(_labelled(lists, labels), f"named-{turn}")
         # a list whose sets are all in one component is settled; in others, each part's components meet at new leaders
-        spread = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("pos", "fp", "n")).alias("lead"))
-        spread = written(spread.where("lo <> hi"), f"spread-{turn}")
-        open_lists = named.join(spread, "h").drop("lo", "hi", "leader").withColumnRenamed("lead", "leader")
-        lists = written(open_lists.drop("label"), f"lists-{turn}")
-        fresh = unknown(candidates(lists))
-        found = written(_overlaps(texts, fresh, str(turn)).union(found), f"overlaps-{turn}")
-        links = found.where(linked())
-    labels = components(links, "labels-last")
-    named = written(_labelled(lists, labels), "named-last")
-    spread = written(named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"), "spread-last")
+        named, spread = open_lists_of(str(turn), F.min(F.struct("pos", "fp", "n")).alias("lead"))
+        spent, lists = lists, written(named.join(spread, "h").drop("label", "leader").withColumnRenamed("lead", "leader"), f"lists-{turn}")
+        for table in (spent, named, spread):
+            erased(table)
+        fresh = _overlaps(texts, unknown(candidates(lists)), doubtful, str(turn))
+        labels = _extended(labels, fresh.where(linked()), f"labels-{turn + 1}")
+        found = found.union(fresh)
+    named, spread = open_lists_of("last")
+    erased(lists)
     known = found.select("x", "y", (F.col("both") / (F.col("n_x") + F.col("n_y") - F.col("both"))).alias("likeness"))
     to_leader = known.union(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "likeness"))
     mixed_lists = named.join(spread, "h").select("h", "fp", "n", "pos", "label", F.col("leader.fp").alias("y"))
     near = mixed_lists.join(to_leader.select(F.col("x").alias("fp"), "y", "likeness"), ["fp", "y"], "left")
     near = written(near.withColumn("likeness", F.when(F.col("fp") == F.col("y"), 1.0).otherwise(F.col("likeness"))), "near")
+    erased(named)
+    erased(spread)
     other = near.select("h", *[F.col(c).alias(f"{c}_2") for c in ("fp", "n", "pos", "label", "likeness")])
     apart = 1 - PERCENT / 100 + 1e-9
     open_pair = (F.col("fp") < F.col("fp_2")) & (F.col("label") != F.col("label_2")) & possible("n", "pos", "n_2", "pos_2")
     told_apart = F.coalesce(F.abs(F.col("likeness") - F.col("likeness_2")) > apart, F.lit(False))
     pairs = near.join(other, "h").where(open_pair & ~told_apart).select(F.col("fp").alias("x"), F.col("fp_2").alias("y")).distinct()
-    fresh = _plausible(profile, unknown(pairs), "last")
-    found = written(_overlaps(texts, fresh, "last").union(found), "overlaps-last")
+    plausible = _plausible(profile, unknown(pairs), "last")
+    erased(near)
+    fresh = _overlaps(texts, plausible, doubtful, "last")
+    erased(plausible)
     documents = profile.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("a").alias("fp"))
-    return documents, found.where(linked())
-
-
-def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    return lists.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    return documents, found.union(fresh).where(linked()), _extended(labels, fresh.where(linked()), "labels-out")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -382,8 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids; rows with equal doc_id each keep a row; a null doc_id counts only where a component has no other. A table
     without rows gives none; other columns are ignored.
     """
-    documents, links = join(docs)
-    labels = components(links, "labels-out")
+    documents, _, labels = join(docs)
     named = documents.where("n_shingles > 0").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     named = written(named.select("doc_id", "n_shingles", "label"), "documents")
     lowest = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
