@@ -12,6 +12,8 @@ them, a document's part of a run is two interval overlaps, and the line is laid
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,13 @@ def seats(parties: DataFrame, shards: int) -> DataFrame:
     return held.withColumn("quota", F.col("held") - F.coalesce(F.lag("held").over(line), F.lit(0)))
 
 
-def mix_plan(sized: DataFrame, weights, share, cap, shards: int) -> tuple[DataFrame, DataFrame]:
-    """(sources, buckets): a row a source with its blocks and seats; a row a source and bucket with its start on the line."""
+def mix_plan(sized: DataFrame, weights, share, cap, shards: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, buckets): a row a source with its line's length and each shard's run on it; a row a source and bucket
+    with its start on the line.
+
+    A source's blocks follow each other in a ring from a seeded block on; a shard's quota takes the next blocks
+    after the shard before. Runs are counted in words from the line's start, the ring unrolled.
+    """
     buckets = sized.groupBy(*KEYS, "bucket").agg(F.sum("size").alias("tokens"))
     line = Window.partitionBy(*KEYS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(*KEYS, "bucket", F.coalesce(F.sum("tokens").over(line), F.lit(0)).alias("bucket_start"))
@@ -97,70 +104,58 @@ def mix_plan(sized: DataFrame, weights, share, cap, shards: int) -> tuple[DataFr
         .withColumn("most_seats", (F.floor(F.lit(float(cap)) * F.col("n_blocks"))).cast("long"))
         .withColumn("blocks", F.floor(sum_over_all("target") / F.col("block")))
     )
-    held = seats(sized_blocks, shards).where(F.col("shard") == shards - 1).select(*KEYS, F.col("held").alias("seats"))
-    return sized_blocks.join(held, KEYS), buckets
+    start = F.expr("cast(conv(substring(md5(concat_ws(':', '{}', src)), 1, 8), 16, 10) as bigint)".format(seed.replace("'", "")))
+    quotas = seats(sized_blocks, shards).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("shard", "held", "quota"))).alias("quotas"))
+    first = start % F.greatest("n_blocks", F.lit(1))
+    run = lambda q: F.struct(q["shard"].alias("shard"), ((F.col("first") + q["held"] - q["quota"]) * F.col("block")).alias("a"), ((F.col("first") + q["held"]) * F.col("block")).alias("b"))
+    sources = sized_blocks.join(quotas, KEYS).withColumn("first", first)
+    return sources.select(*KEYS, "source_size", "target", (F.col("n_blocks") * F.col("block")).alias("ring"), F.transform(F.filter("quotas", lambda q: q["quota"] > 0), run).alias("runs")), buckets
+
+
+def _taken(docs: DataFrame, carried: list[Column], weights, share, cap, shards: int, seed: str) -> DataFrame:
+    """A row a row of docs with the carried columns, size, source_size, target, and takings: the shard and words (a to
+    b - 1) of each taking."""
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sources, buckets = mix_plan(_keyed(sized, seed), weights, share, cap, shards, seed)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), *carried) if carried else sized.withColumn("mark", F.lit(0))
+    at = Window.partitionBy(*KEYS, "bucket").orderBy("draw", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    laid = _keyed(rows, seed).withColumn("upto", F.sum("size").over(at)).join(buckets.join(sources, KEYS), [*KEYS, "bucket"])
+    laid = laid.withColumn("lo", F.col("bucket_start") + F.col("upto") - F.col("size"))
+    # a run ends within cap + 1 rounds of the ring
+    takings = (
+        "filter(flatten(transform(runs, r -> transform(sequence(0, {rounds}), t -> named_struct('shard', r.shard, "
+        "'a', greatest(0L, r.a - lo - t * ring), 'b', least(size, r.b - lo - t * ring))))), x -> x.b > x.a)"
+    ).format(rounds=math.ceil(cap))
+    return laid.withColumn("takings", F.expr(takings))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 8, seed: str = "mix-1") -> DataFrame:
     """Words that a mixture takes of each document; docs has doc_id, source and text.
 
-    Returns doc_id, source, size, source_size, target, taken, passes (whole takings) and, for the run of
-    blocks beside them, the half-open word ranges (from_1, to_1) and (from_2, to_2) of this document.
+    Returns doc_id, source, size, source_size, target, taken and takings, an array of shard and half-open range of
+    words (a, b), one for each time that a shard takes words of the document.
 
     Null or empty texts have size 0 and are never taken. A null source is a source of its own, last in
     order. Rows with equal doc_id each keep a row; equal rows are interchangeable. A table without rows
     gives none. Other columns are ignored.
     """
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    sized = _keyed(sized, seed)
-    sources, buckets = mix_plan(sized, weights, share, cap, shards)
-    start = F.expr("cast(conv(substring(md5(concat_ws(':', '{}', src)), 1, 8), 16, 10) as bigint)".format(seed.replace("'", "")))
-    plan = sources.select(
-        *KEYS,
-        "source_size",
-        "target",
-        "block",
-        "n_blocks",
-        F.expr("seats div greatest(n_blocks, 1)").alias("passes"),
-        F.expr("seats % greatest(n_blocks, 1)").alias("extra"),
-        (start % F.greatest("n_blocks", F.lit(1))).alias("first_block"),
-    )
-    at = Window.partitionBy(*KEYS, "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = sized.withColumn("upto", F.sum("size").over(at)).join(buckets.join(plan, KEYS), [*KEYS, "bucket"])
-    laid = laid.withColumn("lo", F.col("bucket_start") + F.col("upto") - F.col("size"))
-    run_end = (F.col("first_block") + F.col("extra")) * F.col("block")
-    wrap = F.greatest(F.lit(0), F.col("first_block") + F.col("extra") - F.col("n_blocks")) * F.col("block")
-
-    def inside(lo: Column, hi: Column) -> tuple[Column, Column]:
-        a = F.greatest(lo, F.col("lo")) - F.col("lo")
-        b = F.least(hi, F.col("lo") + F.col("size")) - F.col("lo")
-        return F.when(b > a, a).otherwise(0), F.when(b > a, b).otherwise(0)
+    taken = F.aggregate("takings", F.lit(0).cast("long"), lambda n, t: n + t["b"] - t["a"])
+    return _taken(docs, [], weights, share, cap, shards, seed).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "takings")
 
-    f1, t1 = inside(F.col("first_block") * F.col("block"), F.least("source_size", run_end))
-    f2, t2 = inside(F.lit(0), wrap)
-    return laid.select(
-        "doc_id", "source", "size", "source_size", "target", "passes",
-        f1.cast("long").alias("from_1"), t1.cast("long").alias("to_1"), f2.cast("long").alias("from_2"), t2.cast("long").alias("to_2"),
-    ).select("*", (F.col("passes") * F.col("size") + F.col("to_1") - F.col("from_1") + F.col("to_2") - F.col("from_2")).alias("taken"))
 
-
-def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 8, seed: str = "mix-1") -> DataFrame:
     """The mixture itself: docs' rows, once for each taking, cut to the words taken of them; n_chars follows.
 
-    docs must have distinct doc_id for rows with text; a row without words is never taken.
+    A row without words is never taken. Rows with equal doc_id are each taken by their own words.
     """
-    plan = mix(docs, **options).where(F.col("taken") > 0).select("doc_id", "size", "passes", "from_1", "to_1", "from_2", "to_2")
-    ranges = F.array(
-        *[F.when(F.col("passes") > i, F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("n"))) for i in range(2)],
-        *[F.when(F.col(f"to_{i}") > F.col(f"from_{i}"), F.struct(F.col(f"from_{i}").alias("a"), (F.col(f"to_{i}") - F.col(f"from_{i}")).alias("n"))) for i in (1, 2)],
-    )
-    pieces = plan.select(F.col("doc_id").alias("taken_id"), F.col("size").alias("all_words"), F.array_compact(ranges).alias("takings"))
-    joined = docs.join(pieces, docs["doc_id"].eqNullSafe(pieces["taken_id"]))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    taking = F.explode("takings").alias("taking")
-    cut = F.array_join(F.slice(words, (F.col("taking.a") + 1).cast("int"), F.col("taking.n").cast("int")), "")
-    out = joined.select(*docs.columns, "all_words", taking).withColumn("text", F.when(F.col("taking.n") == F.col("all_words"), F.col("text")).otherwise(cut))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    laid = _taken(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")], weights, share, cap, shards, seed)
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    taking = laid.select("row", "size", F.explode("takings").alias("t"))
+    cut = F.array_join(F.slice(words, (F.col("t.a") + 1).cast("int"), (F.col("t.b") - F.col("t.a")).cast("int")), "")
+    text = F.when(F.col("t.b") - F.col("t.a") == F.col("size"), F.col("row.text")).otherwise(cut)
+    made = taking.select("row", text.alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return made.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for the op1 query: the same plan, with the whole line laid out by one window. With more seats than
@@ -177,16 +172,18 @@ t AS (SELECT ns, src, source_size, weight, coalesce(least(most, (SELECT arg_min(
 b AS (SELECT *, coalesce(greatest(1, least(1024, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 1000))), 1)::BIGINT AS block, sum(target) OVER () AS all_targets,
   count(*) OVER () AS n FROM t),
 k AS (SELECT *, (source_size + block - 1) // block AS n_blocks, floor(all_targets / block)::BIGINT AS blocks, target / greatest(all_targets, 1e-300) AS part FROM b),
-h AS (SELECT *, 2 * n_blocks AS most_seats, ceil(part * n)::BIGINT + 2 AS slack FROM k),
-u AS (SELECT *, least(greatest(0, floor(part * blocks)::BIGINT - slack), most_seats) AS sure FROM h),
-q AS (SELECT ns, src, target / (2 * seat - 1) AS quotient, seat, blocks - (SELECT sum(sure) FROM u) AS open_seats
-  FROM u, unnest(range(sure + 1, least(sure + 2 * slack + 2, most_seats) + 1)) AS v(seat)),
-won AS (SELECT ns, src, count(*) AS more FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, seat, ns, src) AS place FROM q) WHERE place <= open_seats GROUP BY ns, src),
-p AS (SELECT u.*, sure + coalesce(more, 0) AS seats, ('0x' || substr(md5('mix-1:' || u.src), 1, 8))::BIGINT % greatest(n_blocks, 1) AS r0
-  FROM u LEFT JOIN won ON won.ns = u.ns AND won.src = u.src),
-e AS (SELECT *, seats // greatest(n_blocks, 1) AS passes, seats % greatest(n_blocks, 1) AS extra FROM p),
-l AS (SELECT d.*, sum(size) OVER (PARTITION BY ns, src ORDER BY substr(draw, 1, 3), draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS lo FROM d)
-SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(lo + size, least(source_size, (r0 + extra) * block)) - greatest(lo, r0 * block))
-  + greatest(0, least(lo + size, greatest(0, r0 + extra - n_blocks) * block) - lo))::BIGINT AS taken
-FROM l JOIN e ON e.ns = l.ns AND e.src = l.src
+h AS (SELECT *, 2 * n_blocks AS most_seats, ceil(part * n)::BIGINT + 2 AS slack, blocks * (shard + 1) // 8 AS house FROM k, unnest(range(8)) AS v(shard)),
+u AS (SELECT *, least(greatest(0, floor(part * house)::BIGINT - slack), most_seats) AS sure FROM h),
+q AS (SELECT ns, src, shard, target / (2 * seat - 1) AS quotient, seat, house - all_sure AS open_seats
+  FROM (SELECT *, sum(sure) OVER (PARTITION BY shard) AS all_sure FROM u), unnest(range(sure + 1, least(sure + 2 * slack + 2, most_seats) + 1)) AS v(seat)),
+won AS (SELECT ns, src, shard, count(*) AS more FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY quotient DESC, seat, ns, src) AS place FROM q)
+  WHERE place <= open_seats GROUP BY ns, src, shard),
+g AS (SELECT u.*, sure + coalesce(more, 0) AS held, ('0x' || substr(md5('mix-1:' || u.src), 1, 8))::BIGINT % greatest(n_blocks, 1) AS r0
+  FROM u LEFT JOIN won ON won.ns = u.ns AND won.src = u.src AND won.shard = u.shard),
+p AS (SELECT *, held - coalesce(lag(held) OVER (PARTITION BY ns, src ORDER BY shard), 0) AS quota FROM g),
+l AS (SELECT d.*, row_number() OVER () AS rid, sum(size) OVER (PARTITION BY ns, src ORDER BY substr(draw, 1, 3), draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS lo FROM d)
+SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target, coalesce(sum(n), 0)::BIGINT AS taken,
+  coalesce(string_agg(DISTINCT shard::VARCHAR, ',' ORDER BY shard::VARCHAR) FILTER (WHERE n > 0), '') AS shards
+FROM (SELECT l.*, source_size, target, shard, greatest(0, least(size, (r0 + held) * block - lo - t * n_blocks * block) - greatest(0, (r0 + held - quota) * block - lo - t * n_blocks * block)) AS n
+  FROM l JOIN p ON p.ns = l.ns AND p.src = l.src, unnest(range(3)) AS v(t)) GROUP BY rid, doc_id, size
 """

@@ -10,13 +10,19 @@ document, so links survive, and the pseudonym is again valid: check digits are c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm._common import unused
+
 ROUNDS = 8
 #: Kinds in order of precedence with their patterns. Fixed formats.
 KINDS = (
-    ("credential", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<=token = \")[A-Za-z0-9]{16,64}(?=\")"),
+    (
+        "credential",
+        r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<=token = \")[A-Za-z0-9]{16,64}(?=\")"
+        r"|(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{8,64}(?![A-Za-z0-9])",
+    ),
     ("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"),
@@ -26,7 +32,7 @@ KINDS = (
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A text without any of these marks has no value of any kind.
-MARKS = r"@|AKIA|password=|token = |[0-9][0-9. ()/-]{5}"
+MARKS = r"@|AKIA|(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:]|[0-9][0-9. ()/-]{5}"
 #: Dates are permuted within 1900-01-01 to 2099-12-31.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
@@ -124,21 +130,21 @@ def pseudonym(key: str) -> str:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = "granary-key-1") -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """docs (with a text column) with personal values replaced by pseudonyms, and n_private, their number.
 
     A null text stays null with n_private 0; a text without values stays byte for byte. Equal values get equal
-    pseudonyms in all rows; ties and repeated rows are each replaced alike; other columns stay; no rows give none.
-    The pseudonym of a value is the same in every run with the same key.
+    pseudonyms in all rows; ties and repeated rows are each replaced alike; other columns stay, whatever their names,
+    but for one named n_private; no rows give none. The pseudonym of a value is the same in every run with the same
+    key, and whoever has the key can turn it back: it must be kept apart from the result.
     """
-    kept = [c for c in docs.columns if c not in ("text", "n_private")]
-    marked = docs.withColumn("_hit", F.coalesce(F.rlike("text", F.lit(MARKS)), F.lit(False)))
-    found = marked.withColumn("_found", F.when(F.col("_hit"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
-    found = found.withColumn("_new", F.expr(f"CASE WHEN size(_found) > 0 THEN transform(_found, v -> {pseudonym(key)}) END"))
+    hit, found, new = unused(docs, "hit_", "found_", "new_")
+    marked = docs.withColumn(hit, F.coalesce(F.rlike("text", F.lit(MARKS)), F.lit(False)))
+    matched = marked.withColumn(found, F.when(F.col(hit), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
+    replaced = matched.withColumn(new, F.expr(f"CASE WHEN size({found}) > 0 THEN transform({found}, v -> {pseudonym(key)}) END"))
     parts = F.split("text", PATTERN, -1)
-    whole = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    changed = F.when(F.col("_new").isNotNull(), whole).otherwise(F.col("text"))
-    private = F.coalesce(F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long")
-    out = found.select(*kept, changed.alias("text"), F.when(F.col("_new").isNull(), F.lit(0)).otherwise(private).cast("long").alias("n_private"))
-    order = [c for c in docs.columns if c != "n_private"]
-    return out.select(*order, "n_private")
+    whole = F.array_join(F.zip_with(parts, F.col(new), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    changed = F.when(F.col(new).isNotNull(), whole).otherwise(F.col("text"))
+    private = F.coalesce(F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)), F.lit(0)).cast("long")
+    kept = [changed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_private"]
+    return replaced.select(*kept, F.when(F.col(new).isNull(), F.lit(0)).otherwise(private).cast("long").alias("n_private"))

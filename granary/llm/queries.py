@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm import ann, bpe, mixing, pii, quality, setjoin, sharding, suffix_tree, token_store, warc
 from granary.llm._common import load
@@ -21,8 +22,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: the session's spark.granary.pseudonymKey. Only a demonstration runs without."""
+    return spark.conf.get("spark.granary.pseudonymKey", "for demonstration only")
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    shards = F.array_join(F.array_sort(F.array_distinct(F.transform("takings", lambda t: t["shard"].cast("string")))), ",").alias("shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +66,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymized(load(spark, sf_dir, "documents"))
+    return pii.pseudonymized(load(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
