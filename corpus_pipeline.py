@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, mixing, pii, quality, setjoin
 from granary.llm._common import load, written
-from granary.llm.queries import tokenizer_path
+from granary.llm.queries import pseudonym_key, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymized(docs).select(*docs.columns)
+    return pii.pseudonymized(docs, pseudonym_key(spark)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ STAGES = [
     ("BPE encoding and decoding", token_ids),
 ]
 
-#: Seeded digests, 64-bit hashes and byte-pair merges have no SQL twin; the tests hold run() against brute force.
+#: Keyed permutations and byte-pair merges have no SQL twin; tests/llm/test_brute_force.py holds run() and its stages
+#: against plain Python versions of all of them.
 ORACLE_SQL = None
 
 

@@ -12,14 +12,14 @@ def unseen(rows: DataFrame, key: str, ledger: DataFrame) -> DataFrame:
 
 def frontier(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """(node, level): breadth-first levels from seeds (node) along links (src, dst), to a depth. Each level is
-    checkpointed to the shared folder where the session names one."""
+    checkpointed to the shared folder where the session names one, and else kept, so that none is walked twice. A walk
+    that stops after a number of addresses is crawl.discover()."""
     seen = seeds.select("node").distinct().withColumn("level", F.lit(0))
     edge = seen
     for level in range(1, depth + 1):
         reached = edge.join(links, edge["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         edge = reached.join(seen, "node", "left_anti").withColumn("level", F.lit(level))
-        if edge.sparkSession.conf.get("spark.checkpoint.dir", None):
-            edge = edge.checkpoint()
+        edge = edge.checkpoint() if edge.sparkSession.conf.get("spark.checkpoint.dir", None) else edge.cache()
         seen = seen.unionByName(edge)
     return seen
 

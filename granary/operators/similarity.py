@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from granary.functions.text import bound, folded_lists, folded_tokens, jaccard, ngrams, percent, tokens
 
 
-def _window(words: Column, at: Column, n: int) -> Column:
-    return F.slice(words, at + 1, n)
+def _hash(words: Column) -> Column:
+    """A hash of words by their hashes."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _hashes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, at, h): a hash of every window of n folded tokens of a text."""
     starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-    hashes = bound(folded_tokens(F.col(text)), lambda w: F.transform(starts(w), lambda i: F.xxhash64(_window(w, i, n))))
+    hashes = bound(_hash(folded_tokens(F.col(text))), lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i + 1, n))))
     return df.select(key, F.posexplode(hashes).alias("at", "h"))
 
 
@@ -23,10 +24,10 @@ def _spelt(df: DataFrame, key: str, text: str, n: int, hits: DataFrame) -> DataF
     """(key, at, h, phrase) of hits (key, at, h); texts are read again for the rows that have some."""
     listed = hits.groupBy(key).agg(F.collect_set(F.struct("at", "h")).alias("hits"))
     both = F.struct(folded_tokens(F.col(text)).alias("words"), F.col("hits"))
-    spell = lambda p: F.transform(p["hits"], lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), _window(p["words"], x["at"], n).alias("words")))
+    spell = lambda p: F.transform(p["hits"], lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), F.slice(p["words"], x["at"] + 1, n).alias("words")))
     found = df.select(key, text).join(listed, key).select(key, F.explode(bound(both, spell)).alias("x"))
     # rows with the same key have other words in a place
-    return found.where(F.xxhash64("x.words") == F.col("x.h")).select(key, "x.at", "x.h", F.array_join("x.words", " ").alias("phrase"))
+    return found.where(F.xxhash64(_hash(F.col("x.words"))) == F.col("x.h")).select(key, "x.at", "x.h", F.array_join("x.words", " ").alias("phrase"))
 
 
 def copied_phrases(sources: DataFrame, finals: DataFrame, key: str, final_key: str, n: int = 8) -> DataFrame:

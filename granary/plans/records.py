@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text, urls
-from granary.operators import crawl, feed, gates, legacy, materialize, personal, publish, resolve, search, similarity, staging, validate
+from granary.operators import crawl, feed, gates, legacy, materialize, personal, resolve, search, similarity, staging, validate
 from granary.plans.catalog import _HOST, _KEY, _query, _t
 from granary.plans.golden import cases
 from granary.sources import records as sources
@@ -50,7 +50,7 @@ def limit_in_order(spark, sf_dir):
 def restored_order(spark, sf_dir):
     nation = _t(spark, sf_dir, "nation").where("n_regionkey = 1")
     back = search.in_order_of(nation.orderBy(F.xxhash64("n_name")), _t(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("pos")), "n_name", "pos")
-    return back.select("n_name", F.rank().over(publish.Window.orderBy("pos")).alias("place"))
+    return back.select("n_name", F.rank().over(Window.orderBy("pos")).alias("place"))
 
 
 @_query("SELECT * FROM " + _values(("a", 1), ("A", 2), ("b", 3), ("B", 4), ("é", 5), ("f", 6)) + " AS v(word, place)")
@@ -403,7 +403,6 @@ def authored_drafts(spark, sf_dir):
     return materialize.authored(rows, author, "doc_id long, draft string")
 
 
-_HOSTS = ["a.example", "b.example", "c.example"]
 _EXTRACT = "struct<description: string, instruction_lines: array<string>>"
 _NORMAL = "struct<source_text_hash: string, normalized_text_hash: string, model: string, prompt_version: string, transformed_at: string, requires_review: boolean, source_review_status: string>"
 _STAGED = (
