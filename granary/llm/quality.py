@@ -7,10 +7,12 @@ A policy is a version name and a mask of the rules that count, so another policy
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._common import SPACE, WORD
+from granary.llm._common import WORD, unused
 
 #: Rule names in bit order with the SQL condition of failing, over the measurements.
 RULES = (
@@ -31,15 +33,19 @@ def mask_of(rules) -> int:
 
 def _measures(text: str) -> Column:
     """One struct of all measurements. Three-word windows are compared as sorted long keys: a hash above, the
-    window's place in the lowest bits; equal neighbours are confirmed on the words themselves."""
-    same = "shiftright(s[{a}], b) = shiftright(s[{c}], b)" + "".join(
-        f" AND ws[cast(s[{{a}}] & m AS int) + {j}] = ws[cast(s[{{c}}] & m AS int) + {j}]" for j in range(3)
-    )
+    window's place in the lowest bits; equal neighbours are confirmed on the words themselves, and where another
+    window of the same hash stands between, the whole run is looked through."""
+    hashed = "shiftright({a}, b) = shiftright({c}, b)"
+    words = " AND ".join(f"ws[cast({{a}} & m AS int) + {j}] = ws[cast({{c}} & m AS int) + {j}]" for j in range(3))
+    near = lambda a, c: f"{hashed.format(a=f's[{a}]', c=f's[{c}]')}"
+    same = lambda a, c: f"({near(a, c)} AND {words.format(a=f's[{a}]', c=f's[{c}]')})"
+    beside = f"((k > 0 AND {near('k - 1', 'k')}) OR (k < size(s) - 1 AND {near('k', 'k + 1')}))"
+    anywhere = f"exists(s, x -> x <> s[k] AND {hashed.format(a='x', c='s[k]')} AND {words.format(a='x', c='s[k]')})"
     # each one-element transform binds a name, so that nothing is evaluated again for each element
     keys = "transform(sequence(0, size(ws) - 3), i -> shiftleft(xxhash64(ws[i], ws[i + 1], ws[i + 2]), b) | i)"
     hits = (
         "sort_array(filter(transform(sequence(0, size(s) - 1), k -> IF("
-        f"(k > 0 AND {same.format(a='k - 1', c='k')}) OR (k < size(s) - 1 AND {same.format(a='k', c='k + 1')}), s[k] & m, -1L)), x -> x >= 0))"
+        f"(k > 0 AND {same('k - 1', 'k')}) OR (k < size(s) - 1 AND {same('k', 'k + 1')}) OR ({beside} AND {anywhere}), s[k] & m, -1L)), x -> x >= 0))"
     )
     covered = f"aggregate({hits}, named_struct('p', -3L, 'n', 0L), (a, x) -> named_struct('p', x, 'n', a.n + least(3L, x - a.p)), a -> a.n)"
     repeats = (
@@ -97,19 +103,16 @@ def ablations(entries: DataFrame, policy: str = "strict-1") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: str = "strict-1") -> DataFrame:
-    """docs' rows that the policy keeps, with docs' columns."""
-    measured = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_got", _measures("_text"))
+    """docs' rows that the policy keeps, with docs' columns, whatever their names."""
+    text, got, m = unused(docs, "text_", "got_", "m_")
+    measured = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(got, _measures(text))
+    parts = {"n_words": "w", "word_chars": "w", "n_symbols": "", "n_dup_lines": "l", "n_repeat_words": "w", "n_lines": "l"}
+    named = F.struct(*[F.col(".".join(x for x in (got, part, name) if x)).alias(name) for name, part in parts.items()])
     bits = " | ".join(f"IF({condition}, {1 << i}L, 0L)" for i, (_, condition) in enumerate(RULES))
-    flat = measured.select(
-        *[measured[c] for c in docs.columns],
-        F.struct(
-            F.col("_got.w.n_words"), F.col("_got.w.word_chars"), F.col("_got.n_symbols"), F.col("_got.l.n_dup_lines"), F.col("_got.w.n_repeat_words"), F.col("_got.l.n_lines")
-        ).alias("_m"),
-    )
     for name in MEASURES:
-        bits = bits.replace(name, f"_m.{name}")
+        bits = re.sub(rf"\b{name}\b", f"{m}.{name}", bits)
     mask = mask_of(POLICIES["base-1"]) | mask_of(POLICIES[policy])
-    return flat.where(F.expr(f"({bits}) & {mask}L") == 0).select(*docs.columns)
+    return measured.withColumn(m, named).where(F.expr(f"({bits}) & {mask}L") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL for the op9 query.
