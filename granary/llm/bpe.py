@@ -66,8 +66,23 @@ class _Chunks(dict):
         return ids
 
 
+def known_family(spec: dict) -> bool:
+    """Whether a vocabulary file cuts and merges texts as PIECES and the chunks here do: byte-level, by the usual pattern,
+    without a normalizer, a prefix space, whole-word matches or anything else that changes texts or merges."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk"))
+    # ranks are ids here, so merges must come in the order of what they make
+    ids = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
+    merges = merges and all(a < b for a, b in zip(ids[:-1], ids[1:], strict=True))
+    marks = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec.get("added_tokens", []))
+    return plain and merges and marks
+
+
 class Codec:
-    """Encoder and decoder of a byte-level vocabulary file of the tokenizers library, without its truncation and padding."""
+    """Encoder and decoder of a byte-level vocabulary file of the tokenizers library, without its truncation and padding.
+
+    Files of another family (``plain`` is false) go through the library whole, text by text."""
 
     def __init__(self, path: str, cache: int = 500_000):
         import tiktoken
@@ -75,7 +90,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        symbols = byte_symbols()
+        self.plain, symbols = known_family(spec), byte_symbols()
         vocab = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in symbols for c in token)}
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.library = Tokenizer.from_file(path)
@@ -92,7 +107,7 @@ class Codec:
 
     def leaf(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a text that is encoded in one go."""
-        if not _KNOWN(text) or (self.marks and self.marks.search(text)):
+        if not self.plain or not _KNOWN(text) or (self.marks and self.marks.search(text)):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         head, space, rest = text.partition(" ")
         try:
@@ -102,7 +117,7 @@ class Codec:
             return array("I", self.core.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str, leaf: int = LEAF) -> bytes:
-        if len(text) <= leaf:
+        if len(text) <= leaf or not self.plain:
             return self.leaf(text)
         return self.joined([(x, self.leaf(x)) for x in leaves(text, leaf)])
 
@@ -145,6 +160,8 @@ class Codec:
         return all(data.find(m.encode(), max(0, at - len(m.encode()) + 1), at + len(m.encode()) - 1) < 0 for m in self.added)
 
     def decode(self, ids: np.ndarray) -> str:
+        if not self.plain:
+            return self.library.decode(ids.tolist(), skip_special_tokens=False)
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
@@ -180,6 +197,8 @@ def encode_decode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit(""))
+    with open(path, encoding="utf-8") as f:
+        leaf = leaf if known_family(json.load(f)) else (1 << 31) - 1
     cut = F.when(F.length(text) <= leaf, F.array(text)).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / leaf).cast("int")), lambda i: F.substring(text, i * leaf + 1, F.lit(leaf)))
     )
