@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +106,24 @@ def most_frequent(df: DataFrame, count: str, key: str, limit: int) -> DataFrame:
     return df.where((step >= least) | ((step == s) & (F.pmod(F.xxhash64(key), F.lit(fine)) < part))) if part else df.where(step >= least)
 
 
+def bitmap(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """2**bits bits, packed from the lowest: those set whose number is the first bits of some key (a long). Each run of
+    2**15 slots is a row of one group, so that only the bits themselves, of that fixed size, reach the driver."""
+    slot = F.shiftrightunsigned(key, 64 - bits) + 1
+    slots = keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("place")).distinct()
+    out = np.zeros(max(1, 2**bits // 8), np.uint8)
+    for row in slots.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("set")).toLocalIterator():
+        found, at = np.frombuffer(row["set"], np.uint8), (row["bucket"] - 1) * 2**12
+        out[at : at + len(found)] = found[: len(out) - at]
+    return out
+
+
+def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key (unsigned) is set."""
+    slot = keys >> np.uint64(64 - (8 * len(table) - 1).bit_length())
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added where df has such columns."""
     taken, out = {c.lower() for c in df.columns}, []

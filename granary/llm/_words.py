@@ -40,23 +40,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, first word of each text and the end) of the texts data[cuts[i]:cuts[i + 1]]."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(cuts), np.int64)
-    solid = ~_SPACE[data]
-    edge = np.zeros(n + 1, dtype=bool)
+def spans_of(cuts: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all runs of solid bytes, cut where texts end."""
+    edge = np.zeros(len(solid) + 1, dtype=bool)
     edge[cuts] = True
     before = np.concatenate([[False], solid[:-1]])
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     after = np.concatenate([solid[1:], [False]])
-    ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    return starts, np.flatnonzero(solid & (~after | edge[1:])) + 1
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words data[starts[i]:ends[i]]."""
+    n = len(data)
     up, down = _powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * up[:n], dtype=np.uint64, out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, cuts)
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the end) of the texts data[cuts[i]:cuts[i + 1]]."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(cuts), np.int64)
+    starts, ends = spans_of(cuts, ~_SPACE[data])
+    return hashes_of(data, starts, ends), np.searchsorted(starts, cuts)
 
 
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

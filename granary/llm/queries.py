@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, mixing, pii, quality, setjoin, sharding, suffix_tree, token_store, warc
+from granary.llm import ann, bpe, collocations, mixing, pii, quality, setjoin, sharding, suffix_tree, token_store, warc
 from granary.llm._common import load
 
 
@@ -69,13 +69,17 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(load(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_source_mix, op2_suffix_tree_scores, op3_projected_neighbours, op4_warc_segments, op5_shingle_join,
-        op6_stratified_shards, op7_token_files, op8_tree_bpe, op9_quality_ledger, op10_pseudonyms,
+        op6_stratified_shards, op7_token_files, op8_tree_bpe, op9_quality_ledger, op10_pseudonyms, op11_collocations,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE}
+    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
