@@ -35,7 +35,7 @@ _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(n
 #: Words a phrase has at most.
 LONGEST = 4
 #: Words of a task that are counted before their counts are sent on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: A prefix with more than this part of all pairs is dealt out.
 HOT = 1 << 12
 #: Phrases that one task ranks at a time.
