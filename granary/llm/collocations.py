@@ -34,6 +34,7 @@ _GAP = _BREAK | np.isin(_BYTES, list(b" \t"))
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 #: Words a phrase has at most.
 LONGEST = 4
+WORDS = tuple(f"w{i + 1}" for i in range(LONGEST))
 #: Words of a task that are counted before their counts are sent on.
 HELD = 1 << 21
 #: A prefix with more than this part of all pairs is dealt out.
@@ -119,7 +120,7 @@ def _pair_counts(texts: DataFrame, frequent: Broadcast) -> DataFrame:
 
 
 def _projected(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, hot: Broadcast) -> DataFrame:
-    """(deal, w1 to w4, n): pointers of the prefixes (w1, w2), with their next words or 0; deal names the task."""
+    """(dealt, w1 to w4, n): pointers of the prefixes (w1, w2), with their next words or 0, and whether the prefix is dealt out."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, follows, _ in _held(batches):
@@ -141,16 +142,10 @@ def _projected(texts: DataFrame, frequent: Broadcast, pairs: Broadcast, hot: Bro
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(order)))
             columns = [c[first] for c in columns]
-            deal = _pair(columns[0], columns[1])
-            dealt = np.isin(deal, hot.value)
-            whole = deal[dealt]
-            for c in columns[2:]:
-                whole = _pair(whole, c[dealt])
-            deal[dealt] = whole
-            yield pa.RecordBatch.from_arrays([_signed(deal), *map(_signed, columns), pa.array(n)], names)
+            dealt = np.isin(_pair(columns[0], columns[1]), hot.value)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt), *map(_signed, columns), pa.array(n)], ["dealt", *WORDS, "n"])
 
-    names = ["deal", *(f"w{i + 1}" for i in range(LONGEST)), "n"]
-    return texts.mapInArrow(project, ", ".join(f"{c} long" for c in names))
+    return texts.mapInArrow(project, "dealt boolean, " + ", ".join(f"{c} long" for c in (*WORDS, "n")))
 
 
 def _grown(pointers: DataFrame, hot: Broadcast, fewest: int) -> DataFrame:
@@ -194,9 +189,9 @@ def _grown(pointers: DataFrame, hot: Broadcast, fewest: int) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([grams, pa.array(f)], ["gram", "f"])
 
-    names = [*(f"w{i + 1}" for i in range(LONGEST)), "n"]
-    sorted_ = pointers.repartition("deal").drop("deal").sortWithinPartitions(*names[:-1])
-    partial = sorted_.mapInArrow(grown, "gram array<bigint>, f long")
+    names = [*WORDS, "n"]
+    task = F.when(F.col("dealt"), F.xxhash64(*WORDS)).otherwise(F.xxhash64(*WORDS[:2]))
+    partial = pointers.repartition(task).drop("dealt").sortWithinPartitions(*WORDS).mapInArrow(grown, "gram array<bigint>, f long")
     return partial.groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= fewest)
 
 
@@ -252,7 +247,7 @@ def _strings(docs: DataFrame, words: DataFrame) -> DataFrame:
             spelled = pa.Array.from_buffers(pa.string(), len(kinds), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())])
             yield pa.RecordBatch.from_arrays([_signed(kinds), spelled, pa.array(langs, pa.string()).take(pa.array(row[first]))], ["word", "spelled", "lang"])
 
-    found = _texts(docs).mapInArrow(read, "word long, spelled string, lang string").join(words, "word", "left_semi")
+    found = _texts(docs).mapInArrow(read, "word long, spelled string, lang string")
     value = F.struct("lang", "spelled")
     both = found.groupBy("word").agg(F.min(value).alias("value"), F.max(value).alias("other"))
     one = F.when(F.col("value") == F.col("other"), F.col("value")).otherwise(F.raise_error(F.lit("two words have one hash")))
