@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, collocations, mixing, pii, quality, setjoin, sharding, suffix_tree, token_store, warc
+from granary.llm import ann, bpe, collocations, licenses, mixing, pii, quality, setjoin, sharding, spelling, suffix_tree, token_store, warc
 from granary.llm._common import load
 
 
@@ -73,13 +73,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(load(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents")).drop("blocks")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_source_mix, op2_suffix_tree_scores, op3_projected_neighbours, op4_warc_segments, op5_shingle_join,
-        op6_stratified_shards, op7_token_files, op8_tree_bpe, op9_quality_ledger, op10_pseudonyms, op11_collocations,
+        op6_stratified_shards, op7_token_files, op8_tree_bpe, op9_quality_ledger, op10_pseudonyms, op11_collocations, op12_spelling_variants, op13_license_scan,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op13_license_scan": licenses.ORACLE}
