@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from granary.functions import urls
 from granary.functions.numbers import strict_date
 from granary.functions.text import bound
 from granary.operators.publish import paged
+from granary.sources.stores import kept
 
 #: What publication rights may rest on. Fixed values.
 BASES = ("first-party", "public-domain", "cc0", "compatible-license", "written-permission")
@@ -90,24 +93,28 @@ def share_gate(rows: DataFrame, host: str, order: str, share_percent: float, lea
     before = blocks.select("_block", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = F.coalesce(F.sum(F.col("_light").cast("long")).over(Window.partitionBy("_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     running = seq.withColumn("_block", block).withColumn("_inside", inside).join(before, "_block").withColumn("_lights", F.col("_base") + F.col("_inside") + F.lit(total))
+    running = kept(running, "running")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s", kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict = {}
-        accepted, out = 0, []
-        for name, ok, had, cap, lights in zip(pdf["h"], pdf["clean"], pdf["known"], pdf["cap"], pdf["lights"], strict=True):
-            n, size = had + counts.get(name, 0), lights + accepted
-            ok = ok and not n + 1 > cap and (size + 1 < least or (n + 1) / (size + 1) * 100 <= share_percent)
-            out.append((n, size, ok))
-            counts[name] = counts.get(name, 0) + ok
-            accepted += ok
-        return pd.DataFrame({"s": pdf["s"], "before": [x[0] for x in out], "total": [x[1] for x in out], "accepted": [x[2] for x in out]})
+        accepted = 0
+        for batch in batches:
+            out = []
+            for name, ok, had, cap, lights in zip(*(batch[c].to_pylist() for c in ("h", "clean", "known", "cap", "lights")), strict=True):
+                n, size = had + counts.get(name, 0), lights + accepted
+                ok = ok and (cap is None or n + 1 <= cap) and (size + 1 < least or (n + 1) / (size + 1) * 100 <= share_percent)
+                out.append((n, size, ok))
+                counts[name] = counts.get(name, 0) + ok
+                accepted += ok
+            before, size, ok = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch["s"], pa.array(before, pa.int64()), pa.array(size, pa.int64()), pa.array(ok, pa.bool_())], ["s", "before", "total", "accepted"])
 
     slim = running.where("_heavy").select(
-        F.col("_seq").alias("s"), F.col(host).alias("h"), F.col("_clean").alias("clean"), F.col("_known").alias("known"), F.coalesce(F.col("_cap").cast("double"), F.lit(float("inf"))).alias("cap"),
-        F.col("_lights").alias("lights"), F.lit(0).alias("run"),
+        F.col("_seq").alias("s"), F.col(host).alias("h"), F.col("_clean").alias("clean"), F.col("_known").alias("known"), F.col("_cap").alias("cap"), F.col("_lights").alias("lights"),
     )
-    decided = slim.groupBy("run").applyInPandas(fold, "s long, before long, total long, accepted boolean").withColumnRenamed("s", "_seq")
+    # one after another, a batch of rows at a time; the state is a number a host
+    in_turn = slim.repartition(1).sortWithinPartitions("s").mapInArrow(fold, "s long, before long, total long, accepted boolean")
+    decided = kept(in_turn.withColumnRenamed("s", "_seq"), "decided")
     # how many of the few were accepted before each of the other rows: places are looked up in the order of decisions
     gained = decided.where("accepted").select(F.col("_seq").alias("_at"))
     lights = running.where("NOT _heavy").select("_seq")

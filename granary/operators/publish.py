@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.stores import kept
+
 
 def paged(rows: DataFrame, order: str, size: int) -> DataFrame:
     """rows with position (from 1) and page, in code point order of a unique column.
 
-    Positions come from a range partitioning and sums of partition counts, not from one window over everything.
+    The rows are dealt by ranges, sorted and written once, each with its part and its place there, so that what counts
+    the parts and what numbers the rows see the same ranges. A position is the place and the sum of the counts of the
+    parts before; there is a count a part, and no window over everything.
     """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_low"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    placed = ranged.withColumn("_nth", nth).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
-    position = (F.col("_before") + F.col("_nth")).cast("long")
-    return placed.withColumn("position", position).withColumn("page", F.ceil(F.col("position") / size).cast("long")).drop("_part", "_nth", "_before")
+    at, part, before = "_at", F.shiftright("_at", 33), Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id())
+    ranged = kept(ranged, "ranged")
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_part", part).join(F.broadcast(counts), "_part")
+    position = F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("position", position).withColumn("page", F.ceil(F.col("position") / size).cast("long")).drop("_part", at, "_before")
 
 
 def manifest(pages: DataFrame, key: str, body: Column) -> DataFrame:

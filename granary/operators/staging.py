@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import produce, rules, text, urls
 from granary.operators import gates, materialize, resolve
 from granary.operators.publish import paged
+from granary.sources.stores import kept
 
 NAMED = ("source_text_hash", "normalized_text_hash", "model", "prompt_version", "transformed_at")
 
@@ -152,11 +153,11 @@ def promoted(staged: DataFrame, final: DataFrame, staged_foods: DataFrame, final
     )
     problems = used.where(issue.isNotNull()).groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", issue.alias("m")))), lambda x: x["m"]).alias("food_issues"))
     rows = rows.join(ids, "recipe_id", "left").join(problems, "seq", "left")
-    nth = lambda c: gates.first_of(rows, c, "seq")
-    rows = rows.join(nth("url"), "seq").join(nth("recipe_id"), "seq")
+    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("seq"))
+    rows = rows.withColumn("url_nth", nth("url")).withColumn("recipe_id_nth", nth("recipe_id"))
     taken = F.col("final_digest").isNotNull() | (F.col("url_nth") > 1)
     used_id = F.coalesce("id_taken", F.lit(False)) | (F.col("recipe_id_nth") > 1)
-    rows = rows.withColumn("_clean", ~taken & ~used_id & F.col("food_issues").isNull())
+    rows = kept(rows.withColumn("_clean", ~taken & ~used_id & F.col("food_issues").isNull()), "staged")
     hosts = final.groupBy(urls.host(url).alias("host")).agg(F.count(F.lit(1)).alias("n"))
     judged = gates.rights_verdict(rows.drop("record"), policy, hosts, as_of, most_days, share_percent, least, "_clean")
     none = F.array().cast("array<string>")
@@ -182,10 +183,10 @@ def staged_outcome(
     issues = stage_issues(F.col("stage"), F.col("extracted"))
     rows = paged(stages, "file", 1).withColumnRenamed("position", "seq").drop("page").withColumn("content_issues", issues).withColumn("url", F.col("source.url"))
     published = final.select(F.col("record.source.url").alias("url")).distinct().withColumn("finalized", F.lit(True))
-    rows = rows.join(published, "url", "left").join(gates.first_of(rows, "url", "seq"), "seq")
+    rows = rows.join(published, "url", "left").withColumn("url_nth", F.row_number().over(Window.partitionBy("url").orderBy("seq")))
     rows = rows.withColumn("finalized", F.coalesce("finalized", F.lit(False)) | (F.col("url_nth") > 1)).withColumn("_clean", (F.size("content_issues") == 0) & ~F.col("finalized"))
     hosts = final.groupBy(urls.host(F.col("record.source.url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
-    judged = gates.rights_verdict(rows, policy, hosts, as_of, most_days, share_percent, least, "_clean")
+    judged = kept(gates.rights_verdict(rows, policy, hosts, as_of, most_days, share_percent, least, "_clean"), "judged")
     accepted = judged.where("accepted")
     usages = accepted.select("seq", F.posexplode("stage.facts.ingredients").alias("pos", "i")).select("seq", "pos", "i.item", "i.unit")
     foods = resolve.planned_ingredients(usages, ["seq", "pos"], known_foods)

@@ -192,12 +192,12 @@ cases(
     ("https://www.a.example/recipe/1", "listed"), ("https://a.example/recipe/1", ""), ("https://www.a.example/recipe/print/1", ""), ("https://www.a.example/x?from=/print&page=2", "followable"),
     ("https://www.a.example/list/1", "followable"), ("https://cdn.example/sitemap-1.xml.gz", "in_sitemap,is_sitemap"), ("https://www.a.example/recipe/?q=/print", "listed"), ("https://www.a.example/about", ""),
 )
-_ROBOTS = [("/", True), ("/*/1", False), ("/en/1*", True), ("/de", False), ("/q?x=1", False), ("/end$", False), ("", False)]
+ROBOTS = [("/", True), ("/*/1", False), ("/en/1*", True), ("/de", False), ("/q?x=1", False), ("/end$", False), ("", False)]
 
 
 def _allowed(x: Column) -> Column:
     path = urls.request_of(x)
-    hits = [F.when((F.lit(p) != "") & F.rlike(path, urls.rule_pattern(F.lit(p))), F.struct(F.lit(len(p)).alias("n"), F.lit(ok).alias("ok"))) for p, ok in _ROBOTS]
+    hits = [F.when((F.lit(p) != "") & F.rlike(path, urls.rule_pattern(F.lit(p))), F.struct(F.lit(len(p)).alias("n"), F.lit(ok).alias("ok"))) for p, ok in ROBOTS]
     return F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["ok"], F.lit(True))
 
 
