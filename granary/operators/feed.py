@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions import numbers, text, urls
 from granary.functions.text import arrow_udf, bound, canonical
 from granary.operators.publish import eligible, paged
-from granary.sources.stores import replace_folder, write_text
+from granary.sources.stores import current, publish, replace_folder, write_text
 
 VERSION = "1.1.0"
 
@@ -123,6 +123,20 @@ def manifest_of(pages: DataFrame, release: str, generated_at: str) -> str:
 def build_feed(recipes: DataFrame, output: str, release: str, generated_at: str, size: int = 250, record: str = "record") -> dict:
     """Write the feed of eligible records beside output, verify it, and put it in output's place; the old one stays
     where anything fails. The same records give the same bytes. Returns the manifest."""
+    spark = recipes.sparkSession
+    replace_folder(spark, _verified(recipes, output, release, generated_at, size, record), output)
+    return read_manifest(spark, output)
+
+
+def publish_feed(recipes: DataFrame, output: str, release: str, generated_at: str, size: int = 250, record: str = "record") -> dict:
+    """build_feed() as a new version of output: a crash at any time leaves readers, who read stores.current(), the old feed or the new one."""
+    spark = recipes.sparkSession
+    publish(spark, _verified(recipes, output, release, generated_at, size, record), output)
+    return read_manifest(spark, current(spark, output))
+
+
+def _verified(recipes: DataFrame, output: str, release: str, generated_at: str, size: int, record: str) -> str:
+    """The path of a whole and verified feed beside output."""
     for name, value in (("output", output), ("release", release), ("generated_at", generated_at)):
         if not value.strip():
             raise ValueError(f"{name} must be a non-empty string")
@@ -137,8 +151,7 @@ def build_feed(recipes: DataFrame, output: str, release: str, generated_at: str,
     found = [r["problem"] for r in problems.limit(20).collect()]
     if found:
         raise ValueError("; ".join(found))
-    replace_folder(spark, staging, output)
-    return read_manifest(spark, output)
+    return staging
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:

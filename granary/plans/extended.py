@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import ranges
+from granary.operators import ranges, ranking, rollups
 from granary.plans.catalog import _query, _t
+from granary.sources.stores import kept
 from granary.streaming import events as streams
 
 # joins on time
@@ -70,3 +71,45 @@ def stream_interval_join(spark, sf_dir):
     stream = lambda kind: streams.stream_of(spark, f"{sf_dir}/events.parquet", "ts").where(F.col("event_type") == kind)
     pairs = streams.pairs_within(stream("purchase"), stream("click"), "user_id", "ts", "1 HOUR", "30 days")
     return streams.available(pairs.select(F.col("l.event_id").alias("event_id"), F.col("r.event_id").alias("click_id")), "pairs")
+
+
+# ranked search
+
+
+@_query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT count(*) AS n, sum(len(ws)) / count(*) AS average FROM d),
+tf AS (SELECT doc_id, len(ws) AS size, word, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS word FROM d) GROUP BY ALL),
+w AS (SELECT word, ln(1 + ((SELECT n FROM s) - count(*) + 0.5) / (count(*) + 0.5)) AS weight FROM tf GROUP BY word),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS word FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(floor(weight * (tf::DOUBLE * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / average))) * 1000000))::BIGINT AS score FROM q JOIN w USING (word) JOIN tf USING (word), s GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
+def ranked_search(spark, sf_dir):
+    """The ten documents that rank first for each benchmark passage."""
+    found = ranking.index(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    results, _ = ranking.search(found, _t(spark, sf_dir, "benchmark"), "item_id", "text")
+    return results.select(F.col("query").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+# sketches
+
+
+@_query("""WITH e AS (SELECT strftime(ts, '%Y-%m') AS month, * FROM events)
+SELECT month, event_type, count(*)::BIGINT AS n, round(sum(value), 2)::DOUBLE AS total, count(DISTINCT user_id)::BIGINT AS n_users, TRUE AS users_close, TRUE AS median_close FROM e GROUP BY ROLLUP (month, event_type)""")
+def event_rollup(spark, sf_dir):
+    """Exact numbers of a rollup beside those of merged daily sketches, and whether they agree within the sketches' errors."""
+    events = _t(spark, sf_dir, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    days = kept(rollups.daily(events, "ts", ["month", "event_type"], "user_id", "value"), "days")
+    got = rollups.merged(days, ["month", "event_type"])
+    below = F.count_if(F.col("value") < F.col("median")) / F.count(F.lit(1))
+    none = lambda c: F.coalesce(F.col(c), F.lit("*"))
+    exact = events.rollup("month", "event_type").agg(F.count_distinct("user_id").alias("n_users"))
+    both = got.withColumn("_m", none("month")).withColumn("_e", none("event_type")).join(exact.select(none("month").alias("_m"), none("event_type").alias("_e"), "n_users"), ["_m", "_e"])
+    # the rank of the sketch's median among all values of its group
+    ranks = events.select(F.explode(F.array(F.struct("month", "event_type"), F.struct("month", F.lit("*").alias("event_type")), F.struct(F.lit("*").alias("month"), F.lit("*").alias("event_type")))).alias("g"), "value")
+    ranks = ranks.select(F.col("g.month").alias("_m"), F.col("g.event_type").alias("_e"), "value").join(both.select("_m", "_e", "median"), ["_m", "_e"]).groupBy("_m", "_e").agg(below.alias("below"))
+    close = lambda c: F.abs(F.col(c) - F.col("n_users")) <= F.greatest(F.lit(1.0), F.col("n_users") * 0.06)
+    rows = both.join(ranks, ["_m", "_e"])
+    return rows.select(
+        "month", "event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"), "n_users", (close("users") & close("users_theta")).alias("users_close"),
+        (F.abs(F.col("below") - 0.5) <= 0.05).alias("median_close"),
+    )

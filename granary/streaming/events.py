@@ -54,14 +54,14 @@ class Lateness(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         seen = pd.Timestamp(self.latest.get()[0]) if self.latest.exists() else None
         for pdf in rows:
-            pdf = pdf.sort_values("_order", kind="stable")
-            before = pdf["_at"].cummax().shift(1)
+            pdf = pdf.sort_values("place", kind="stable")
+            before = pdf["happened"].cummax().shift(1)
             if seen is not None:
                 before = before.where(before > seen, seen)
-            behind = (before - pdf["_at"]).dt.total_seconds().clip(lower=0).fillna(0.0)
-            newest = pdf["_at"].max()
+            behind = (before - pdf["happened"]).dt.total_seconds().clip(lower=0).fillna(0.0)
+            newest = pdf["happened"].max()
             seen = newest if seen is None or newest > seen else seen
-            yield pd.DataFrame({"id": pdf["_order"], "behind": behind})
+            yield pd.DataFrame({"id": pdf["place"], "behind": behind})
         if seen is not None:
             self.latest.update((seen.to_pydatetime(),))
 
@@ -72,5 +72,5 @@ class Lateness(StatefulProcessor):
 def lateness(events: DataFrame, key: str, at: str, order: str) -> DataFrame:
     """(id, behind): for each row, in the order in which rows arrive, the seconds that it is behind the latest of its key
     before it. The state is one time a key, in transformWithState's store."""
-    rows = events.select(key, F.col(at).alias("_at"), F.col(order).cast("long").alias("_order"))
+    rows = events.select(key, F.col(at).alias("happened"), F.col(order).cast("long").alias("place"))
     return rows.groupBy(key).transformWithStateInPandas(Lateness(), "id long, behind double", "append", "none")
