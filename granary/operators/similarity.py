@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +80,40 @@ def max_step_percent(left: Column, right: Column) -> Column:
     return F.coalesce(bound(F.struct(a.alias("a"), b.alias("b")), best), F.lit(0.0))
 
 
-def terms_in(texts: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, term): terms (column term) that a text holds as whole words; an equi-join on word windows as long as terms are, not a nested loop."""
-    words = folded_tokens(F.col(text))
-    folded = terms.select("term", folded_tokens(F.col("term")).alias("words")).where(F.size("words") > 0)
-    wanted = folded.select("term", F.array_join("words", " ").alias("folded")).distinct()
-    lengths = sorted(r["n"] for r in folded.select(F.size("words").alias("n")).distinct().collect())
-    windows = [F.array_distinct(words) if n == 1 else ngrams(words, n) for n in lengths] or [F.array().cast("array<string>")]
-    held = texts.select(key, F.explode(F.array_distinct(F.flatten(F.array(*windows)))).alias("folded"))
-    return held.join(wanted, "folded").select(key, "term").distinct()
+def terms_in(texts: DataFrame, key: str, text: str, terms: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """(key, term): terms (column term) that a text holds as whole words.
+
+    All terms are looked for in one pass over a text by an Aho-Corasick automaton over folded words, however long and
+    many they are. An automaton has terms of ``most`` characters at most; more terms are dealt to several of them, each
+    with a pass of its own.
+    """
+    folded = terms.select("term", F.array_join(folded_tokens(F.col("term")), " ").alias("folded")).where("folded <> ''").distinct()
+    wanted = folded.groupBy("folded").agg(F.collect_set("term").alias("terms"))
+    blocks = -(-(wanted.agg(F.sum(F.length("folded") + 2).alias("n")).first()["n"] or 0) // most)
+    padded = texts.select(key, F.concat(F.lit(" "), F.array_join(folded_tokens(F.col(text)), " "), F.lit(" ")).alias("_padded"))
+    kind = texts.schema[key].dataType
+    found = texts.sparkSession.createDataFrame([], f"`{key}` {kind.simpleString()}, term string")
+    for block in range(blocks):
+        mine = wanted.where(F.pmod(F.xxhash64("folded"), F.lit(blocks)) == block).toArrow().to_pylist()
+        named = texts.sparkSession.sparkContext.broadcast({r["folded"]: sorted(r["terms"]) for r in mine})
+        found = found.union(padded.mapInArrow(_finder(key, named), f"`{key}` {kind.simpleString()}, term string"))
+    return found.distinct()
+
+
+def _finder(key: str, named: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for folded, names in named.value.items():
+            automaton.add_word(f" {folded} ", names)
+        automaton.make_automaton()
+        for batch in batches:
+            at, out = [], []
+            for i, text in enumerate(batch["_padded"]):
+                for name in {name for _, names in automaton.iter(text.as_py()) for name in names} if len(automaton) else ():
+                    at.append(i)
+                    out.append(name)
+            yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(at, pa.int64())), pa.array(out, pa.string())], [key, "term"])
+
+    return find

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import ranges, ranking, rollups
+from granary.operators import minting, ranges, ranking, rollups, substring
 from granary.plans.catalog import _query, _t
-from granary.sources.stores import kept
+from granary.sources.stores import kept, scratch
 from granary.streaming import events as streams
 
 # joins on time
@@ -113,3 +113,30 @@ def event_rollup(spark, sf_dir):
         "month", "event_type", "n", F.round(F.col("total").cast("double"), 2).alias("total"), "n_users", (close("users") & close("users_theta")).alias("users_close"),
         (F.abs(F.col("below") - 0.5) <= 0.05).alias("median_close"),
     )
+
+
+# substrings and ids
+
+
+@_query("""SELECT needle, page_id FROM pages, (VALUES ('nav><ul'), ('THERE'), ('ße'), ('an'), ('zzqq'), ('%')) AS v(needle) WHERE contains(lower(html), lower(needle))""")
+def indexed_substring(spark, sf_dir):
+    """Pages that hold a needle in any case, by posting lists of trigrams; needles of less than three characters are looked for in all."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "html")
+    index = substring.index(pages, "page_id", "html")
+    needles = ("nav><ul", "THERE", "ße", "an", "zzqq", "%")
+    found = [substring.holding(pages, index, "page_id", "html", n).select(F.lit(n).alias("needle"), "page_id") for n in needles]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+@_query("""SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS id FROM part""")
+def minted_across_batches(spark, sf_dir):
+    """Ids of part names that come in two batches of a stream: a name of both has one id."""
+    at = scratch(spark, "names")
+    part = _t(spark, sf_dir, "part").withColumn("half", F.pmod("p_partkey", F.lit(2)))
+    part.select(F.col("p_name").alias("name"), "half").repartition(1).write.partitionBy("half").parquet(f"{at}/in")
+    stream = spark.readStream.schema("name string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    minting.mint_available(stream, "name", f"{at}/ids", f"{at}/state")
+    return minting.minted(spark, f"{at}/ids").select("key", "id")

@@ -201,3 +201,41 @@ def test_a_small_file_is_there_all_the_time(spark, tmp_path, monkeypatch):
     assert (tmp_path / "m.json").read_text() == "old"
     stores.write_text(spark, path, "new")
     assert spark.read.text(path).first()[0] == "new"
+
+
+def test_substrings_by_trigrams_equal_a_scan(spark):
+    dice = random.Random(6)
+    rows = [(i, "".join(dice.choice("abAB ßé.") for _ in range(dice.choice([0, 2, 3, 30])))) for i in range(400)] + [(400, None), (401, "abcabc")]
+    from granary.operators import substring
+
+    table = spark.createDataFrame(rows, "id long, text string")
+    found = substring.index(table, "id", "text", 20)
+    for needle in ("abc", "ab ", "ABA", "ßé", "ßéa", "a", "", "zzz", "b.a."):
+        got = sorted(r["id"] for r in substring.holding(table, found, "id", "text", needle).collect())
+        assert got == [i for i, t in rows if t is not None and needle.lower() in t.lower()], needle
+    plan = substring.candidates(found, "abc")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan or "EqualTo(gram" in plan
+
+
+def test_terms_in_several_automata_equal_windows(spark):
+    from granary.operators.similarity import terms_in
+
+    dice = random.Random(2)
+    texts = [(i, " ".join(dice.choice(["Red", "crème", "b", "c-d", "x"]) for _ in range(dice.choice([0, 1, 9])))) for i in range(200)] + [(None, "red"), (7, None)]
+    terms = ["red", "RED", "creme b", "c d c d", "x x x x x x", "b", "", "-", "Crème", "d c"]
+    plain = lambda t: re.findall("[a-z0-9]+", (t or "").lower().replace("è", "e"))
+    wanted = sorted({(i, t) for i, x in texts for t in terms if (w := plain(t)) and any(plain(x)[k : k + len(w)] == w for k in range(len(plain(x))))}, key=repr)
+    frame, named = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    for most in (1 << 22, 8):
+        assert sorted((tuple(r) for r in terms_in(frame, "id", "text", named, most).collect()), key=repr) == wanted
+
+
+def test_ids_are_minted_once_across_batches_and_again_after_a_crash(spark, tmp_path):
+    from granary.operators import minting
+
+    path, batch = str(tmp_path / "ids"), lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    first = {r["key"]: r["id"] for r in minting.mint(batch("Red Onion", "red onion!", "Salt", "..."), "name", path, 0).collect()}
+    assert first == {"red onion": "red-onion", "salt": "salt"}
+    second = lambda: {r["key"]: r["id"] for r in minting.mint(batch("Salt", "Red  Onion", "Oil"), "name", path, 1).collect()}
+    assert second() == {"red onion": "red-onion", "salt": "salt", "oil": "oil"} == second()
+    assert minting.minted(spark, path).count() == 3
