@@ -13,22 +13,22 @@ from granary.streaming import events as streams
 
 
 @_query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY ALL)
-SELECT event_id, o_orderkey, o_totalprice FROM events ASOF LEFT JOIN o ON o_custkey = user_id AND o_orderdate <= ts""")
+SELECT event_id, coalesce(o_orderkey, -1) AS o_orderkey, o_totalprice FROM events ASOF LEFT JOIN o ON o_custkey = user_id AND o_orderdate <= ts""")
 def asof_order(spark, sf_dir):
-    """Each event with the latest earlier order of its user."""
+    """Each event with the latest earlier order of its user, -1 if there is none."""
     orders = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"), "o_orderkey", "o_totalprice")
     found = ranges.as_of(_t(spark, sf_dir, "events").select("event_id", "user_id", "ts"), orders, "user_id", "ts", "o_orderkey")
-    return found.select("event_id", "match.o_orderkey", "match.o_totalprice")
+    return found.select("event_id", F.coalesce("match.o_orderkey", F.lit(-1)).alias("o_orderkey"), "match.o_totalprice")
 
 
-@_query("""SELECT a.event_id, b.event_id AS earlier_id, b.value AS earlier_value
+@_query("""SELECT a.event_id, coalesce(b.event_id, -1) AS earlier_id, b.value AS earlier_value
 FROM (SELECT * FROM events WHERE event_type <> 'click') AS a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY user_id, ts) AS b
 ON a.user_id = b.user_id AND b.ts <= a.ts""")
 def asof_click(spark, sf_dir):
-    """Each other event with its user's latest click before it."""
+    """Each other event with its user's latest click before it, -1 if there is none."""
     events = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
     found = ranges.as_of(events.where("event_type <> 'click'"), events.where("event_type = 'click'"), "user_id", "ts", "event_id")
-    return found.select("event_id", F.col("match.event_id").alias("earlier_id"), F.col("match.value").alias("earlier_value"))
+    return found.select("event_id", F.coalesce("match.event_id", F.lit(-1)).alias("earlier_id"), F.col("match.value").alias("earlier_value"))
 
 
 @_query("""SELECT a.event_id, count(*)::BIGINT AS n_before, min(b.event_id) AS first_id FROM events AS a JOIN events AS b ON a.user_id = b.user_id AND b.event_type = 'click'
