@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, produce, rules, text, urls
-from granary.operators import gates
+from granary.operators import gates, resolve, review
 from granary.plans.catalog import _query, _t
 from granary.plans.golden import ROBOTS
 
@@ -158,3 +158,136 @@ def season_scores(spark, sf_dir):
     used = F.filter(lines, lambda i: F.contains(title, i["name"]))
     scores = produce.season_scores(title, F.get(F.split(title, " with "), F.lit(0)), used)
     return _part(spark, sf_dir, F.array_join(produce.seasons_of_scores(scores), ",").alias("seasons"))
+
+
+# names and texts
+
+
+_LINE = "split_part(coalesce(text, ''), chr(10), 1)"
+_DASHED = "regexp_replace(regexp_replace({0}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+def _line() -> Column:
+    return F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+
+
+@_query(f"SELECT doc_id, CASE WHEN s = '' THEN 'recipe' ELSE s END AS slug FROM (SELECT doc_id, substr({_DASHED.format(f'strip_accents(lower({_LINE}))')}, 1, 90) AS s FROM documents)")
+def slug_folded(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.slug(_line(), fold=True).alias("slug"))
+
+
+@_query(f"SELECT doc_id, array_to_string(regexp_extract_all(strip_accents(lower({_LINE})), '[a-z0-9]+'), ' ') AS tokens FROM documents")
+def folded_tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(text.folded_tokens(_line()), " ").alias("tokens"))
+
+
+@_query(f"SELECT p_partkey, substr({_DASHED.format('lower(p_brand || p_name || p_type)')}, 1, 90) AS slug FROM part")
+def slug_marks(spark, sf_dir):
+    return _part(spark, sf_dir, text.slug(F.concat("p_brand", "p_name", "p_type")).alias("slug"))
+
+
+@_query(f"SELECT p_partkey, substr({_DASHED.format("lower(p_brand || ' ' || p_name)")}, 1, 100) AS slug FROM part")
+def slug_import(spark, sf_dir):
+    return _part(spark, sf_dir, text.import_slug(F.concat("p_brand", F.lit("® "), "p_name")).alias("slug"))
+
+
+@_query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
+def lookup_key(spark, sf_dir):
+    return _part(spark, sf_dir, text.lookup_key(F.concat("p_name", F.lit("® (optional) "), "p_type", F.lit("**"))).alias("key"))
+
+
+@_query("SELECT p_partkey, p_name AS name, p_size % 2 = 0 AS optional FROM part")
+def clean_name(spark, sf_dir):
+    given = F.concat(F.lit("  "), F.col("p_name"), F.lit("®"), F.when(F.col("p_size") % 2 == 0, F.lit(" (optional)")).otherwise(F.lit("")))
+    return _part(spark, sf_dir, text.clean_name(given).alias("name"), text.is_optional(given).alias("optional"))
+
+
+@_query("SELECT p_partkey, upper(substr(p_name, 1, 1)) || substr(p_name, 2) AS name FROM part")
+def display_name(spark, sf_dir):
+    return _part(spark, sf_dir, text.display_name(F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "   "))).alias("name"))
+
+
+@_query("SELECT doc_id, 'page-' || CASE WHEN length(doc_id::VARCHAR) < 5 THEN lpad(doc_id::VARCHAR, 5, '0') ELSE doc_id::VARCHAR END || '.json' AS file FROM documents")
+def page_name(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.page_name(F.col("doc_id")).alias("file"))
+
+
+@_query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS prose FROM part")
+def prose_join(spark, sf_dir):
+    return _part(spark, sf_dir, review.final_prose(F.col("p_name"), F.col("p_type"), F.array("p_brand", F.lit(None).cast("string"), F.lit(""))).alias("prose"))
+
+
+@_query("SELECT p_partkey, p_type || CASE WHEN p_size % 2 = 0 THEN ',' || p_brand ELSE '' END AS items FROM part")
+def without_id(spark, sf_dir):
+    food = lambda id_, item: F.struct(id_.alias("ingredient_id"), F.col(item).alias("item"))
+    foods = F.array(food(F.col("p_name"), "p_name"), food(F.lit(None).cast("string"), "p_type"), food(F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_brand")), "p_brand"))
+    return _part(spark, sf_dir, F.array_join(resolve.without_id(foods), ",").alias("items"))
+
+
+# numbers and moments
+
+
+@_query("SELECT p_partkey, (p_size + p_partkey % 50 + CASE WHEN p_size % 2 = 0 THEN 0 ELSE 7 END)::BIGINT AS minutes, p_size / 4.0::DOUBLE AS scale FROM part")
+def total_minutes(spark, sf_dir):
+    inactive = F.when(F.col("p_size") % 2 != 0, F.lit(7))
+    return _part(spark, sf_dir, numbers.total_minutes(F.col("p_size"), F.col("p_partkey") % 50, inactive).cast("long").alias("minutes"), numbers.serving_scale(F.col("p_size").cast("double"), F.lit(4.0)).alias("scale"))
+
+
+@_query("SELECT p_partkey, CASE WHEN v = floor(v) THEN floor(v)::BIGINT::VARCHAR ELSE v::VARCHAR END AS shown FROM (SELECT p_partkey, floor(p_size * 0.125::DOUBLE * 3 * 100 + 0.5) / 100 AS v FROM part)")
+def format_quantity(spark, sf_dir):
+    return _part(spark, sf_dir, numbers.format_quantity(F.col("p_size") * 0.125, F.lit(None).cast("string"), F.lit(3.0)).alias("shown"))
+
+
+@_query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_size::DOUBLE ELSE -1 END AS num, CASE p_size % 3 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '/2' ELSE p_name END AS raw FROM part")
+def typed_quantity(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    given = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), size)).when(F.col("p_size") % 3 == 1, F.concat(size, F.lit("/2"))).otherwise(F.col("p_name"))
+    return _part(spark, sf_dir, numbers.typed_quantity(given).alias("q")).select("p_partkey", F.coalesce("q.num", F.lit(-1.0)).alias("num"), "q.raw")
+
+
+@_query("SELECT p_partkey, p_size + 0.5::DOUBLE AS num, (['cup', 'ounce', 'clove'])[1 + p_size % 3] AS unit FROM part")
+def normalize_quantity(spark, sf_dir):
+    got = numbers.normal_quantity(F.concat(F.col("p_size").cast("string"), F.lit(" 1/2")), _pick(["cups", "ounces", "CLOVES"], "p_size"))
+    return _part(spark, sf_dir, got.alias("q")).select("p_partkey", "q.num", "q.unit")
+
+
+@_query("SELECT event_id, CASE WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.000Z' ELSE strftime(ts, '%Y-%m-%d') || 'T00:00:00.000Z' END AS moment FROM events")
+def timestamp_default(spark, sf_dir):
+    moment = F.when(F.col("event_type") == "click", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".000Z")))
+    return _t(spark, sf_dir, "events").select("event_id", numbers.since_or_day(moment, F.date_format("ts", "yyyy-MM-dd")).alias("moment"))
+
+
+# records
+
+
+@_query("SELECT event_id, '0:id:' || event_id || ',1:k:' || (props->>'k') AS entries FROM events")
+def map_entries(spark, sf_dir):
+    held = F.map_concat(F.from_json("props", "map<string, string>"), F.create_map(F.lit("id"), F.col("event_id").cast("string")))
+    shown = F.transform(text.entries(held), lambda e: F.concat_ws(":", e["pos"].cast("string"), e["key"], e["value"]))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(shown, ",").alias("entries"))
+
+
+@_query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN replace(props, ' ', '') END AS object FROM events")
+def structured_output(spark, sf_dir):
+    turn = F.col("event_id") % 3
+    given = F.when(turn == 0, F.col("props")).when(turn == 1, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.expr("substr(props, 1, length(props) - 1)"))
+    return _t(spark, sf_dir, "events").select("event_id", F.to_json(text.json_object(given)).alias("object"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'needs-review' WHEN o_orderstatus <> 'F' THEN 'publication-hold' ELSE 'ready' END AS status FROM orders")
+def record_status(spark, sf_dir):
+    reasons = lambda when: F.array_compact(F.array(F.when(when, F.lit("x"))))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", review.record_status(reasons(F.startswith("o_orderpriority", F.lit("1"))), reasons(F.col("o_orderstatus") != "F")).alias("status"))
+
+
+@_query(r"""SELECT page_id, array_to_string(list_filter([CASE WHEN NOT blocked AND (contains(path, '/en/') OR contains(path, '/fr/')) THEN 'listed' END, CASE WHEN NOT blocked AND contains(request, 'page=') THEN 'followable' END,
+CASE WHEN regexp_matches(path, '(?i)\.xml(\.gz)?(\?|$)') THEN 'is_sitemap' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM (SELECT *, contains(path, '/1') AS blocked FROM (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1) AS request FROM pages))""")
+def crawl_predicates(spark, sf_dir):
+    """Pages as addresses on their own sites."""
+    url, parts = F.col("url"), lambda *values: F.array(*map(F.lit, values))
+    base = F.concat(F.lit("https://"), urls.authority(url), F.lit("/"))
+    flags = rules.all_matches([
+        (urls.listed(url, base, parts("/en/", "/fr/"), parts("/1")), "listed"), (urls.followable(url, base, parts("page="), parts("/1")), "followable"), (urls.is_sitemap(url, F.lit("text/html")), "is_sitemap"),
+    ])
+    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(flags, ",").alias("flags"))
