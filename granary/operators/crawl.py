@@ -54,8 +54,9 @@ def discover(
         wanted = links.where("kind = 'wanted'").groupBy("key").agg(F.min(place).alias("place"), F.min_by("link", place).alias("url")).join(taken, "key", "left_anti")
         wanted = _kept(wanted.withColumn("good", accept(F.col("url"))))
         left = most - counts["accepted"]
-        # the place of the last address that the limit leaves room for
-        last = wanted.where("good").orderBy("place").limit(left).agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).first()
+        # places among all, so that the last address that the limit leaves room for is one row, and no task has them all
+        good = paged(wanted.where("good").withColumn("_order", F.struct("place")), "_order", 1).where(F.col("position") <= left)
+        last = good.agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).first()
         if last["n"] >= left:
             at = F.struct(F.lit(last["place"]["seq"]).alias("seq"), F.lit(last["place"]["pos"]).alias("pos"))
             wanted, level = wanted.where(F.col("place") <= at), level.where(F.col("seq") <= last["place"]["seq"])
@@ -63,7 +64,7 @@ def discover(
         got = wanted.agg(F.count(F.lit(1)), F.count_if(~F.col("good")), F.count_if("good")).first()
         for name, n in zip(("visited", "blocked", "failed", "fetched", "candidates", "skipped", "accepted"), (*seen, *got), strict=True):
             counts[name] += n
-        found = found.unionByName(paged(wanted.where("good").withColumn("_order", F.struct("place")), "_order", 1).select("url", (F.col("position") + F.lit(counts["accepted"] - got[2])).alias("seq")))
+        found = found.unionByName(good.select("url", (F.col("position") + F.lit(counts["accepted"] - got[2])).alias("seq")))
         if last["n"] >= left:
             break
         visited, taken = _kept(visited.union(level.select("url"))), _kept(taken.union(wanted.select("key")))

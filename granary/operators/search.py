@@ -49,3 +49,8 @@ def in_order_of(rows: DataFrame, inputs: DataFrame, key: str, place: str) -> Dat
 def collated(rows: DataFrame, column: str) -> DataFrame:
     """rows sorted as readers expect it: by the Unicode collation, not by code points."""
     return rows.orderBy(F.collate(F.col(column), "UNICODE"), column)
+
+
+def utf16_key(text: Column) -> Column:
+    """A key that sorts texts by UTF-16 code units: characters beyond U+FFFF come before those from U+E000 on."""
+    return F.encode(text, "UTF-16BE")

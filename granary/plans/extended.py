@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import minting, ranges, ranking, rollups, substring
+from granary.operators import minting, publish, ranges, ranking, rollups, search, substring
 from granary.plans.catalog import _query, _t
 from granary.sources.stores import kept, scratch
 from granary.streaming import events as streams
@@ -140,3 +140,11 @@ def minted_across_batches(spark, sf_dir):
     stream = spark.readStream.schema("name string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{at}/in")
     minting.mint_available(stream, "name", f"{at}/ids", f"{at}/state")
     return minting.minted(spark, f"{at}/ids").select("key", "id")
+
+
+@_query("""SELECT p_partkey, row_number() OVER (ORDER BY p_size % 3, p_name, p_partkey) AS position FROM part""")
+def utf16_sort(spark, sf_dir):
+    """Places of names in the order of UTF-16 code units, after a letter, a character beyond U+FFFF or a ligature below it."""
+    first = F.element_at(F.array(*map(F.lit, ("z", "\U0001f600", "\ufb01"))), (F.col("p_size") % 3 + 1).cast("int"))
+    named = _t(spark, sf_dir, "part").select("p_partkey", search.utf16_key(F.concat(first, "p_name")).alias("name"))
+    return publish.paged(named.withColumn("_key", F.struct("name", "p_partkey")), "_key", 1).select("p_partkey", "position")
