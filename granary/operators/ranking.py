@@ -27,14 +27,16 @@ from granary.sources.stores import kept
 SEGMENT, BLOCK, QUERIES = 1 << 13, 1 << 6, 1 << 10
 #: Saturation of counts, weight of lengths, and units of a score: terms are floored to millionths, so sums are exact.
 K1, B, UNIT = 1.2, 0.75, 1_000_000
+_WIDTHS = {w: np.dtype(f"<u{w}") for w in (1, 2, 4, 8)}
 _TOKEN = re.compile(r"[a-z0-9]+")
 _INDEX = "segment string, word string, n long, first binary, counts binary, blocks binary, tops binary, shortest binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 on in the narrowest width, which the first byte says."""
-    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    most = int(values.max()) if len(values) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + values.astype(_WIDTHS[width]).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -46,29 +48,38 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
     the segment's keys and lengths. Keys are whole numbers; a null text has no words."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, turn, keys, lengths, postings = TaskContext.get().partitionId(), 0, [], [], {}
+        part, turn = TaskContext.get().partitionId(), 0
+        keys, lengths, words, held = [], [], {}, ([], [], [])
 
         def segment() -> pa.RecordBatch:
-            name = f"{part}-{turn}"
-            sizes = np.array(lengths, np.int64)
+            name, sizes = f"{part}-{turn}", np.array(lengths, np.int64)
+            word, place, count = (np.array(v, np.int64) for v in held)
+            order = np.argsort(word, kind="stable")
+            word, place, count = word[order], place[order], count[order]
+            # the blocks of all words at once, then each word's part of them
+            start = np.flatnonzero(np.diff(word * SEGMENT + place // BLOCK, prepend=-1))
+            tops, shortest = (np.maximum.reduceat(count, start), np.minimum.reduceat(sizes[place], start)) if len(start) else (count, count)
+            block, of = place[start] // BLOCK, word[start]
+            steps = lambda values, group: np.where(np.diff(group, prepend=-1) != 0, values, np.diff(values, prepend=0))
+            place, block = steps(place, word), steps(block, of)
+            at, block_at = (np.searchsorted(group, np.arange(len(words) + 1)) for group in (word, of))
             rows = [(name, None, len(keys), np.array(keys, "<i8").tobytes(), _packed(sizes), None, None, None)]
-            for word, found in postings.items():
-                places, counts = (np.array(v, np.int64) for v in zip(*found, strict=True))
-                blocks, start = np.unique(places // BLOCK, return_index=True)
-                tops, shortest = np.maximum.reduceat(counts, start), np.minimum.reduceat(sizes[places], start)
-                rows.append((name, word, len(places), _packed(np.diff(places, prepend=0)), _packed(counts), _packed(np.diff(blocks, prepend=0)), _packed(tops), _packed(shortest)))
+            for i, spelled in enumerate(words):
+                mine, blocks = slice(at[i], at[i + 1]), slice(block_at[i], block_at[i + 1])
+                rows.append((name, spelled, int(at[i + 1] - at[i]), *(_packed(v[mine]) for v in (place, count)), *(_packed(v[blocks]) for v in (block, tops, shortest))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
             for k, t in zip(batch["k"].to_pylist(), batch["t"].to_pylist(), strict=True):
                 found = Counter(_TOKEN.findall(t))
-                for word, n in found.items():
-                    postings.setdefault(word, []).append((len(keys), n))
+                held[0].extend(words.setdefault(w, len(words)) for w in found)
+                held[1].extend([len(keys)] * len(found))
+                held[2].extend(found.values())
                 keys.append(k)
                 lengths.append(sum(found.values()))
                 if len(keys) == SEGMENT:
                     yield segment()
-                    turn, keys, lengths, postings = turn + 1, [], [], {}
+                    turn, keys, lengths, words, held = turn + 1, [], [], {}, ([], [], [])
         if keys:
             yield segment()
 
@@ -82,18 +93,28 @@ def _part(counts: np.ndarray, lengths: np.ndarray, average: float) -> np.ndarray
     return counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / average))
 
 
+def _weighed(segment: dict, word: str, weight: float, average: float) -> tuple[np.ndarray, ...]:
+    """(places, their blocks, what the word adds there; blocks, the most that it adds in them) of a word of a segment, worked out once."""
+    done = segment.setdefault("weighed", {})
+    if word not in done:
+        places, counts, blocks, tops, shortest = segment["words"][word]
+        units = lambda n, lengths: np.floor(weight * _part(n, lengths, average) * UNIT).astype(np.int64)
+        done[word] = places, places // BLOCK, units(counts, segment["lengths"][places]), blocks, units(tops, shortest) + 1
+    return done[word]
+
+
 def _bests(segment: dict, wanted: list, average: float, most: int, best: list) -> tuple[list, int, int]:
     """(the most best (score, key) so far, blocks read, blocks skipped) of a query, wanted: (word, weight), with one more segment."""
-    held = [(*segment["words"][w], weight) for w, weight in wanted if w in segment["words"]]
-    keys, lengths = segment["keys"], segment["lengths"]
+    held = [_weighed(segment, word, weight, average) for word, weight in wanted if word in segment["words"]]
+    keys = segment["keys"]
     bound = np.zeros(-(-len(keys) // BLOCK), np.int64)
-    for _, _, blocks, tops, shortest, weight in held:
-        bound[blocks] += np.floor(weight * _part(tops, shortest, average) * UNIT).astype(np.int64) + 1
+    for *_, blocks, tops in held:
+        bound[blocks] += tops
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
-    read, step = 0, 4
+    read, step = 0, 16
     while read < len(order):
-        least = best[-1][0] if len(best) == most else -1
+        least = best[-1][0] if len(best) == most else 1
         some = order[read : read + step]
         some = some[bound[some] >= least]
         if not len(some):
@@ -101,15 +122,17 @@ def _bests(segment: dict, wanted: list, average: float, most: int, best: list) -
         chosen = np.zeros(len(bound), bool)
         chosen[some] = True
         scores = np.zeros(len(keys), np.int64)
-        for places, counts, *_, weight in held:
-            here = chosen[places // BLOCK]
-            at = places[here]
-            scores[at] += np.floor(weight * _part(counts[here], lengths[at], average) * UNIT).astype(np.int64)
-        at = np.flatnonzero(scores)
-        at = at[scores[at] >= max(least, 1)]
+        for places, block, adds, *_ in held:
+            if len(some) < len(order):
+                here = chosen[block]
+                places, adds = places[here], adds[here]
+            scores[places] += adds
+        at = np.flatnonzero(scores >= least)
+        if len(at) > most:  # all that tie with the last that can stay
+            at = at[scores[at] >= np.partition(scores[at], len(at) - most)[len(at) - most]]
         best = sorted([*best, *zip(scores[at].tolist(), keys[at].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:most]
-        read, step = read + len(some), step * 2
-        if len(some) < step // 2:
+        read, step, full = read + len(some), step * 4, len(some) == step
+        if not full:
             break
     return best, read, len(order) - read
 
