@@ -291,3 +291,55 @@ def crawl_predicates(spark, sf_dir):
         (urls.listed(url, base, parts("/en/", "/fr/"), parts("/1")), "listed"), (urls.followable(url, base, parts("page="), parts("/1")), "followable"), (urls.is_sitemap(url, F.lit("text/html")), "is_sitemap"),
     ])
     return _t(spark, sf_dir, "pages").select("page_id", F.array_join(flags, ",").alias("flags"))
+
+
+# titles and lines
+
+
+@_query("SELECT p_partkey, p_size % 4 <> 3 AS artifact FROM part")
+def title_artifact(spark, sf_dir):
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    titles = [F.concat(F.lit("2023-W"), size, F.lit(" "), name), F.concat(F.lit("R"), size, F.lit(" "), name), F.upper(name), name]
+    return _part(spark, sf_dir, text.title_artifact(F.element_at(F.array(*titles), F.col("p_size") % 4 + 1)).alias("artifact"))
+
+
+@_query("SELECT p_partkey, p_size % 3 < 2 OR contains(lower(p_name), lower(split_part(p_name, ' ', 2))) AND length(split_part(p_name, ' ', 2)) >= 4 AS risky FROM part")
+def risky_title(spark, sf_dir):
+    title = F.concat("p_name", F.element_at(F.array(F.lit("™"), F.lit(", official"), F.lit("")), F.col("p_size") % 3 + 1))
+    return _part(spark, sf_dir, text.risky_title(title, F.upper(F.get(F.split("p_name", " "), F.lit(1)))).alias("risky"))
+
+
+@_query("SELECT p_partkey, 'Mix ' || p_name || '|Chill ' || p_type || '|serve 1.5 cups' AS clauses FROM part")
+def clauses(spark, sf_dir):
+    line = F.concat(F.lit("Mix "), "p_name", F.lit(". Chill "), "p_type", F.lit("; ;serve 1.5 cups"))
+    return _part(spark, sf_dir, F.array_join(rules.clauses(F.array(line)), "|").alias("clauses"))
+
+
+@_query("""SELECT p_partkey, (CASE p_size % 3 WHEN 0 THEN s + 1 WHEN 1 THEN s ELSE 2 END)::INT AS quantity, p_size % 3 <> 1 AS inferred, CASE p_size % 3 WHEN 0 THEN 'source range' WHEN 1 THEN '' ELSE 'source omitted yield' END AS reason
+FROM (SELECT *, 2 + p_partkey % 8 AS s FROM part)""")
+def yield_infer(spark, sf_dir):
+    low = (F.col("p_partkey") % 8 + 2).cast("int")
+    given = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" | "), low.cast("string"), F.lit(" to "), (low + 1).cast("string"), F.lit(" Servings"))).when(F.col("p_size") % 3 == 1, F.concat(low.cast("string"), F.lit(" portions"))).otherwise(F.col("p_name"))
+    return _part(spark, sf_dir, numbers.inferred_yield(given).alias("y")).select("p_partkey", F.col("y.quantity").cast("int").alias("quantity"), "y.inferred", F.coalesce("y.reason", F.lit("")).alias("reason"))
+
+
+@_query("SELECT p_partkey, (['mains', 'baked-goods', 'salads', p_name])[1 + p_size % 4] AS folder FROM part")
+def meal_folder(spark, sf_dir):
+    kinds = F.array(F.lit("main"), F.lit("baked-good"), F.lit("salad"), F.col("p_name"))
+    return _part(spark, sf_dir, produce.folder(F.element_at(kinds, F.col("p_size") % 4 + 1)).alias("folder"))
+
+
+@_query("SELECT p_partkey, p_name || ' & ' || p_type || '!' AS shown FROM part")
+def entity_decode(spark, sf_dir):
+    return _part(spark, sf_dir, text.plain_text(F.concat("p_name", F.lit("&nbsp;&amp; <b>"), "p_type", F.lit("&#33;</b>"))).alias("shown"))
+
+
+@_query("SELECT p_partkey, (['Indian', 'Mexican', 'Thai', 'Japanese', ''])[1 + p_size % 5] AS cuisine FROM part")
+def import_cuisine(spark, sf_dir):
+    title = F.concat("p_name", F.lit(" "), _pick(["Chicken Tikka Masala", "Tacos", "Pad Thai", "Miso soup", "Steak"], "p_size"))
+    return _part(spark, sf_dir, F.coalesce(produce.title_cuisine(text.lookup_key(title)), F.lit("")).alias("cuisine"))
+
+
+@_query("SELECT p_partkey, (['Italian', 'Greek', ''])[1 + p_size % 3] AS cuisine FROM part")
+def cuisine(spark, sf_dir):
+    return _part(spark, sf_dir, rules.cuisine_of(F.array(F.col("p_name"), _pick(["Italian", "Greek", "Dinner"], "p_size"))).alias("cuisine"))
