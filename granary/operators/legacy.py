@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import numbers, produce, text
 from granary.functions.text import bound, lookup_key
 from granary.operators import resolve
+from granary.sources.stores import kept
 
 #: Source records: ingredients as an array, as the order of a map is lost in tables.
 MEALS = (
@@ -61,10 +62,11 @@ def transformed(meals: DataFrame, known: DataFrame, southern: bool = False) -> t
     """(recipes, ingredients, audit) of meals (MEALS) and known ingredient records.
 
     recipes: source_id, folder and the draft's fields; ingredients: new records (id, record); audit: (category, recipe_id, detail).
+    The catalog and the lines, which all three read, are written once.
     """
     usages = meals.select(F.col("id").alias("recipe_id"), F.explode("ingredients").alias("i")).select("recipe_id", "i.name", "i.unit")
-    catalog = resolve.ingredient_catalog(usages, known, southern)
-    lines = meal_lines(meals, catalog)
+    catalog = kept(resolve.ingredient_catalog(usages, known, southern), "catalog")
+    lines = kept(meal_lines(meals, catalog), "lines")
     food = F.struct(lookup_key(F.col("record.name")).alias("name"), F.coalesce("record.seasons", F.array().cast("array<string>")).alias("seasons"))
     line = F.struct("ingredient_id", "item", F.struct("num", "raw").alias("quantity"), "unit", F.when(F.col("optional"), F.lit(True)).alias("optional"))
     own = F.coalesce("record.allergens", produce.name_allergens(lookup_key(F.col("record.name"))))

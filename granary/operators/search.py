@@ -51,6 +51,11 @@ def collated(rows: DataFrame, column: str) -> DataFrame:
     return rows.orderBy(F.collate(F.col(column), "UNICODE"), column)
 
 
+def collated_places(rows: DataFrame, group: str, column: str) -> DataFrame:
+    """rows with place: from 1 within each group, in collated()'s order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.collate(F.col(column), "UNICODE"), column)))
+
+
 def utf16_key(text: Column) -> Column:
     """A key that sorts texts by UTF-16 code units: characters beyond U+FFFF come before those from U+E000 on."""
     return F.encode(text, "UTF-16BE")

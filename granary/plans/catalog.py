@@ -124,9 +124,12 @@ def brand_terms(spark, sf_dir):
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '')"
 
 
-@_query(rf"""SELECT page_id, CASE WHEN q = '' THEN p ELSE p || '?' || q END AS canonical_url FROM (SELECT page_id, regexp_extract(b, '^[^?]*', 0) AS p,
+_CANONICAL = rf"""SELECT page_id, CASE WHEN q = '' THEN p ELSE p || '?' || q END AS canonical_url FROM (SELECT page_id, regexp_extract(b, '^[^?]*', 0) AS p,
 array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:utm_[^=]*|fbclid|gclid)(?:=|$)')),
-lambda x, i: {{'k': regexp_extract(x, '^[^=]*', 0), 'i': i, 'p': x}})), lambda s: s.p), '&') AS q FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages))""")
+lambda x, i: {{'k': regexp_extract(x, '^[^=]*', 0), 'i': i, 'p': x}})), lambda s: s.p), '&') AS q FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages))"""
+
+
+@_query(_CANONICAL)
 def url_canonical(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical_url"))
 
@@ -372,7 +375,7 @@ def stage_freshness(spark, sf_dir):
 
 # queries of further modules join the same list
 from granary.plans import golden, records  # noqa: E402, F401
-from granary.plans import extended, promotion, tables  # noqa: E402, F401  the last two stand in place of some queries of the first
+from granary.plans import extended, imports, promotion, tables  # noqa: E402, F401  the last three stand in place of some queries of the first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -91,6 +91,11 @@ SELECT file, CASE WHEN close OR changed THEN 'needs-review' WHEN finalized THEN
   WHEN p_size = 5 THEN 'rematerialized recipe hashes do not match the staged normalization' ELSE '' END AS reasons
 FROM judged""")
 def staged_outcome(spark, sf_dir):
+    out, _, _ = _outcome(spark, sf_dir)
+    return out.select("file", "status", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _outcome(spark, sf_dir):
     """Parts of size 1 are published, of size 3 too close, of size 4 with another source text; those of size 5 were
     staged with steps that their drafts don't have."""
     rows = _rows(spark, sf_dir)
@@ -116,5 +121,13 @@ def staged_outcome(spark, sf_dir):
     stages = rows.select("file", F.struct(F.lit("S").alias("name"), "url").alias("source"), extracted.alias("extracted"), stage.alias("stage"))
     final = rows.where("p_size = 1").select(F.struct(F.concat(F.lit("final-"), "file").alias("id"), _source(F.col("url")).alias("source")).alias("record"))
     known = spark.createDataFrame([("salt", "Salt", [])], "id string, name string, aliases array<string>")
-    out, _, _ = staging.staged_outcome(stages, final, known, _policy(spark, sf_dir), F.lit("2026-01-02").cast("timestamp"), 30, 100.0, 10**6, F.lit("2026-01-02"))
-    return out.select("file", "status", F.array_join("reasons", "; ").alias("reasons"))
+    return staging.staged_outcome(stages, final, known, _policy(spark, sf_dir), F.lit("2026-01-02").cast("timestamp"), 30, 100.0, 10**6, F.lit("2026-01-02"))
+
+
+@_query(f"""WITH {_PARTS}, d AS (SELECT *, p_size NOT IN (1, 3, 4) AS clean FROM p), {_JUDGED.format('d')},
+made AS (SELECT *, replace(p_name, ' ', '-') AS base, row_number() OVER (PARTITION BY p_name ORDER BY file) AS nth FROM judged WHERE clean AND held = '')
+SELECT file, base || CASE WHEN nth > 1 THEN '-' || substr(sha256('https://' || host || '/' || p_partkey), 1, 8) ELSE '' END AS id, base AS ingredient_id FROM made WHERE p_size <> 5""")
+def staged_records(spark, sf_dir):
+    """What staged_outcome publishes: of parts with one name the first has it as its id."""
+    _, records, _ = _outcome(spark, sf_dir)
+    return records.select("file", "record.id", F.get("record.ingredients", F.lit(0))["ingredient_id"].alias("ingredient_id"))

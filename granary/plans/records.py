@@ -297,7 +297,11 @@ def _meals(spark, filled):
     ("odd-22222222", "same-title-22222222", "mains", "year-round", 10, 20, "dairy-free,nut-free,egg-free", "", "main,easy,x,needs-review", "4 servings", "calories=90", 1),
 ) + " AS v(source_id, recipe_id, folder, seasons, prep, cook, dietary, allergens, tags, yield_text, nutrition, n_steps)")
 def legacy_import(spark, sf_dir):
-    recipes, _, _ = _import(spark)
+    return shown_recipes(_import(spark))
+
+
+def shown_recipes(imported):
+    recipes, _, _ = imported
     nutrition = F.transform(F.array_sort(F.map_entries(F.coalesce("nutrition", F.create_map().cast("map<string, double>")))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int").cast("string")))
     return recipes.select(
         "source_id", "recipe_id", "folder", F.array_join("seasons", ",").alias("seasons"), F.col("times.prep_minutes").cast("int").alias("prep"), F.col("times.cook_minutes").cast("int").alias("cook"),
@@ -313,7 +317,11 @@ def legacy_import(spark, sf_dir):
     ("odd-22222222", 0, "rice", "Rice", "1.5|cup|", False), ("odd-22222222", 1, "rice", "rice", "1|cup|", False),
 ) + " AS v(source_id, pos, ingredient_id, item, amount, optional)")
 def legacy_lines(spark, sf_dir):
-    recipes, _, audit = _import(spark)
+    return shown_lines(_import(spark))
+
+
+def shown_lines(imported):
+    recipes, _, audit = imported
     each = recipes.select("source_id", F.posexplode("ingredients").alias("pos", "i"))
     notes = audit.where("category IN ('inferredMeasurements', 'malformedMeasurements', 'missingMeasurements', 'missingUnits')").select(F.col("recipe_id").alias("source_id"), F.col("detail").alias("item"), "category")
     rows = each.select("source_id", "pos", "i.ingredient_id", "i.item", "i.quantity", "i.unit", F.coalesce("i.optional", F.lit(False)).alias("optional")).join(notes, ["source_id", "item"], "left")
@@ -327,7 +335,11 @@ def legacy_lines(spark, sf_dir):
     ("inferredMeasurements", 1), ("nutritionOutliers", 1), ("duplicateTitles", 2),
 ) + " AS v(category, n)")
 def legacy_audit(spark, sf_dir):
-    _, _, audit = _import(spark)
+    return shown_audit(_import(spark))
+
+
+def shown_audit(imported):
+    _, _, audit = imported
     return legacy.audit_counts(audit).select("category", F.col("n").cast("int").alias("n"))
 
 
@@ -336,7 +348,11 @@ def legacy_audit(spark, sf_dir):
     ("rice", "Rice", "rice", "grain", "year-round", "cup", ""),
 ) + " AS v(id, name, aliases, category, seasons, unit, allergens)")
 def legacy_ingredients(spark, sf_dir):
-    _, new, _ = _import(spark)
+    return shown_ingredients(_import(spark))
+
+
+def shown_ingredients(imported):
+    _, new, _ = imported
     return new.select(
         "id", "record.name", F.array_join("record.aliases", ";").alias("aliases"), F.get("record.categories", F.lit(0)).alias("category"), F.array_join("record.seasons", ",").alias("seasons"),
         F.col("record.default_unit").alias("unit"), F.array_join("record.allergens", ",").alias("allergens"),
@@ -388,8 +404,12 @@ def materialized(spark, sf_dir):
 FROM (VALUES ('a'), ('b'), ('c')) AS v(key)""")
 def provenance(spark, sf_dir):
     extracted = F.struct(F.lit("d").alias("description"), F.array(F.lit("x")).alias("instruction_lines"))
-    review = F.struct(F.lit(7).alias("semantic_similarity"), F.lit(9).alias("structural_similarity"))
-    rows = _made(spark).select("key", materialize.provenance(extracted, F.col("record"), review, " m1 ", "p2", F.lit("t")).alias("p"))
+    return shown_provenance(_made(spark), extracted, F.lit(7))
+
+
+def shown_provenance(made, extracted, semantic):
+    review = F.struct(semantic.alias("semantic_similarity"), F.lit(9).alias("structural_similarity"))
+    rows = made.select("key", materialize.provenance(extracted, F.col("record"), review, " m1 ", "p2", F.lit("t")).alias("p"))
     return rows.select("key", "p.source_text_hash", "p.normalized_text_hash", "p.model", "p.prompt_version", F.col("p.semantic_similarity").alias("semantic"), "p.requires_review")
 
 
@@ -688,7 +708,11 @@ def site_config(spark, sf_dir):
 
 @_query("SELECT * FROM " + _values(("first", 8, 4, 6), ("again", 8, 4, 6)) + " AS v(turn, recipes, ingredients, subtitles)")
 def review_bundle(spark, sf_dir):
-    recipes, new, audit = _import(spark)
+    return shown_bundle(spark, _import(spark))
+
+
+def shown_bundle(spark, imported):
+    recipes, new, audit = imported
     out = stores.scratch(spark, "review")
     made = [("first", sources.write_review_bundle(recipes, new, audit, out, {"hemisphere": "northern"})), ("again", sources.write_review_bundle(recipes, new, audit, out, {"hemisphere": "northern"}, clean=True))]
     return spark.createDataFrame([(t, m["recipe_count"], m["ingredient_candidate_count"], m["audit_counts"]["missingSubtitles"]) for t, m in made], "turn string, recipes int, ingredients int, subtitles int")

@@ -53,12 +53,29 @@ def site_of(sites: DataFrame, site: str) -> dict:
     return found[0].asDict(recursive=True)
 
 
+def sites_of(rows: DataFrame, column: str, sites: DataFrame) -> DataFrame:
+    """rows with site: a struct of id, name, base_url, seeds and configured, as site_of() gives it, for a table of names
+    and addresses. An address is a site of its own, a name the row of sites (id, name, base_url, seeds) with that id; null
+    where none has it and where the value is null."""
+    given = F.col(column)
+    address = F.rlike(given, F.lit("(?i)^https?://[^/?#]"))
+    place = F.regexp_extract(given, r"^([A-Za-z]+)://([^/?#]+)", 2)
+    name = F.lower(F.regexp_replace(F.regexp_replace(place, "^.*@", ""), ":[0-9]*$", ""))
+    base = F.concat(F.lower(F.regexp_extract(given, "^([A-Za-z]+)", 1)), F.lit("://"), place)
+    own = F.struct(F.regexp_replace(name, r"^www\.", "").alias("id"), name.alias("name"), base.alias("base_url"), F.array(given).alias("seeds"), F.lit(False).alias("configured"))
+    known = sites.select(F.col("id").alias("_id"), F.struct("id", "name", "base_url", "seeds", F.lit(True).alias("configured")).alias("_known"))
+    key = F.when(~F.coalesce(address, F.lit(True)), given)
+    return rows.withColumn("_id", key).join(known, "_id", "left").withColumn("site", F.when(address, own).otherwise(F.col("_known"))).drop("_id", "_known")
+
+
 def recovered(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """Ledger rows (url, scraped_at, output, recovered) of stored candidates (source, path) whose address a ledger (url) lacks."""
+    """Ledger rows (url, scraped_at, output, recovered) of stored candidates (source, path) whose address a ledger (url) lacks;
+    of candidates with one address the first by time and path."""
     rows = candidates.where(F.coalesce("source.url", F.lit("")) != "").select(
-        canonical(F.col("source.url")).alias("url"), F.col("source.retrieved_at").alias("scraped_at"), F.array("path").alias("output"), F.lit(True).alias("recovered")
+        canonical(F.col("source.url")).alias("url"), F.col("source.retrieved_at").alias("scraped_at"), F.array("path").alias("output")
     )
-    return rows.join(known.select(canonical(F.col("url")).alias("url")).distinct(), "url", "left_anti").dropDuplicates(["url"])
+    first = rows.groupBy("url").agg(F.min(F.struct("scraped_at", "output")).alias("r")).select("url", "r.scraped_at", "r.output", F.lit(True).alias("recovered"))
+    return first.join(known.select(canonical(F.col("url")).alias("url")).distinct(), "url", "left_anti")
 
 
 def ledger_rows(fetched: DataFrame, known: DataFrame) -> DataFrame:
