@@ -13,7 +13,9 @@ from granary.plans.catalog import _CANONICAL, _query, _t
 from granary.plans.tables import _pick
 from granary.sources import records as sources
 
-_URL = F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string"))
+
+def _url() -> Column:
+    return F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string"))
 
 
 def _listed(values: list[str], by: str) -> str:
@@ -46,7 +48,7 @@ def _meals(spark, sf_dir):
     )
     steps = F.array(F.struct(F.lit(1).alias("order"), F.lit("Cook until done.").alias("text")))
     return _t(spark, sf_dir, "part").select(
-        F.concat(F.lit("part-"), F.lpad(key.cast("string"), 8, "0")).alias("id"), name.alias("name"), _pick(["", "4 servings", "2-6 portions"], "p_size").alias("subName"), _URL.alias("url"),
+        F.concat(F.lit("part-"), F.lpad(key.cast("string"), 8, "0")).alias("id"), name.alias("name"), _pick(["", "4 servings", "2-6 portions"], "p_size").alias("subName"), _url().alias("url"),
         F.when(key % 7 != 0, F.lit("30 minutes")).alias("totalTime"), F.when(key % 6 == 0, F.lit("")).otherwise(F.lit("10 minutes")).alias("prepTime"), F.lit("Easy").alias("difficulty"),
         tags.alias("tags"), amounts.alias("nutritionalValues"), foods.alias("ingredients"), steps.alias("instructions"),
     )
@@ -104,10 +106,13 @@ def review_bundle(spark, sf_dir):
 
 # drafts
 
-_KEY = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
 _FOOD = "struct<item: string, quantity: string, unit: string, preparation: string, optional: boolean>"
 
 
+def _key() -> Column:
+    return F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+
+
 def _made(spark, sf_dir):
     """Records of parts: those of odd keys take the facts' ingredient; red things are known foods, blue ones taken ids."""
     part, none, empty = _t(spark, sf_dir, "part"), F.array().cast("array<string>"), F.lit("")
@@ -124,7 +129,7 @@ def _made(spark, sf_dir):
         F.array(F.lit("eggs")).alias("allergens"), F.array(*map(F.lit, (" oven ", "oven", ""))).alias("equipment"),
     )
     facts = F.when(F.col("p_partkey") % 2 == 1, F.array(food(F.col("p_name"), "1/2", "", "strained", True))).otherwise(F.array().cast(f"array<{_FOOD}>"))
-    drafts = part.select(_KEY.alias("key"), F.struct(F.lit("S").alias("name"), _URL.alias("url")).alias("source"), draft.alias("draft"), facts.alias("ingredients"))
+    drafts = part.select(_key().alias("key"), F.struct(F.lit("S").alias("name"), _url().alias("url")).alias("source"), draft.alias("draft"), facts.alias("ingredients"))
     names = part.select("p_name").distinct().withColumn("id", F.regexp_replace("p_name", " ", "-"))
     butter = part.select(F.lit("butter").alias("id"), F.lit("Butter").alias("name")).distinct()
     known = names.where("p_name LIKE 'red %'").select("id", F.col("p_name").alias("name")).union(butter).withColumn("aliases", none)
@@ -150,7 +155,7 @@ def materialized(spark, sf_dir):
 def provenance(spark, sf_dir):
     part, made = _made(spark, sf_dir)
     extracted = F.struct(F.col("p_type").alias("description"), F.array("p_name").alias("instruction_lines"))
-    return records.shown_provenance(made.join(part.withColumn("key", _KEY), "key"), extracted, F.col("p_size").cast("int"))
+    return records.shown_provenance(made.join(part.withColumn("key", _key()), "key"), extracted, F.col("p_size").cast("int"))
 
 
 # staging
@@ -167,7 +172,7 @@ def _staged(wrong: Column) -> Column:
     )
     kind = _pick(["main", "soup", "snack"], "p_size")
     food = F.array(F.struct(F.when(wrong == 5, F.lit("saffron")).otherwise(F.regexp_replace("p_name", " ", "-")).alias("ingredient_id")))
-    source = F.struct(F.lit("S").alias("name"), _URL.alias("url"), (wrong != 4).alias("adapted"))
+    source = F.struct(F.lit("S").alias("name"), _url().alias("url"), (wrong != 4).alias("adapted"))
     return F.struct(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), none.alias("subtitle"), none.alias("description"), kind.alias("meal_type"), steps.alias("instructions"), food.alias("ingredients"), source.alias("source"), normal.alias("normalization"))
 
 
@@ -233,12 +238,12 @@ def manual_promotion(spark, sf_dir):
     size, none = F.col("p_size"), F.lit(None).cast("string")
     extracted = F.struct(F.col("p_type").alias("description"), F.array("p_name").alias("instruction_lines"))
     status = F.when(size % 4 == 0, F.lit("x")).otherwise(F.lit("needs-review-and-original-wording"))
-    candidate = F.struct(F.lit("1.0.0").alias("candidate_version"), status.alias("review_status"), F.struct(_URL.alias("url")).alias("source"), extracted.alias("extracted"))
+    candidate = F.struct(F.lit("1.0.0").alias("candidate_version"), status.alias("review_status"), F.struct(_url().alias("url")).alias("source"), extracted.alias("extracted"))
     step = F.when(size % 11 == 0, F.lit("REWRITE REQUIRED")).otherwise(F.lit("Mix."))
     record = F.struct(
         F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), _pick(["main", "soup", "snack"], "p_size").alias("meal_type"), none.alias("subtitle"), none.alias("description"),
         F.array(F.struct(step.alias("text"))).alias("instructions"), F.array().cast("array<string>").alias("notes"), F.array(F.when(size % 9 == 0, F.lit("needs-review")).otherwise(F.lit("x"))).alias("tags"),
-        F.struct(F.when(size % 5 == 0, F.lit("https://x.example/")).otherwise(_URL).alias("url"), (size % 7 != 0).alias("adapted")).alias("source"),
+        F.struct(F.when(size % 5 == 0, F.lit("https://x.example/")).otherwise(_url()).alias("url"), (size % 7 != 0).alias("adapted")).alias("source"),
     )
     part = _t(spark, sf_dir, "part")
     stored = part.where("p_partkey % 10 = 0").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"))
