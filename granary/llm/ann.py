@@ -180,6 +180,17 @@ def usable(vector: str) -> Column:
     return F.expr(f"{vector} IS NOT NULL AND forall({vector}, x -> x IS NOT NULL AND abs(x) < double('infinity')) AND exists({vector}, x -> x <> 0)")
 
 
+def evened(rows: DataFrame) -> DataFrame:
+    """rows whose vectors of doubles are scaled by a power of two, their largest component near 1, so that no square
+    overflows or vanishes; cosines stay as they are, to the last bit. Squares of floats need none of it."""
+    if rows.schema["embedding"].dataType.simpleString() != "array<double>":
+        return rows
+    power = "cast(-floor(log2(array_max(transform(embedding, x -> abs(x))))) AS int)"
+    # in two steps, as the whole power may be no double
+    scaled = f"transform(array({power}), e -> transform(embedding, x -> x * pow(2d, e div 2) * pow(2d, e - e div 2)))[0]"
+    return rows.withColumn("embedding", F.expr(scaled))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as rows."""
     values = column.flatten().to_numpy(zero_copy_only=False)
@@ -259,7 +270,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = SURE)
 
     vectors has vec_id and embedding. Returns query_id, rank (from 1), vec_id and score; ties go to smaller
     vec_id. Vectors that are null, zero or hold a null or non-finite component take no part, as do rows without
-    vec_id; vectors of another length are never neighbours. Rows with the query's own vec_id are its own; of rows
+    vec_id; vectors of another length are never neighbours. Components of any finite size count, as vectors of doubles are
+    scaled first. Rows with the query's own vec_id are its own; of rows
     with the same vec_id the one with the least vector asks, and as neighbours they count once, by their best score. A
     query without candidates has no row; an empty table gives none; other columns are ignored.
     """
@@ -267,15 +279,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, sure: float = SURE)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
     rows = rows.withColumn("dim", F.size("embedding"))
     n = rows.count()
-    planes = spark.sparkContext.broadcast(_fitted(rows, n, min(CELLS, -(-n // PART))))
-    placed = _placed(rows, planes)
+    even = evened(rows)
+    planes = spark.sparkContext.broadcast(_fitted(even, n, min(CELLS, -(-n // PART))))
+    placed = _placed(even, planes)
     # a row for each cell: there are CELLS of each length at most
     sizes = written(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "cells")
     part = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.col("parts")).cast("int").alias("part")
     # dealt by place, as one vec_id may have many rows
     dealt = placed.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(sizes), ["dim", "cell"]).select("dim", "cell", part("row"), "vec_id", "embedding")
     trees = written(_packed(dealt, ["dim", "cell", "part"], ["vec_id", "embedding"], lambda ids, v: Tree(ids, v, k)), "trees")
-    asking = _placed(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select("vec_id", "v.*"), planes)
+    least = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select("vec_id", "v.*")
+    asking = _placed(evened(least), planes)
     asking = written(asking.withColumnRenamed("vec_id", "query_id"), "asking")
 
     def in_blocks(queries: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:

@@ -90,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op13_license_scan": licenses.ORACLE}
+    return {"op5_shingle_join": setjoin.ORACLE, "op9_quality_ledger": quality.ORACLE, "op1_source_mix": mixing.ORACLE, "op4_warc_segments": warc.ORACLE, "op11_collocations": collocations.ORACLE, "op13_license_scan": licenses.ORACLE}

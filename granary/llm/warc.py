@@ -32,6 +32,13 @@ SEGMENT, CHUNK, RECORDS = 16 * 1024, 4 * 1024, 4096
 CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 
 
+#: DuckDB SQL of the query's rows: base 32 is spelt from five hexadecimal digits at a time.
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT *, sha1(body) AS x, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM h"""
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -15,7 +15,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, mixing, pii, quality, queries, setjoin, sharding, token_store, warc
+from granary.llm import ann, bpe, mixing, pii, quality, queries, setjoin, sharding, token_store, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -435,3 +435,24 @@ def test_a_chain_of_documents_is_one_component(spark):
     labels = setjoin.components(links)
     assert labels.agg(F.count_distinct("label")).first()[0] == 1
     assert labels.count() == 5000
+
+
+def test_neighbours_of_vectors_of_any_size(spark):
+    dice = np.random.default_rng(5)
+    plain = dice.standard_normal((120, 6))
+    sizes = np.array([1e200, 1e-200, 1e300, 1e-300, 1.0, 5e-324 * 2**60])[np.arange(120) % 6]
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(plain, sizes, strict=True))]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    unit = plain / np.linalg.norm(plain, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 120, 10):
+        cosines = unit @ unit[q]
+        cosines[q] = -2
+        wanted = np.argsort(-cosines)[:5].tolist()
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        hits += len(set(wanted) & {v for v, _ in got[q].values()})
+        for v, score in got[q].values():
+            assert abs(score - cosines[v]) < 1e-9
+    assert hits >= 0.9 * 60

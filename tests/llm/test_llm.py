@@ -39,6 +39,8 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, data, duck, name):
     got, wanted = queries.queries()[name](spark, data).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+    if "refers_to" in got:  # null in most rows
+        got, wanted = got.astype({"refers_to": "Int64"}), wanted.astype({"refers_to": "Int64"})
     assert rows_of(got) == rows_of(wanted[list(got.columns)])
 
 
