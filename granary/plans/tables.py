@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, produce, rules, text, urls
-from granary.operators import gates, resolve, review
+from granary.operators import gates, legacy, personal, resolve, review
 from granary.plans.catalog import _query, _t
 from granary.plans.golden import ROBOTS
 
@@ -343,3 +343,91 @@ def import_cuisine(spark, sf_dir):
 @_query("SELECT p_partkey, (['Italian', 'Greek', ''])[1 + p_size % 3] AS cuisine FROM part")
 def cuisine(spark, sf_dir):
     return _part(spark, sf_dir, rules.cuisine_of(F.array(F.col("p_name"), _pick(["Italian", "Greek", "Dinner"], "p_size"))).alias("cuisine"))
+
+
+# dishes of an import
+
+_TITLES = ["Panzanella", "Bean Chili", "Berry Smoothie", "Overnight Oats", "Garlic Bread", "Pizza Bites", "Basil Pesto", "Apple Pie", "Pot Pie", "Steak with Apple Pie"]
+_TITLE_TYPES = ["salad", "soup", "drink", "breakfast", "baked-good", "snack", "sauce", "dessert", "main", "main"]
+
+
+@_query(f"SELECT p_partkey, ({_TITLE_TYPES})[1 + p_size % {len(_TITLES)}] AS meal_type FROM part")
+def import_meal_type(spark, sf_dir):
+    title = F.concat_ws(" ", "p_name", _pick(_TITLES, "p_size"))
+    return _part(spark, sf_dir, produce.dish_type(produce.leading_dish(title)).alias("meal_type"))
+
+
+@_query("""WITH d AS (SELECT p_partkey, p_size % 4 AS k, p_partkey % 5 = 0 AS egg, p_partkey % 3 = 0 AS meat FROM part)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN k = 0 THEN 'milk' END, CASE WHEN egg THEN 'eggs' END, CASE WHEN k = 3 THEN 'tree-nuts' END], lambda x: x IS NOT NULL), ',') AS allergens,
+array_to_string(list_filter([CASE WHEN k = 1 AND NOT meat THEN 'vegetarian' END, CASE WHEN k = 1 AND NOT meat AND NOT egg THEN 'vegan' END, CASE WHEN k = 2 THEN 'gluten-free' END, CASE WHEN k <> 0 THEN 'dairy-free' END,
+CASE WHEN k <> 3 THEN 'nut-free' END, CASE WHEN NOT egg THEN 'egg-free' END], lambda x: x IS NOT NULL), ',') AS dietary FROM d""")
+def import_diets(spark, sf_dir):
+    tags = F.array(_pick(["Contains Milk", "Vegan", "Gluten free", "Tree Nuts"], "p_size"))
+    eggs = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("eggs"))).otherwise(F.array().cast("array<string>"))
+    names = F.array(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_name"), F.lit(" chicken"))).otherwise(F.col("p_name")))
+    rows = _part(spark, sf_dir, tags.alias("tags"), names.alias("names"), produce.dish_allergens(tags, eggs).alias("found"))
+    return rows.select("p_partkey", F.array_join("found", ",").alias("allergens"), F.array_join(produce.dish_diets(F.col("tags"), F.col("found"), F.col("names")), ",").alias("dietary"))
+
+
+@_query("SELECT p_partkey, (['main', 'salad'])[1 + p_size % 2] || ',brand-' || substr(p_brand, 7) || ',' || lower(p_type) || ',' || replace(p_name, ' ', '-') || ',needs-review' AS tags FROM part")
+def import_tags(spark, sf_dir):
+    tags = F.array(F.col("p_type"), F.lit("Veggie"), F.lit("Contains Milk"), F.col("p_name"), F.col("p_type"))
+    return _part(spark, sf_dir, F.array_join(produce.dish_tags(_pick(["main", "salad"], "p_size"), F.col("p_brand"), tags), ",").alias("tags"))
+
+
+@_query("""WITH g AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS t, CASE WHEN p_partkey % 2 = 0 THEN p_size % 20 + 1 END AS p FROM part),
+k AS (SELECT *, coalesce(p, CASE WHEN t < 15 THEN least(5, t) ELSE 10 END) AS kp FROM g), m AS (SELECT *, coalesce(t, greatest(15, ceil((kp + p_size) / 5.0) * 5)) AS kt FROM k)
+SELECT p_partkey, least(kp, kt)::BIGINT AS prep, greatest(0, kt - least(kp, kt))::BIGINT AS cook,
+array_to_string(list_filter([CASE WHEN p IS NULL THEN 'prep_minutes' END, CASE WHEN t IS NULL THEN 'total_minutes' END, CASE WHEN kp > kt THEN 'prep_minutes_clamped' END], lambda x: x IS NOT NULL), ',') AS inferred FROM m""")
+def infer_times(spark, sf_dir):
+    minutes = lambda n: F.concat(n.cast("string"), F.lit(" minutes"))
+    total = F.when(F.col("p_partkey") % 3 == 0, minutes(F.col("p_size")))
+    prep = F.when(F.col("p_partkey") % 2 == 0, minutes(F.col("p_size") % 20 + 1)).otherwise(F.lit(""))
+    steps = F.array(F.concat(F.lit("Cook "), minutes(F.col("p_size")), F.lit(".")))
+    got = _part(spark, sf_dir, numbers.inferred_times(total, prep, steps).alias("t"))
+    return got.select("p_partkey", F.col("t.prep_minutes").alias("prep"), F.col("t.cook_minutes").alias("cook"), F.array_join("t.inferred", ",").alias("inferred"))
+
+
+@_query("""SELECT p_partkey, 'calories=' || (p_size * 150) || CASE WHEN p_size * 150 > 5000 THEN '!' ELSE '' END || ',fat_g=' || p_size || '.5' || ',fiber_g=' || (p_size * 5) || CASE WHEN p_size * 5 > 200 THEN '!' ELSE '' END AS nutrients FROM part""")
+def nutrition_limits(spark, sf_dir):
+    """Amounts with units; negative ones and words are left out."""
+    size = lambda n: (F.col("p_size") * n).cast("string")
+    given = {"Calories": F.concat(size(150), F.lit(" kcal")), "Fat": F.concat(size(1), F.lit(".5 g")), "Sodium": F.concat(F.lit("-"), size(1)), "Sugar": F.col("p_name"), "Dietary Fiber": size(5)}
+    found = numbers.nutrients(F.create_map(*[x for k, v in given.items() for x in (F.lit(k), v)]))
+    shown = lambda n: F.concat(n["target"], F.lit("="), numbers.number_text(n["value"]), F.when(n["outlier"], F.lit("!")).otherwise(F.lit("")))
+    return _part(spark, sf_dir, F.array_join(F.transform(found, shown), ",").alias("nutrients"))
+
+
+# reviews of records
+
+_REASONS = ["confidence 40 is low", "Title is long", "similar wording", "poultry", "allergen conflict", "missing tags"]
+
+
+@_query("""WITH r AS (SELECT p_partkey, [p_size % 6, p_partkey % 6] AS k FROM part), g AS (SELECT p_partkey, list_filter(list_transform([0, 1, 2, 3, 4], lambda i: CASE WHEN list_contains(k, i) THEN
+(['Return a com', 'Use a shorte', 'Rewrite ever', 'Add the appl', 'Classify die'])[1 + i] END), lambda x: x IS NOT NULL) AS a FROM r)
+SELECT p_partkey, CASE WHEN len(a) = 0 THEN 'Produce a mo' ELSE array_to_string(a, '|') END AS guidance FROM g""")
+def retry_guidance(spark, sf_dir):
+    reasons = F.array(_pick(_REASONS, "p_size"), _pick(_REASONS, "p_partkey"))
+    return _part(spark, sf_dir, F.array_join(F.transform(review.guidance(reasons), lambda g: F.substring(g, 1, 12)), "|").alias("guidance"))
+
+
+@_query("SELECT p_partkey, p_size % 3 <> 0 AND p_partkey % 4 <> 0 AS promotable FROM part")
+def promotable(spark, sf_dir):
+    tags = F.array("p_type", F.when(F.col("p_partkey") % 4 == 0, F.lit("needs-review")).otherwise(F.lit("x")))
+    step = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("REWRITE REQUIRED: "), F.col("p_name"))).otherwise(F.col("p_name"))
+    return _part(spark, sf_dir, legacy.promotable(F.struct(tags.alias("tags"), F.array(step).alias("steps")), tags).alias("promotable"))
+
+
+@_query("SELECT p_partkey, p_size % 6 > 0 AND p_partkey % 5 > 1 AS is_recipe FROM part")
+def record_shape(spark, sf_dir):
+    """Stored texts of which some are no JSON, or lack an id or a list."""
+    none = F.array().cast("array<string>")
+    whole = lambda id_, foods: F.to_json(F.struct(
+        id_.alias("id"), F.col("p_name").alias("name"), F.lit("main").alias("meal_type"), F.struct(F.col("p_size").alias("quantity")).alias("yield"), F.struct(F.col("p_size").alias("prep_minutes")).alias("times"),
+        foods.alias("ingredients"), none.alias("instructions"), F.array("p_type").alias("tags"),
+    ))
+    named = F.when(F.col("p_size") % 6 == 0, F.lit("")).otherwise(F.col("p_partkey").cast("string"))
+    turn = F.col("p_partkey") % 5
+    record = whole(named, none)
+    given = F.when(turn == 0, F.expr("substr(p_name, 1, 3)")).when(turn == 1, whole(named, F.lit(None).cast("array<string>"))).otherwise(record)
+    return _part(spark, sf_dir, personal.is_recipe(given).alias("is_recipe"))
