@@ -431,3 +431,30 @@ def record_shape(spark, sf_dir):
     record = whole(named, none)
     given = F.when(turn == 0, F.expr("substr(p_name, 1, 3)")).when(turn == 1, whole(named, F.lit(None).cast("array<string>"))).otherwise(record)
     return _part(spark, sf_dir, personal.is_recipe(given).alias("is_recipe"))
+
+
+@_query("""WITH p AS (SELECT *, p_name || ' with one two three four five' AS phrase FROM part)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 4 = 0 THEN 'input is not a supported review candidate' END, CASE WHEN p_size % 5 = 0 THEN 'final recipe must retain the candidate source URL' END,
+CASE WHEN p_size % 13 = 0 THEN 'final prose repeats source wording: "' || phrase || '"' END], lambda x: x IS NOT NULL), '; ') AS issues FROM p""")
+def promotion_issues(spark, sf_dir):
+    """Candidates whose wording some records keep, in other case and with other signs."""
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    wording = F.concat(F.col("p_name"), F.lit(" with one two three four five six"))
+    status = F.when(size % 4 == 0, F.lit("x")).otherwise(F.lit("needs-review-and-original-wording"))
+    url = F.concat(F.lit("https://shop.example/"), F.col("p_partkey").cast("string"))
+    candidate = F.struct(
+        F.lit("1.0.0").alias("candidate_version"), status.alias("review_status"), F.struct(url.alias("url")).alias("source"), F.struct(wording.alias("description"), F.array("p_type").alias("instruction_lines")).alias("extracted")
+    )
+    step = F.when(size % 13 == 0, F.concat(F.lit("First: "), F.upper(wording), F.lit("!"))).otherwise(F.concat(F.lit("Mix the "), F.col("p_name"), F.lit(".")))
+    record = F.struct(
+        none.alias("subtitle"), none.alias("description"), F.array(F.struct(step.alias("text"))).alias("instructions"), F.array().cast("array<string>").alias("notes"), F.array("p_type").alias("tags"),
+        F.struct(F.when(size % 5 == 0, none).otherwise(url).alias("url"), F.lit(True).alias("adapted")).alias("source"),
+    )
+    return _part(spark, sf_dir, F.array_join(review.promotion_issues(candidate, record), "; ").alias("issues"))
+
+
+@_query(f"SELECT p_partkey, CASE {_TIMES_SQL} WHEN 'summer,fall' THEN 'winter,spring' WHEN 'fall,winter' THEN 'spring,summer' ELSE 'year-round' END AS seasons FROM part")
+def seasons_southern(spark, sf_dir):
+    name = text.lookup_key(F.concat_ws(" ", "p_name", _pick(_FOODS, "p_size")))
+    named = _part(spark, sf_dir, name.alias("name"))
+    return named.select("p_partkey", F.array_join(produce.seasons(F.col("name"), produce.category(F.col("name")), southern=True), ",").alias("seasons"))
