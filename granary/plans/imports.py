@@ -338,8 +338,8 @@ _AZ = "abcdefghijklmnopqrstuvwxyz"
 
 
 @_query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS word FROM documents)
-SELECT word, row_number() OVER (PARTITION BY lower(word[1]) ORDER BY lower(word), translate(word, '{_AZ}{_AZ.upper()}', '{_AZ.upper()}{_AZ}')) AS place FROM w""")
+SELECT word, row_number() OVER (PARTITION BY lower(word[1:3]) ORDER BY lower(word), translate(word, '{_AZ}{_AZ.upper()}', '{_AZ.upper()}{_AZ}')) AS place FROM w""")
 def collation_order(spark, sf_dir):
-    """Places of the documents' distinct words among those with the same first letter: a before A before b."""
+    """Places of the documents' distinct words among those with the same first three letters: a before A before b."""
     words = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).distinct()
-    return search.collated_places(words.withColumn("letter", F.lower(F.substring("word", 1, 1))), "letter", "word").select("word", "place")
+    return search.collated_places(words.withColumn("start", F.lower(F.substring("word", 1, 3))), "start", "word").select("word", "place")
