@@ -170,7 +170,9 @@ def risky_title(title: Column, publisher: Column) -> Column:
 
 
 def page_name(page: Column) -> Column:
-    return F.concat(F.lit("page-"), F.lpad(page.cast("string"), 5, "0"), F.lit(".json"))
+    """The page's number with zeros up to five digits; longer ones whole, as lpad() would cut them."""
+    shown = page.cast("string")
+    return F.concat(F.lit("page-"), F.when(F.length(shown) < 5, F.lpad(shown, 5, "0")).otherwise(shown), F.lit(".json"))
 
 
 def text_digest(**parts: Column) -> Column:

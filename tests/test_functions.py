@@ -210,3 +210,8 @@ def test_terms_of_any_length_are_found(spark):
     got = {(r.doc_id, r.term) for r in terms_in(texts, "doc_id", "text", terms).collect()}
     assert got == {(1, "old mill stone ground flour"), (1, "Stone Ground"), (1, "today"), (2, "Stone Ground")}
     assert terms_in(texts, "doc_id", "text", terms.where("term = ''")).count() == 0
+
+
+@pytest.mark.parametrize(("page", "file"), [("7", "page-00007.json"), ("12345", "page-12345.json"), ("123456", "page-123456.json"), (None, None)])
+def test_page_names_keep_all_digits(spark, page, file):
+    assert value(spark, text.page_name(F.col("x").cast("long")), x=page) == file
