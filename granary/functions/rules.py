@@ -77,9 +77,13 @@ def allergens(text: Column) -> Column:
 
 
 def reconciled_diets(diets: Column, found: Column) -> Column:
-    """Distinct diets less those that an allergen contradicts."""
-    gone = all_matches([(any_of([F.array_contains(found, a) for a in by]), diet) for diet, by in CONTRADICTED.items()])
-    return F.filter(F.array_distinct(diets), lambda d: ~F.array_contains(gone, d))
+    """Distinct diets less those that an allergen contradicts. The allergens and the diets that go are found once a row."""
+
+    def without(allergic: Column) -> Column:
+        gone = all_matches([(any_of([F.array_contains(allergic, a) for a in by]), diet) for diet, by in CONTRADICTED.items()])
+        return bound(gone, lambda g: F.filter(F.array_distinct(diets), lambda d: ~F.array_contains(g, d)))
+
+    return bound(found, without)
 
 
 def clauses(lines: Column) -> Column:

@@ -34,6 +34,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A narrow table's rows dealt to as many tasks as a shuffle has: by its size in bytes, a task or two would do all of a rule's work."""
+    return _t(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 # text
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import numbers, produce, rules, text, urls
 from granary.operators import candidates, crawl, gates, increments, legacy, resolve, review, staging
-from granary.plans.catalog import _query, _t
+from granary.plans.catalog import _dealt, _query
 
 
 def cases(name: str, of: Callable[[Column], Column], *pairs: tuple[object, object]) -> None:
@@ -22,7 +22,7 @@ def cases(name: str, of: Callable[[Column], Column], *pairs: tuple[object, objec
     def query(spark, sf_dir):
         x = F.element_at(F.array(*[F.lit(g).cast("string") for g in given]), (F.col("p_partkey") % len(given) + 1).cast("int"))
         # the input is a value of its own row, so that nothing is folded to a constant
-        return _t(spark, sf_dir, "part").select("p_partkey", x.alias("x")).select("p_partkey", of(F.col("x")).cast("string").alias("value"))
+        return _dealt(spark, sf_dir, "part").select("p_partkey", x.alias("x")).select("p_partkey", of(F.col("x")).cast("string").alias("value"))
 
     query.__name__ = name
     _query(f"SELECT p_partkey, ([{', '.join(wanted)}])[1 + p_partkey % {len(wanted)}] AS value FROM part")(query)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, rules, text, urls
-from granary.operators import gates, publish, resolve, search, similarity
+from granary.operators import gates, personal, publish, resolve, search, similarity
 from granary.sources import records
 from granary.streaming import ledgers
 
@@ -215,3 +215,22 @@ def test_terms_of_any_length_are_found(spark):
 @pytest.mark.parametrize(("page", "file"), [("7", "page-00007.json"), ("12345", "page-12345.json"), ("123456", "page-123456.json"), (None, None)])
 def test_page_names_keep_all_digits(spark, page, file):
     assert value(spark, text.page_name(F.col("x").cast("long")), x=page) == file
+
+
+def planned(spark, column):
+    return spark.createDataFrame([("x",)], "x string").select(column.alias("v"))._jdf.queryExecution().analyzed().toJSON()
+
+
+def test_allergens_are_looked_for_once_a_row(spark):
+    diets = F.array(*map(F.lit, ("vegan", "nut-free", "vegetarian")))
+    asked = lambda column: planned(spark, column).count("almond")
+    assert asked(rules.reconciled_diets(diets, rules.allergens(F.col("x")))) == asked(rules.allergens(F.col("x")))
+    assert value(spark, rules.reconciled_diets(diets, rules.allergens(F.col("x"))), x="almond milk") == ["vegetarian"]
+
+
+def test_a_document_is_read_once_however_often_it_is_changed(spark):
+    document = personal.read_document(F.col("x"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    for i in range(4):
+        document = personal.added(document, F.lit(f"i{i}"), F.lit("r"), F.lit("Monday"), F.lit(1))
+    assert len(planned(spark, personal.with_filters(document, season=F.lit("fall")))) < 3 * len(planned(spark, personal.read_document(F.col("x"), F.col("x"), F.col("x"))))
+    assert [i["position"] for i in value(spark, document, x="{broken")["meal_plans"][0]["items"]] == [0, 1, 2, 3]
