@@ -33,19 +33,25 @@ def _is(value: Column, path: str, kind: str) -> Column:
 
 
 def _kinds(value: Column, kinds: dict[str, str]) -> Column:
-    out = F.lit(True)
-    for path, kind in kinds.items():
-        out = out & F.coalesce(_is(value, path, kind), F.lit(False))
-    return out
+    def of(v: Column) -> Column:
+        out = F.lit(True)
+        for path, kind in kinds.items():
+            out = out & F.coalesce(_is(v, path, kind), F.lit(False))
+        return out
+
+    return bound(value, of)
 
 
 def is_recipe(json: Column) -> Column:
     """JSON of a record: id, name, meal type, yield and times are there (and neither empty, 0 nor false), ingredients, instructions and tags are arrays."""
-    value = json_object(json)
-    there = F.lit(True)
-    for field in ("id", "name", "meal_type", "yield", "times"):
-        there = there & ~F.coalesce(F.get_json_object(json, f"$.{field}"), F.lit("")).isin("", "0", "false", "null")
-    return F.coalesce(there & _kinds(value, {f"$.{f}": "ARRAY" for f in ("ingredients", "instructions", "tags")}), F.lit(False))
+
+    def of(text: Column) -> Column:
+        there = F.lit(True)
+        for field in ("id", "name", "meal_type", "yield", "times"):
+            there = there & ~F.coalesce(F.get_json_object(text, f"$.{field}"), F.lit("")).isin("", "0", "false", "null")
+        return F.coalesce(there & _kinds(json_object(text), {f"$.{f}": "ARRAY" for f in ("ingredients", "instructions", "tags")}), F.lit(False))
+
+    return bound(json, of)
 
 
 def is_document(json: Column) -> Column:
@@ -78,14 +84,18 @@ def migrated(plan_json: Column, recipes_json: Column) -> Column:
 
 def read_document(current: Column, plan_json: Column, recipes_json: Column) -> Column:
     """The stored document if it is one, with records that are; else one from the older stores; else an empty one."""
-    stored = F.from_json(current, DOCUMENT)
-    good = is_document(current) & F.forall(F.coalesce(stored["imported_recipes"], F.array().cast("array<string>")), is_recipe)
     older = F.coalesce(plan_json, recipes_json).isNotNull() & current.isNull()
-    return F.when(F.coalesce(good, F.lit(False)), stored).when(older, migrated(plan_json, recipes_json)).otherwise(empty_document())
+
+    def of(stored: Column) -> Column:
+        good = is_document(current) & F.forall(F.coalesce(stored["imported_recipes"], F.array().cast("array<string>")), is_recipe)
+        return F.when(F.coalesce(good, F.lit(False)), stored).when(older, migrated(plan_json, recipes_json)).otherwise(empty_document())
+
+    return bound(F.from_json(current, DOCUMENT), of)
 
 
 def _first_plan(document: Column, change) -> Column:
-    return document.withField("meal_plans", F.transform(document["meal_plans"], lambda p, i: F.when(i == 0, change(p)).otherwise(p)))
+    """The document is bound, as withField() names it once for each of its fields, and changes may follow one another."""
+    return bound(document, lambda d: d.withField("meal_plans", F.transform(d["meal_plans"], lambda p, i: F.when(i == 0, change(p)).otherwise(p))))
 
 
 def added(document: Column, id_: Column, recipe_id: Column, day: Column, servings: Column) -> Column:
@@ -110,24 +120,27 @@ def cleared(document: Column) -> Column:
 
 def with_filters(document: Column, **filters: Column) -> Column:
     """Filters that are named and not null replace the old ones."""
+    replaced = lambda name, value: lambda d: d.withField(f"preferences.filters.{name}", F.coalesce(value, d["preferences"]["filters"][name]))
     for name, value in filters.items():
-        document = document.withField(f"preferences.filters.{name}", F.coalesce(value, document["preferences"]["filters"][name]))
+        document = bound(document, replaced(name, value))
     return document
 
 
 def imported(document: Column, json: Column) -> Column:
     """The document with the records of an imported text: one, an array, or a catalog of them; of equal ids the last one
     counts, in the first one's place. A text of a document takes its place. Null where any record is not one."""
-    listed = F.coalesce(F.from_json(F.get_json_object(json, "$.recipes"), "array<string>"), F.from_json(json, "array<string>"), F.array(json))
 
     def merged(all_: Column) -> Column:
         ids = F.array_distinct(F.transform(all_, lambda r: F.get_json_object(r, "$.id")))
         return F.transform(ids, lambda i: F.element_at(F.filter(all_, lambda r: F.get_json_object(r, "$.id") == i), -1))
 
-    both = bound(F.concat(document["imported_recipes"], listed), merged)
-    taken = F.when(F.forall(listed, is_recipe), document.withField("imported_recipes", both))
-    whole = F.from_json(json, DOCUMENT)
-    return F.when(is_document(json), F.when(F.forall(whole["imported_recipes"], is_recipe), whole)).otherwise(taken)
+    def taken(p: Column) -> Column:
+        both = bound(F.concat(p["document"]["imported_recipes"], p["listed"]), merged)
+        return F.when(F.forall(p["listed"], is_recipe), p["document"].withField("imported_recipes", both))
+
+    listed = F.coalesce(F.from_json(F.get_json_object(json, "$.recipes"), "array<string>"), F.from_json(json, "array<string>"), F.array(json))
+    whole = bound(F.from_json(json, DOCUMENT), lambda w: F.when(F.forall(w["imported_recipes"], is_recipe), w))
+    return F.when(is_document(json), whole).otherwise(bound(F.struct(document.alias("document"), listed.alias("listed")), taken))
 
 
 def library(built_in: DataFrame, own: DataFrame, key: str) -> DataFrame:

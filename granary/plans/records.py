@@ -599,16 +599,16 @@ def _personal(x):
         filters = d["preferences"]["filters"]
         return F.when(d.isNotNull(), F.concat_ws("|", F.array_join(items, ","), F.array_join(ids, ","), filters["meal_type"], filters["season"]))
 
-    def of(q):
-        d = personal.read_document(q["doc"], q["plan"], q["recipes"])
+    def edited(q, d):
         add = lambda e, n, day: personal.added(e, F.lit(n), F.lit("r"), F.lit(day), F.lit(4))
-        op = (
-            F.when(q["op"] == "add", shown(add(add(d, "i1", "Monday"), "i2", "Monday"))).when(q["op"] == "remove", shown(personal.removed(d, F.lit("x1")))).when(q["op"] == "clear", shown(personal.cleared(d)))
-            .when(q["op"] == "filter", shown(personal.with_filters(d, season=F.lit("fall"), meal_type=F.lit(None).cast("string")))).when(q["op"] == "import", shown(personal.imported(d, q["json"]))).otherwise(shown(d))
+        return (
+            F.when(q["op"] == "add", add(add(d, "i1", "Monday"), "i2", "Monday")).when(q["op"] == "remove", personal.removed(d, F.lit("x1"))).when(q["op"] == "clear", personal.cleared(d))
+            .when(q["op"] == "filter", personal.with_filters(d, season=F.lit("fall"), meal_type=F.lit(None).cast("string"))).when(q["op"] == "import", personal.imported(d, q["json"])).otherwise(d)
         )
-        return op
 
-    return text.bound(p, of)
+    # each is bound, so that a row is read once, edited once and shown once
+    read = lambda q: personal.read_document(q["doc"], q["plan"], q["recipes"])
+    return text.bound(p, lambda q: text.bound(text.bound(read(q), lambda d: edited(q, d)), shown))
 
 
 def _stored(*items: dict, imports: tuple = ()) -> str:
