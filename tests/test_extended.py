@@ -92,6 +92,12 @@ def test_ranges_of_any_length(spark):
     assert sorted(tuple(r) for r in got.select("p.id", "r.id").collect()) == sorted((p, r) for p, k, at in points for r, m, s, e in spans if k == m and s <= at <= e)
 
 
+def test_spread_points_are_not_broadcast(spark, data):
+    for name in ("range_points", "interval_pairs", "asof_click"):
+        plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_rows_later_than_the_watermark_count_for_no_session(spark, tmp_path):
     for rows in ([(0, "a", 0), (1, "a", 30), (2, "a", 4000)], [(4, "a", 9000)], [(3, "a", 50)], [(5, "a", 20000)]):
         moments(spark, rows, "id long, u string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
