@@ -49,9 +49,7 @@ def materialized(drafts: DataFrame, known: DataFrame, taken: DataFrame, day: Col
     rows = placed.withColumn("base", base).withColumn("tag_slugs", text.import_slugs("draft.tags")).join(used, "base", "left").join(gathered, "key", "left")
 
     def made(p: Column) -> Column:
-        d = p["d"]
-        foods = F.lower(F.array_join(F.transform(p["lines"], lambda i: F.concat(i["item"], F.lit(" "), F.coalesce(i["preparation"], F.lit("")))), " "))
-        found = _distinct(F.concat(F.coalesce(d["allergens"], F.array().cast("array<string>")), rules.allergens(foods)))
+        d, found, kept_diets = p["d"], p["found"], p["dietary"]
         steps = F.transform(d["instructions"], lambda s, i: F.struct((i + 1).alias("step"), F.trim(s["text"]).alias("text"), F.nullif(s["timer_minutes"], F.lit(0)).alias("timer_minutes")))
         equipment = F.transform(F.coalesce(d["equipment"], F.array().cast("array<string>")), lambda x: F.trim(x))
         return F.struct(
@@ -63,15 +61,21 @@ def materialized(drafts: DataFrame, known: DataFrame, taken: DataFrame, day: Col
             ).alias("times"),
             F.coalesce(F.transform(p["placed"], lambda x: x["line"]), F.array().cast(f"array<{LINE}>")).alias("ingredients"), steps.alias("instructions"),
             F.filter(_distinct(p["tags"]), lambda t: t != "").alias("tags"), given_array(_distinct(d["seasons"])).alias("seasons"),
-            given_array(rules.reconciled_diets(_distinct(d["dietary"]), found)).alias("dietary"), given_array(found).alias("allergens"),
+            given_array(kept_diets).alias("dietary"), given_array(found).alias("allergens"),
             given_array(F.filter(_distinct(equipment), lambda x: x != "")).alias("equipment"),
             F.struct(p["s"]["name"].alias("name"), p["s"]["url"].alias("url"), F.lit(True).alias("adapted")).alias("source"), day.alias("created_at"), day.alias("updated_at"),
         )
 
+    def with_allergens(p: Column) -> Column:
+        foods = F.lower(F.array_join(F.transform(p["lines"], lambda i: F.concat(i["item"], F.lit(" "), F.coalesce(i["preparation"], F.lit("")))), " "))
+        return bound(foods, lambda f: p.withField("found", _distinct(F.concat(F.coalesce(p["d"]["allergens"], F.array().cast("array<string>")), rules.allergens(f)))))
+
+    # allergens and diets are found once a row, whatever reads them
+    with_diets = lambda p: p.withField("dietary", rules.reconciled_diets(_distinct(p["d"]["dietary"]), p["found"]))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("key"))
     rows = rows.withColumn("id", resolve.unique_id(F.col("base"), F.col("used").isNotNull() | (nth > 1), F.col("source.url")))
     parts = F.struct(F.col("draft").alias("d"), F.col("source").alias("s"), F.col("lines"), F.col("placed"), F.col("id"), F.col("tag_slugs").alias("tags"))
-    return rows.select("key", bound(parts, made).alias("record"))
+    return rows.select("key", bound(bound(bound(parts, with_allergens), with_diets), made).alias("record"))
 
 
 def provenance(extracted: Column, record: Column, review: Column, model: str, prompt_version: str, moment: Column, requires_review: bool = False, status: str = "passed") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions import produce, text, urls
 from granary.operators import gates, legacy, materialize, resolve, search, staging
 from granary.plans import records
-from granary.plans.catalog import _CANONICAL, _query, _t
+from granary.plans.catalog import _CANONICAL, _dealt, _query, _t
 from granary.plans.tables import _pick
 from granary.sources import records as sources
 
@@ -47,7 +47,7 @@ def _meals(spark, sf_dir):
         line(_pick(_FOODS, "p_size"), F.when(F.col("p_size") % 6 == 5, F.lit("")).otherwise(F.lit("1")), F.lit("")),
     )
     steps = F.array(F.struct(F.lit(1).alias("order"), F.lit("Cook until done.").alias("text")))
-    return _t(spark, sf_dir, "part").select(
+    return _dealt(spark, sf_dir, "part").select(
         F.concat(F.lit("part-"), F.lpad(key.cast("string"), 8, "0")).alias("id"), name.alias("name"), _pick(["", "4 servings", "2-6 portions"], "p_size").alias("subName"), _url().alias("url"),
         F.when(key % 7 != 0, F.lit("30 minutes")).alias("totalTime"), F.when(key % 6 == 0, F.lit("")).otherwise(F.lit("10 minutes")).alias("prepTime"), F.lit("Easy").alias("difficulty"),
         tags.alias("tags"), amounts.alias("nutritionalValues"), foods.alias("ingredients"), steps.alias("instructions"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, rules, text, urls
-from granary.operators import gates, personal, publish, resolve, search, similarity
+from granary.operators import gates, materialize, personal, publish, resolve, search, similarity
 from granary.sources import records
 from granary.streaming import ledgers
 
@@ -234,3 +234,13 @@ def test_a_document_is_read_once_however_often_it_is_changed(spark):
         document = personal.added(document, F.lit(f"i{i}"), F.lit("r"), F.lit("Monday"), F.lit(1))
     assert len(planned(spark, personal.with_filters(document, season=F.lit("fall")))) < 3 * len(planned(spark, personal.read_document(F.col("x"), F.col("x"), F.col("x"))))
     assert [i["position"] for i in value(spark, document, x="{broken")["meal_plans"][0]["items"]] == [0, 1, 2, 3]
+
+
+def test_a_record_asks_for_each_allergen_once(spark):
+    none = "array<string>"
+    food = "array<struct<item: string, quantity: string, unit: string, preparation: string, optional: boolean>>"
+    draft = f"struct<name: string, subtitle: string, description: string, meal_type: string, cuisine: string, yield: struct<quantity: double, unit: string>, times: struct<prep_minutes: int, cook_minutes: int, inactive_minutes: int>, ingredients: {food}, instructions: array<struct<text: string, timer_minutes: int>>, tags: {none}, seasons: {none}, dietary: {none}, allergens: {none}, equipment: {none}>"
+    drafts = spark.createDataFrame([], f"key string, source struct<name: string, url: string>, draft {draft}, ingredients {food}")
+    known, taken = spark.createDataFrame([], f"id string, name string, aliases {none}"), spark.createDataFrame([], "id string")
+    plan = materialize.materialized(drafts, known, taken, F.lit("2026-01-01"))._jdf.queryExecution().analyzed().toJSON()
+    assert plan.count("almond") == planned(spark, rules.allergens(F.col("x"))).count("almond")
