@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions import numbers, text, urls
 from granary.functions.text import arrow_udf, bound, canonical
 from granary.operators.publish import eligible, paged
-from granary.sources.stores import current, publish, replace_folder, write_text
+from granary.sources.stores import current, kept, publish, replace_folder, write_text
 
 VERSION = "1.1.0"
 
@@ -68,11 +68,10 @@ def feed_records(recipes: DataFrame, record: str = "record") -> DataFrame:
     """
 
     def made(p: Column) -> Column:
-        r = p["r"]
-        url = source_url(r["source"]["url"])
+        r, url = p["r"], p["url"]
         moment = numbers.since_or_day(r["normalization"]["transformed_at"], r["updated_at"])
         wire = F.struct(
-            urls.archive_id(url).alias("archive_id"), p["slug"].alias("slug"), F.lit("normalized-and-reviewed").alias("review_status"),
+            p["archive_id"].alias("archive_id"), p["slug"].alias("slug"), F.lit("normalized-and-reviewed").alias("review_status"),
             F.struct(required(r["source"]["name"], "source name").alias("name"), url.alias("url"), required(moment, "time of the record").alias("retrieved_at")).alias("source"),
             required(r["name"], "name").alias("name"), F.coalesce(r["description"], F.lit("")).alias("description"), r["yield"].alias("yield"),
             F.struct(
@@ -81,12 +80,16 @@ def feed_records(recipes: DataFrame, record: str = "record") -> DataFrame:
             F.transform(r["ingredients"], ingredient_line).alias("ingredient_lines"), F.transform(r["instructions"], lambda s: s["text"]).alias("instruction_lines"),
             F.coalesce(r["tags"], F.array().cast("array<string>")).alias("categories"), r["nutrition"].alias("nutrition"), r["normalization"].alias("normalization"),
         )
-        return F.struct(wire["archive_id"].alias("archive_id"), url.alias("url"), F.to_json(wire).alias("json"))
+        return F.struct(p["archive_id"].alias("archive_id"), url.alias("url"), F.to_json(wire).alias("json"))
 
     whole = F.col(record)
     # folding is a Python function, which can't stand in a lambda
     slug = text.slug(required(F.coalesce(whole["id"], whole["name"]), "id or name"))
-    rows = recipes.where(is_eligible(whole)).select(bound(F.struct(whole.alias("r"), slug.alias("slug")), made).alias("r"))
+    # the address and its id are found once a row, whatever reads them
+    with_url = lambda p: p.withField("url", source_url(p["r"]["source"]["url"]))
+    with_id = lambda p: p.withField("archive_id", urls.archive_id(p["url"]))
+    parts = F.struct(whole.alias("r"), slug.alias("slug"))
+    rows = recipes.where(is_eligible(whole)).select(bound(bound(bound(parts, with_url), with_id), made).alias("r"))
     return rows.select("r.archive_id", "r.url", signed(F.col("r.json")).alias("body"))
 
 
@@ -103,6 +106,8 @@ def feed_pages(records: DataFrame, release: str, size: int = 250) -> DataFrame:
     """(page, file, record_count, sha256, archive_id_start, archive_id_end, body) in code point order of archive_id."""
     if size < 1:
         raise ValueError("a page must have a record at least")
+    # each check joins the records with themselves, and ranges are sampled before they are dealt
+    records = kept(records, "feed-records")
     placed = paged(unique(records, "url", "archive_id").select("archive_id", "body"), "archive_id", size)
     bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "body"))), lambda x: x["body"]), ",")
     grouped = placed.groupBy("page").agg(F.count(F.lit(1)).alias("record_count"), F.min("archive_id").alias("archive_id_start"), F.max("archive_id").alias("archive_id_end"), bodies.alias("bodies"))

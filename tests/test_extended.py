@@ -8,8 +8,8 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from granary.operators import gates, publish, ranges, ranking, rollups
-from granary.plans import catalog
+from granary.operators import feed, gates, publish, ranges, ranking, rollups
+from granary.plans import catalog, records
 from granary.sources import stores
 from granary.streaming import events as streams
 
@@ -255,3 +255,10 @@ def test_queries_over_parts_meet_all_forms_of_their_inputs(spark, data, name):
     over_parts, chosen = catalog.queries()[name], catalog.INPUTS[name][0]
     assert len(shapes(over_parts)) >= len(shapes(chosen))
     assert len(kinds(over_parts)) >= len(kinds(chosen))
+
+
+def test_a_feed_is_made_from_records_that_are_written_once(spark, data):
+    plan = catalog.queries()["feed_pages"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "supplier.parquet" not in plan and "ArrowEval" not in plan
+    made = feed.feed_pages(feed.feed_records(records._feed_recipes(spark, data)), "r1", 10)
+    assert made.selectExpr("sum(record_count) AS n").first()["n"] == feed.feed_records(records._feed_recipes(spark, data)).count()
