@@ -33,11 +33,21 @@ def selected(rows: DataFrame, key: str, wanted: list[str]) -> tuple[DataFrame, D
     return rows.join(F.broadcast(ids), key, "left_semi"), ids.join(rows, key, "left_anti")
 
 
-def meal_lines(meals: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(recipe_id, pos, ingredient_id, item, num, raw, unit, optional, audit, record) of every ingredient; audit: names of its problems."""
+def named_foods(names: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(name, item, key, optional, ingredient_id, food, own) of names (name) as the source spells them, each once; food: the
+    folded name and seasons of its record; own: its allergens."""
+    each = resolve.with_keys(names.distinct()).withColumn("optional", text.is_optional(F.col("name")))
+    folded = catalog.select("key", F.col("id").alias("ingredient_id"), "record", lookup_key(F.col("record.name")).alias("folded"))
+    food = F.struct(F.col("folded").alias("name"), F.coalesce("record.seasons", F.array().cast("array<string>")).alias("seasons"))
+    records = folded.select("key", "ingredient_id", food.alias("food"), F.coalesce("record.allergens", produce.name_allergens(F.col("folded"))).alias("own"))
+    return each.join(records, "key", "left").select("name", "item", "key", "optional", "ingredient_id", "food", "own")
+
+
+def meal_lines(meals: DataFrame, foods: DataFrame) -> DataFrame:
+    """(recipe_id, pos, ingredient_id, item, key, num, raw, unit, optional, audit, food, own) of every ingredient of meals by
+    named_foods(); audit: names of its problems."""
     each = meals.select(F.col("id").alias("recipe_id"), F.posexplode("ingredients").alias("pos", "i"))
-    named = each.withColumn("item", text.clean_name(F.col("i.name"))).withColumn("key", lookup_key(text.clean_name(F.col("i.name"))))
-    linked = named.join(catalog.select("key", F.col("id").alias("ingredient_id"), "record"), "key", "left").withColumn("q", numbers.normal_quantity(F.col("i.amount"), F.col("i.unit")))
+    linked = each.join(foods, F.col("i.name").eqNullSafe(foods["name"]), "left").withColumn("q", numbers.normal_quantity(F.col("i.amount"), F.col("i.unit")))
     seasoning = F.rlike("item", F.lit("(?i)^(?:kosher )?salt$|^(?:black )?pepper$")) & (F.col("q.missing") | F.col("q.malformed"))
     audit = F.array_compact(
         F.array(
@@ -46,9 +56,7 @@ def meal_lines(meals: DataFrame, catalog: DataFrame) -> DataFrame:
         )
     )
     raw = F.when(seasoning, F.lit("to taste")).otherwise(F.col("q.raw"))
-    return linked.select(
-        "recipe_id", "pos", "ingredient_id", "item", "key", F.col("q.num").alias("num"), raw.alias("raw"), F.col("q.unit").alias("unit"), text.is_optional(F.col("i.name")).alias("optional"), audit.alias("audit"), "record"
-    )
+    return linked.select("recipe_id", "pos", "ingredient_id", "item", "key", F.col("q.num").alias("num"), raw.alias("raw"), F.col("q.unit").alias("unit"), "optional", audit.alias("audit"), "food", "own")
 
 
 def recipe_ids(meals: DataFrame, taken: DataFrame | None = None) -> DataFrame:
@@ -62,17 +70,17 @@ def transformed(meals: DataFrame, known: DataFrame, southern: bool = False) -> t
     """(recipes, ingredients, audit) of meals (MEALS) and known ingredient records.
 
     recipes: source_id, folder and the draft's fields; ingredients: new records (id, record); audit: (category, recipe_id, detail).
-    The catalog and the lines, which all three read, are written once.
+    Names are read once each, not once a line: their counts, the catalog and its link to the names are written once.
     """
-    usages = meals.select(F.col("id").alias("recipe_id"), F.explode("ingredients").alias("i")).select("recipe_id", "i.name", "i.unit")
-    catalog = kept(resolve.ingredient_catalog(usages, known, southern), "catalog")
-    lines = kept(meal_lines(meals, catalog), "lines")
-    food = F.struct(lookup_key(F.col("record.name")).alias("name"), F.coalesce("record.seasons", F.array().cast("array<string>")).alias("seasons"))
+    usages = meals.select(F.explode("ingredients").alias("i")).select("i.name", "i.unit")
+    counts = kept(resolve.counted_usages(usages), "usages")
+    catalog = kept(resolve.ingredient_catalog(counts, known, southern), "catalog")
+    lines = meal_lines(meals, kept(named_foods(counts.select("name"), catalog), "foods"))
     line = F.struct("ingredient_id", "item", F.struct("num", "raw").alias("quantity"), "unit", F.when(F.col("optional"), F.lit(True)).alias("optional"))
-    own = F.coalesce("record.allergens", produce.name_allergens(lookup_key(F.col("record.name"))))
-    per_meal = lines.groupBy("recipe_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"),
-        F.collect_list(food).alias("foods"), F.flatten(F.collect_list(own)).alias("food_allergens"), F.collect_list("key").alias("keys"),
+    gathered = lines.groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line"), "food", "own", "key"))).alias("all"))
+    per_meal = gathered.select(
+        "recipe_id", F.transform("all", lambda x: x["line"]).alias("lines"), F.transform("all", lambda x: x["food"]).alias("foods"),
+        F.flatten(F.filter(F.transform("all", lambda x: x["own"]), lambda x: x.isNotNull())).alias("food_allergens"), F.transform("all", lambda x: x["key"]).alias("keys"),
     )
     rows = meals.withColumnRenamed("id", "source_id").join(per_meal.withColumnRenamed("recipe_id", "source_id"), "source_id", "left")
     rows = rows.join(recipe_ids(meals).withColumnRenamed("id", "source_id"), "source_id")
@@ -102,10 +110,10 @@ def transformed(meals: DataFrame, known: DataFrame, southern: bool = False) -> t
         produce.dish_tags(F.col("meal_type"), F.col("difficulty"), F.col("tags")).alias("tags"), "seasons", "dietary", "allergens",
         produce.equipment(F.array_join("step_texts", " ")).alias("equipment"), F.col("url").alias("source_url"),
     )
-    return recipes, catalog.where("is_new").select("id", "record"), _audit(read, lines, catalog, has_nutrition)
+    return recipes, catalog.where("is_new").select("id", "record"), _audit(read, meals, lines, catalog, has_nutrition)
 
 
-def _audit(read: DataFrame, lines: DataFrame, catalog: DataFrame, has_nutrition: Column) -> DataFrame:
+def _audit(read: DataFrame, meals: DataFrame, lines: DataFrame, catalog: DataFrame, has_nutrition: Column) -> DataFrame:
     low = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
 
     def of(p: Column) -> Column:
@@ -129,9 +137,12 @@ def _audit(read: DataFrame, lines: DataFrame, catalog: DataFrame, has_nutrition:
     )
     by_meal = read.select(F.col("source_id").alias("recipe_id"), F.explode(bound(facts, of)).alias("a")).select("a.category", "recipe_id", "a.detail")
     by_line = lines.select(F.explode("audit").alias("category"), "recipe_id", F.col("item").alias("detail"))
-    outliers = read.select(F.col("source_id").alias("recipe_id"), F.explode(F.filter("nutrients", lambda n: n["outlier"])).alias("n")).select(F.lit("nutritionOutliers").alias("category"), "recipe_id", F.col("n.nutrient").alias("detail"))
-    titles = resolve.duplicate_groups(read.select(F.col("source_id").alias("id"), lookup_key(F.col("name")).alias("title")), "title", "id")
-    repeated = titles.select(F.lit("duplicateTitles").alias("category"), F.explode("ids").alias("recipe_id"), F.col("title").alias("detail"))
+    # these need no more than the source has; of meals with one title, however many, no task holds all
+    extreme = F.explode(F.filter(numbers.nutrients(F.col("nutritionalValues")), lambda n: n["outlier"])).alias("n")
+    outliers = meals.select(F.col("id").alias("recipe_id"), extreme).select(F.lit("nutritionOutliers").alias("category"), "recipe_id", F.col("n.nutrient").alias("detail"))
+    titles = meals.select(F.col("id").alias("recipe_id"), lookup_key(F.col("name")).alias("title"))
+    several = titles.groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = titles.join(several, "title", "left_semi").select(F.lit("duplicateTitles").alias("category"), "recipe_id", F.col("title").alias("detail"))
     guessed = catalog.where("fallback_season").select(F.lit("fallbackSeasonIngredients").alias("category"), F.lit(None).cast("string").alias("recipe_id"), F.col("id").alias("detail"))
     return by_meal.union(by_line).union(outliers).union(repeated).union(guessed)
 

@@ -99,17 +99,26 @@ def planned_ingredients(usages: DataFrame, order: list[str], known: DataFrame, s
     return based.withColumn("id", id_).select("key", "id", record.alias("record"))
 
 
+def counted_usages(usages: DataFrame) -> DataFrame:
+    """(name, unit, n): usages (name, unit) and how often each is there, so that a name is read once, not once a line."""
+    return usages.groupBy("name", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_keys(names: DataFrame) -> DataFrame:
+    """names (name) with item, the cleaned name, and its key."""
+    return names.withColumn("item", text.clean_name(F.col("name"))).withColumn("key", lookup_key(text.clean_name(F.col("name"))))
+
+
 def ingredient_catalog(usages: DataFrame, known: DataFrame, southern: bool = False) -> DataFrame:
-    """(key, id, record, is_new, fallback_season, n_usages) of every name that usages (name, unit, recipe_id) has.
+    """(key, id, record, is_new, fallback_season, n_usages) of every name that usages (name, unit) or counted usages (with n) have.
 
     Names with the same key are one ingredient: a known record (id, name, aliases) by its aliases or a synonym, else a
     new one by the first of its display names, the others its aliases, and its most frequent unit. Slugs that several
     keys share go to the first key.
     """
-    cleaned = usages.withColumn("item", text.clean_name(F.col("name"))).withColumn("key", lookup_key(text.clean_name(F.col("name"))))
-    cleaned = cleaned.withColumn("unit", numbers.normal_unit(F.col("unit")))
-    units = mode_of(cleaned, "key", "unit").select("key", F.col("unit").alias("default_unit"))
-    groups = cleaned.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("names"), F.count(F.lit(1)).alias("n_usages")).join(units, "key", "left")
+    cleaned = with_keys(counted_usages(usages) if "n" not in usages.columns else usages).withColumn("unit", numbers.normal_unit(F.col("unit")))
+    units = mode_of(cleaned, "key", "unit", F.col("n")).select("key", F.col("unit").alias("default_unit"))
+    groups = cleaned.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("names"), F.sum("n").alias("n_usages")).join(units, "key", "left")
     index = alias_index(known, "id", ["id", "name"], ["aliases"])
     found = with_synonyms(groups, "key", index)
     name = F.get("names", F.lit(0))
@@ -133,9 +142,9 @@ def without_id(ingredients: Column) -> Column:
     return F.transform(F.filter(ingredients, lambda i: F.coalesce(i["ingredient_id"], F.lit("")) == ""), lambda i: i["item"])
 
 
-def mode_of(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The most frequent value of each key, ties to the smallest."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+def mode_of(rows: DataFrame, key: str, value: str, times: Column | None = None) -> DataFrame:
+    """The most frequent value of each key, ties to the smallest; a row counts once or as many times as it says."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.sum(F.lit(1) if times is None else times).alias("n"))
     best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value).alias("v"))).alias("best"))
     return best.select(key, (-F.col("best.n")).alias("n"), F.col("best.v").alias(value))
 

@@ -712,7 +712,8 @@ def review_bundle(spark, sf_dir):
 
 
 def shown_bundle(spark, imported):
-    recipes, new, audit = imported
+    # made once, written twice
+    recipes, new, audit = (stores.kept(df, name) for df, name in zip(imported, ("recipes", "ingredients", "audit"), strict=True))
     out = stores.scratch(spark, "review")
     made = [("first", sources.write_review_bundle(recipes, new, audit, out, {"hemisphere": "northern"})), ("again", sources.write_review_bundle(recipes, new, audit, out, {"hemisphere": "northern"}, clean=True))]
     return spark.createDataFrame([(t, m["recipe_count"], m["ingredient_candidate_count"], m["audit_counts"]["missingSubtitles"]) for t, m in made], "turn string, recipes int, ingredients int, subtitles int")

@@ -8,8 +8,8 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from granary.operators import feed, gates, publish, ranges, ranking, rollups
-from granary.plans import catalog, records
+from granary.operators import feed, gates, legacy, publish, ranges, ranking, resolve, rollups
+from granary.plans import catalog, imports, records
 from granary.sources import stores
 from granary.streaming import events as streams
 
@@ -262,3 +262,22 @@ def test_a_feed_is_made_from_records_that_are_written_once(spark, data):
     assert "supplier.parquet" not in plan and "ArrowEval" not in plan
     made = feed.feed_pages(feed.feed_records(records._feed_recipes(spark, data)), "r1", 10)
     assert made.selectExpr("sum(record_count) AS n").first()["n"] == feed.feed_records(records._feed_recipes(spark, data)).count()
+
+
+def test_import_reads_a_name_once_and_gathers_no_title(spark, data):
+    usages = spark.createDataFrame([("Rice", "cups"), ("rice", None), ("Rice", "cups"), (None, "cup"), ("Rice", "cup")], "name string, unit string")
+    known = spark.createDataFrame([], "id string, name string, aliases array<string>, categories array<string>, seasons array<string>, default_unit string, allergens array<string>")
+    counted = resolve.counted_usages(usages)
+    assert counted.count() == 4
+    shown = lambda df: sorted((r["key"], r["n_usages"], r["record"]["name"], r["record"]["default_unit"]) for r in df.collect())
+    catalog = resolve.ingredient_catalog(counted, known)
+    assert shown(catalog) == shown(resolve.ingredient_catalog(usages, known)) == [("rice", 4, "Rice", "cup"), ("unspecified ingredient", 1, "Unspecified ingredient", "cup")]
+    foods = legacy.named_foods(counted.select("name"), catalog)
+    assert sorted((r["name"] or "", r["ingredient_id"], r["food"]["name"]) for r in foods.collect()) == [
+        ("", "unspecified-ingredient", "unspecified ingredient"), ("Rice", "rice", "rice"), ("rice", "rice", "rice")
+    ]
+    meals = spark.createDataFrame([(i, n, [("Rice", "1", "cup"), (None, "2", "")]) for i, n in [("a", "Soup"), ("b", "soup!"), ("c", "Pie")]], "id string, name string, ingredients array<struct<name: string, amount: string, unit: string>>")
+    assert sorted((r["recipe_id"], r["pos"], r["ingredient_id"]) for r in legacy.meal_lines(meals, foods).collect()) == [(m, p, i) for m in "abc" for p, i in ((0, "rice"), (1, "unspecified-ingredient"))]
+    _, _, audit = imports._import(spark, data)
+    titles = audit.where("category = 'duplicateTitles'")
+    assert "collect_list(struct(at" not in titles._jdf.queryExecution().optimizedPlan().toString() and titles.count() > 0
