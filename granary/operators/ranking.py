@@ -1,7 +1,7 @@
 """Ranked search (BM25) over an inverted index in segments, with block maxima and early stopping.
 
-The index is built where the texts are: each task packs its rows into segments of a bounded number of documents, without
-a shuffle. A segment has, for each word, its postings (places of documents and counts) in the narrowest whole numbers
+The index is built where the texts are: each task packs its rows into segments of a bounded number of documents and
+postings, without a shuffle, so a task's memory does not grow with its rows. A segment has, for each word, its postings (places of documents and counts) in the narrowest whole numbers
 that hold them, and for each block of documents the largest count and the shortest text, from which follows a bound on
 what the word can add to any document of the block.
 
@@ -12,6 +12,7 @@ bounds, and the rest is skipped once the bound is below the k-th score that the
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from granary.sources.stores import kept
 
 #: Documents of a segment and of a block; queries that go through the segments together.
 SEGMENT, BLOCK, QUERIES = 1 << 13, 1 << 6, 1 << 10
+#: Postings after which a segment ends with the document it is at; rows that a task turns into Python values at once.
+POSTINGS, ROWS = 1 << 19, 1 << 8
 #: Saturation of counts, weight of lengths, and units of a score: terms are floored to millionths, so sums are exact.
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 _WIDTHS = {w: np.dtype(f"<u{w}") for w in (1, 2, 4, 8)}
@@ -39,6 +42,14 @@ def _packed(values: np.ndarray) -> bytes:
     return bytes([width]) + values.astype(_WIDTHS[width]).tobytes()
 
 
+def _values(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of some columns as Python values, ROWS at a time, however many a batch has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            yield from zip(*(some[c].to_pylist() for c in columns), strict=True)
+
+
 def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
@@ -49,9 +60,10 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId(), 0
-        keys, lengths, words, held = [], [], {}, ([], [], [])
+        started = lambda: ([], [], {}, (array("i"), array("i"), array("i")))
+        keys, lengths, words, held = started()
 
-        def segment() -> pa.RecordBatch:
+        def segment() -> Iterator[pa.RecordBatch]:
             name, sizes = f"{part}-{turn}", np.array(lengths, np.int64)
             word, place, count = (np.array(v, np.int64) for v in held)
             order = np.argsort(word, kind="stable")
@@ -65,26 +77,29 @@ def index(docs: DataFrame, key: str, text: str) -> DataFrame:
             at, block_at = (np.searchsorted(group, np.arange(len(words) + 1)) for group in (word, of))
             rows = [(name, None, len(keys), np.array(keys, "<i8").tobytes(), _packed(sizes), None, None, None)]
             for i, spelled in enumerate(words):
+                if len(rows) == ROWS * 16:
+                    yield table(rows)
+                    rows = []
                 mine, blocks = slice(at[i], at[i + 1]), slice(block_at[i], block_at[i + 1])
                 rows.append((name, spelled, int(at[i + 1] - at[i]), *(_packed(v[mine]) for v in (place, count)), *(_packed(v[blocks]) for v in (block, tops, shortest))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for batch in batches:
-            for k, t in zip(batch["k"].to_pylist(), batch["t"].to_pylist(), strict=True):
-                found = Counter(_TOKEN.findall(t))
-                held[0].extend(words.setdefault(w, len(words)) for w in found)
-                held[1].extend([len(keys)] * len(found))
-                held[2].extend(found.values())
-                keys.append(k)
-                lengths.append(sum(found.values()))
-                if len(keys) == SEGMENT:
-                    yield segment()
-                    turn, keys, lengths, words, held = turn + 1, [], [], {}, ([], [], [])
+            yield table(rows)
+
+        for k, t in _values(batches, "k", "t"):
+            found = Counter(_TOKEN.findall(t))
+            held[0].extend(words.setdefault(w, len(words)) for w in found)
+            held[1].extend([len(keys)] * len(found))
+            held[2].extend(found.values())
+            keys.append(k)
+            lengths.append(sum(found.values()))
+            if len(keys) == SEGMENT or len(held[0]) >= POSTINGS:
+                yield from segment()
+                turn, (keys, lengths, words, held) = turn + 1, started()
         if keys:
-            yield segment()
+            yield from segment()
 
     names = [c.split()[0] for c in _INDEX.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), *[pa.binary()] * 5]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     texts = docs.select(F.col(key).cast("long").alias("k"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).where("k IS NOT NULL")
     return kept(texts.mapInArrow(build, _INDEX), "index")
 
@@ -193,16 +208,15 @@ def _scored(found: DataFrame, asked: DataFrame, wanted, average: float, most: in
                 best[q], r, s = _bests(segment, words, average, most, best[q])
                 read, skipped = read + r, skipped + s
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["segment"] != segment.get("name"):
-                    finish()
-                    segment = {"name": row["segment"], "words": {}}
-                if row["word"] is None:
-                    segment["keys"], segment["lengths"] = np.frombuffer(row["first"], "<i8"), _unpacked(row["counts"])
-                else:
-                    packed = [_unpacked(row[c]) for c in ("first", "counts", "blocks", "tops", "shortest")]
-                    segment["words"][row["word"]] = (np.cumsum(packed[0]), packed[1], np.cumsum(packed[2]), packed[3], packed[4])
+        for name, word, *data in _values(batches, "segment", "word", "first", "counts", "blocks", "tops", "shortest"):
+            if name != segment.get("name"):
+                finish()
+                segment = {"name": name, "words": {}}
+            if word is None:
+                segment["keys"], segment["lengths"] = np.frombuffer(data[0], "<i8"), _unpacked(data[1])
+            else:
+                packed = [_unpacked(x) for x in data]
+                segment["words"][word] = (np.cumsum(packed[0]), packed[1], np.cumsum(packed[2]), packed[3], packed[4])
         finish()
         flat = [(q, k, s, None, None) for q, rows in best.items() for s, k in rows] + [(None, None, None, read, skipped)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], ["query", "key", "score", "read", "skipped"])

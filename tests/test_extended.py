@@ -281,3 +281,15 @@ def test_import_reads_a_name_once_and_gathers_no_title(spark, data):
     _, _, audit = imports._import(spark, data)
     titles = audit.where("category = 'duplicateTitles'")
     assert "collect_list(struct(at" not in titles._jdf.queryExecution().optimizedPlan().toString() and titles.count() > 0
+
+
+def test_segments_end_at_a_number_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "POSTINGS", 1000)
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 500}" for j in range(i % 40))) for i in range(400)]
+    found = ranking.index(spark.createDataFrame(docs, "id long, text string").repartition(1), "id", "text")
+    sizes = found.where("word IS NOT NULL").groupBy("segment").agg(F.sum("n").alias("n")).collect()
+    assert len(sizes) > 5 and max(r["n"] for r in sizes) < 1000 + 40
+    assert found.where("word IS NULL").agg(F.sum("n").alias("n")).first()["n"] == len(docs)
+    results, _ = ranking.search(found, spark.createDataFrame([(1, "w3 w4"), (2, "w499")], "q long, text string"), "q", "text")
+    for q, t in ((1, "w3 w4"), (2, "w499")):
+        assert [(r["key"], r["score"]) for r in results.where(F.col("query") == q).orderBy("rank").collect()] == exhaustive(docs, t, 10)
