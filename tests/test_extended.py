@@ -293,3 +293,8 @@ def test_segments_end_at_a_number_of_postings(spark, monkeypatch):
     results, _ = ranking.search(found, spark.createDataFrame([(1, "w3 w4"), (2, "w499")], "q long, text string"), "q", "text")
     for q, t in ((1, "w3 w4"), (2, "w499")):
         assert [(r["key"], r["score"]) for r in results.where(F.col("query") == q).orderBy("rank").collect()] == exhaustive(docs, t, 10)
+
+
+def test_rows_of_a_small_file_are_dealt_to_many_tasks(spark, data):
+    assert catalog._t(spark, data, "part").rdd.getNumPartitions() == 1
+    assert catalog.queries()["recipe_facts"](spark, data).rdd.getNumPartitions() == 8
