@@ -190,9 +190,14 @@ def nutrients(amounts: Column) -> Column:
 
 
 def parse_line(line: Column) -> Column:
-    """An ingredient line as a struct of quantity, unit, item, preparation and optional.
+    """An ingredient line as a struct of quantity, unit, item, preparation and optional."""
+    return F.get(parse_lines(F.array(line)), F.lit(0))
 
-    Each step reads the one before as a bound value, so no expression is evaluated or planned more than once.
+
+def parse_lines(lines: Column) -> Column:
+    """parse_line() of each line.
+
+    Each step goes over what the one before made of all lines, so no expression is evaluated or planned more than once.
     """
 
     def spelt(raw: Column) -> Column:
@@ -206,43 +211,53 @@ def parse_line(line: Column) -> Column:
         quantity = F.when(high != "", F.concat(low, F.lit("-"), high)).otherwise(low)
         return F.struct(text.alias("text"), quantity.alias("quantity"), F.regexp_replace(text, QUANTITY, "").alias("rest"))
 
-    def unit_of(p: Column) -> Column:
+    def kept(p: Column, *names: str) -> list[Column]:
+        return [p[n].alias(n) for n in names]
+
+    def worded(p: Column) -> Column:
+        metric = F.when(p["quantity"] != "", F.regexp_extract(p["rest"], METRIC, 1)).otherwise(F.lit(""))
         word = F.regexp_replace(F.lower(F.regexp_extract(p["rest"], r"^([^\s,]+)", 1)), r"\.$", "")
-        attached = (p["quantity"] != "") & F.rlike(p["rest"], F.lit(METRIC))
-        unit = F.when(attached, F.lower(F.regexp_extract(p["rest"], METRIC, 1))).when(word.isin(*UNIT_WORDS), word).otherwise(F.lit(""))
-        rest = F.when(attached, F.regexp_replace(p["rest"], METRIC, "")).when(word.isin(*UNIT_WORDS), F.regexp_replace(p["rest"], r"^[^\s,]+\s*", "")).otherwise(p["rest"])
-        return F.struct(p["text"].alias("text"), p["quantity"].alias("quantity"), unit.alias("unit"), rest.alias("rest"))
+        return F.struct(*kept(p, "text", "quantity", "rest"), metric.alias("metric"), word.alias("word"))
+
+    def unit_of(p: Column) -> Column:
+        attached, known = p["metric"] != "", p["word"].isin(*UNIT_WORDS)
+        unit = F.when(attached, F.lower(p["metric"])).when(known, p["word"]).otherwise(F.lit(""))
+        rest = F.when(attached, F.regexp_replace(p["rest"], METRIC, "")).when(known, F.regexp_replace(p["rest"], r"^[^\s,]+\s*", "")).otherwise(p["rest"])
+        return F.struct(*kept(p, "text", "quantity"), unit.alias("unit"), rest.alias("rest"))
 
     def unpacked(p: Column) -> Column:
-        boxed = F.rlike(p["rest"], F.lit(PACKAGE))
+        boxed = F.startswith(p["rest"], F.lit("(")) & F.rlike(p["rest"], F.lit(PACKAGE))
         return F.struct(
-            p["text"].alias("text"), p["quantity"].alias("quantity"), F.when(boxed, F.lower(F.regexp_extract(p["rest"], PACKAGE, 2))).otherwise(p["unit"]).alias("unit"),
-            F.when(boxed, F.trim(F.regexp_extract(p["rest"], PACKAGE, 1))).otherwise(F.lit("")).alias("packed"), F.regexp_replace(p["rest"], PACKAGE, "").alias("rest"),
+            *kept(p, "text", "quantity"), F.when(boxed, F.lower(F.regexp_extract(p["rest"], PACKAGE, 2))).otherwise(p["unit"]).alias("unit"),
+            F.when(boxed, F.trim(F.regexp_extract(p["rest"], PACKAGE, 1))).otherwise(F.lit("")).alias("packed"),
+            F.when(boxed, F.regexp_replace(p["rest"], PACKAGE, "")).otherwise(p["rest"]).alias("rest"),
         )
 
     def parted(p: Column) -> Column:
-        cut = F.rlike(p["rest"], F.lit(PARTED))
-        item = F.trim(F.when(cut, F.regexp_extract(p["rest"], PARTED, 1)).otherwise(p["rest"]))
-        tail = F.when(cut, F.trim(F.regexp_extract(p["rest"], PARTED, 2))).otherwise(F.lit(""))
-        return F.struct(
-            p["text"].alias("text"), p["quantity"].alias("quantity"), p["unit"].alias("unit"), p["packed"].alias("packed"),
-            F.regexp_replace(item, r"^[-–—]\s*", "").alias("item"), tail.alias("tail"),
-        )
+        part = lambda i: F.regexp_extract(p["rest"], PARTED, i)
+        cut = F.when(F.rlike(p["rest"], F.lit(PARTED)), F.struct(part(1).alias("item"), part(2).alias("tail")))
+        return F.struct(*kept(p, "text", "quantity", "unit", "packed", "rest"), cut.alias("cut"))
 
-    def finished(p: Column) -> Column:
+    def itemized(p: Column) -> Column:
+        item = F.trim(F.coalesce(p["cut"]["item"], p["rest"]))
+        tail = F.coalesce(F.trim(p["cut"]["tail"]), F.lit(""))
+        return F.struct(*kept(p, "text", "quantity", "unit", "packed"), F.regexp_replace(item, r"^[-–—]\s*", "").alias("item"), tail.alias("tail"))
+
+    def led(p: Column) -> Column:
         lead = F.regexp_extract(p["item"], rf"(?i)^((?:(?:{'|'.join(PREPARATION)}),?\s+)+)\S", 1)
-        item = F.trim(F.substr(p["item"], F.length(lead) + 1))
-        preparation = F.array_join(F.filter(F.array(p["packed"], F.trim(lead), p["tail"]), lambda x: x != ""), ", ")
+        return F.struct(*kept(p, "text", "quantity", "unit", "packed", "item", "tail"), lead.alias("lead"))
+
+    def finished(p: Column) -> Column:
+        item = F.trim(F.substr(p["item"], F.length(p["lead"]) + 1))
+        preparation = F.array_join(F.filter(F.array(p["packed"], F.trim(p["lead"]), p["tail"]), lambda x: x != ""), ", ")
         optional = F.rlike(p["text"], F.lit(r"(?i)(?<![0-9a-z_])optional(?![0-9a-z_])"))
         fallback = F.when(p["text"] == "", F.lit("unknown ingredient")).otherwise(p["text"])
-        return F.struct(
-            F.when(item == "", fallback).otherwise(item).alias("item"), p["quantity"].alias("quantity"), p["unit"].alias("unit"), preparation.alias("preparation"), optional.alias("optional")
-        )
+        return F.struct(F.when(item == "", fallback).otherwise(item).alias("item"), *kept(p, "quantity", "unit"), preparation.alias("preparation"), optional.alias("optional"))
 
-    value = F.trim(F.coalesce(line, F.lit("")))
-    for step in (spelt, measured, unit_of, unpacked, parted, finished):
-        value = bound(value, step)
-    return value
+    values = F.transform(lines, lambda line: spelt(F.trim(F.coalesce(line, F.lit("")))))
+    for step in (measured, worded, unit_of, unpacked, parted, itemized, led, finished):
+        values = F.transform(values, step)
+    return values
 
 
 def strict_date(text: Column) -> Column:

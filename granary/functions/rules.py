@@ -65,10 +65,24 @@ def meal_type(text: Column) -> Column:
     return first_match(text, MEAL_TYPES, "other")
 
 
+def _by_letter(terms: list[str]) -> str:
+    """Alternatives by their first letter, so a place of a text tries those of its own letter only."""
+    letters: dict[str, list[str]] = {}
+    for term in terms:
+        letters.setdefault(term[0], []).append(term[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rests)})" for letter, rests in letters.items())
+
+
 def action(clause: Column) -> Column:
-    """An accent is no word character, so a word that ends in one only ends where another letter follows."""
-    ends = lambda p: "|".join(x if x.endswith(")") else f"{x}{E}" for x in p.split("|"))
-    return first_match(clause, [(label, f"(?i)(?:{ends(p)})") for label, p in ACTIONS], "prepare")
+    """An accent is no word character, so a word that ends in one only ends where another letter follows.
+
+    The clause is read once for all terms: a term ends where its word does, so none hides another's action.
+    """
+    terms = [(x, i) for i, (_, p) in enumerate(ACTIONS) for x in p.split("|")]
+    pattern = f"(?i)(?:{_by_letter([x if x.endswith(')') else x + E for x, _ in terms])})"
+    places = F.create_map(*[F.lit(y) for x, i in terms for y in (x.split("(")[0].replace("[éÉ]", "é"), i)])
+    found = F.transform(F.regexp_extract_all(clause, F.lit(pattern), F.lit(0)), lambda x: F.try_element_at(places, F.lower(x)))
+    return F.coalesce(F.get(F.array(*[F.lit(label) for label, _ in ACTIONS]), F.array_min(found)), F.lit("prepare"))
 
 
 def allergens(text: Column) -> Column:
@@ -119,13 +133,28 @@ def endpoint(clause: Column) -> Column:
     return F.lower(F.regexp_extract(clause, ENDPOINTS, 0))
 
 
+def named_by(items: Column) -> Column:
+    """Items as structs with the words that name them in a clause: those of four letters or more, lower-cased."""
+    words_of = lambda item: F.transform(F.filter(F.split(item, r"\s+"), lambda w: F.length(w) >= 4), lambda w: F.lower(w))
+    return F.transform(items, lambda item: F.struct(item.alias("item"), words_of(item).alias("words")))
+
+
 def operation(clause: Column, items: Column) -> Column:
     """A clause as a struct of action, the items it names (a word of four letters or more), temperature_f, duration_minutes and endpoint."""
-    low = F.lower(clause)
-    named = F.filter(items, lambda item: F.exists(F.split(item, r"\s+"), lambda w: (F.length(w) >= 4) & F.contains(low, F.lower(w))))
-    return F.struct(
-        action(clause).alias("action"), F.array_distinct(named).alias("ingredients"), clause_fahrenheit(clause).alias("temperature_f"), clause_minutes(clause).alias("duration_minutes"), endpoint(clause).alias("endpoint")
-    )
+    return F.get(operations(F.array(clause), named_by(items)), F.lit(0))
+
+
+def operations(found: Column, named: Column) -> Column:
+    """operation() of each clause, by items as named_by() gives them."""
+
+    def one(clause: Column) -> Column:
+        foods = bound(F.lower(clause), lambda low: F.filter(named, lambda x: F.exists(x["words"], lambda w: F.contains(low, w))))
+        return F.struct(
+            action(clause).alias("action"), F.array_distinct(F.transform(foods, lambda x: x["item"])).alias("ingredients"), clause_fahrenheit(clause).alias("temperature_f"),
+            clause_minutes(clause).alias("duration_minutes"), endpoint(clause).alias("endpoint"),
+        )
+
+    return F.transform(found, one)
 
 
 def cuisine_of(categories: Column) -> Column:

@@ -145,14 +145,17 @@ def _kept(lines: Column) -> Column:
 def facts(extracted: Column) -> Column:
     """A candidate's facts (struct): parsed ingredients, one operation a clause, types, flags, and whether it is complete."""
 
-    def parsed(p: Column) -> Column:
-        return F.struct(p["e"].alias("e"), p["lines"].alias("lines"), p["steps"].alias("steps"), F.transform(p["lines"], numbers.parse_line).alias("ingredients"))
+    def listed(e: Column) -> Column:
+        tags = F.filter(F.coalesce(e["categories"], F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))
+        return F.struct(
+            e["name"].alias("name"), e["yield"].alias("yield"), e["times"].alias("times"), tags.alias("tags"),
+            numbers.parse_lines(_kept(e["ingredient_lines"])).alias("ingredients"), _kept(e["instruction_lines"]).alias("steps"),
+        )
 
-    def made(p: Column) -> Column:
-        e, items = p["e"], F.transform(p["ingredients"], lambda i: i["item"])
+    def made(e: Column) -> Column:
+        tags, steps, items = e["tags"], e["steps"], F.transform(e["ingredients"], lambda i: i["item"])
         name, quantity = F.trim(F.coalesce(e["name"], F.lit(""))), F.coalesce(e["yield"]["quantity"], F.lit(0.0))
-        complete = (name != "") & (F.size(p["lines"]) >= 2) & (F.size(p["steps"]) >= 1) & (quantity > 0)
-        tags = F.filter(F.coalesce(e["categories"], F.array().cast("array<string>")), lambda c: c.isNotNull() & (c != ""))
+        complete = (name != "") & (F.size(e["ingredients"]) >= 2) & (F.size(steps) >= 1) & (quantity > 0)
         minutes = lambda k: F.greatest(F.lit(0), F.coalesce(e["times"][k], F.lit(0))).cast("long").alias(k)
         reason = F.when(complete, F.lit("Facts extracted deterministically from structured candidate fields.")).otherwise(
             F.lit("Candidate is missing a title, yield, two ingredients, or cooking instructions.")
@@ -162,9 +165,8 @@ def facts(extracted: Column) -> Column:
             rules.meal_type(F.concat_ws(" ", F.coalesce(e["name"], F.lit("")), F.array_join(tags, " "))).alias("meal_type"), rules.cuisine_of(tags).alias("cuisine"),
             F.struct(quantity.alias("quantity"), F.coalesce(e["yield"]["unit"], F.lit("")).alias("unit")).alias("yield"),
             F.struct(*[minutes(k) for k in ("prep_minutes", "cook_minutes", "inactive_minutes")]).alias("times"),
-            p["ingredients"].alias("ingredients"), F.transform(rules.clauses(p["steps"]), lambda c: rules.operation(c, items)).alias("operations"),
-            tags.alias("tags"), rules.safety_flags(items, p["steps"]).alias("safety_flags"),
+            e["ingredients"].alias("ingredients"), bound(rules.named_by(items), lambda named: rules.operations(rules.clauses(steps), named)).alias("operations"),
+            tags.alias("tags"), rules.safety_flags(items, steps).alias("safety_flags"),
         )
 
-    start = F.struct(extracted.alias("e"), _kept(extracted["ingredient_lines"]).alias("lines"), _kept(extracted["instruction_lines"]).alias("steps"))
-    return bound(bound(start, parsed), made)
+    return bound(bound(extracted, listed), made)  # the JSON and the items are made once, not once for each use or clause

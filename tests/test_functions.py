@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import numbers, rules, text, urls
-from granary.operators import gates, materialize, personal, publish, resolve, search, similarity
+from granary.operators import candidates, gates, materialize, personal, publish, resolve, search, similarity
 from granary.sources import records
 from granary.streaming import ledgers
 
@@ -83,6 +83,27 @@ def test_rules(spark):
         assert value(spark, rules.disposition(F.lit(prose), F.lit(step), F.array().cast("array<string>"), F.lit(False)))["mode"] == mode
 
 
+def test_actions_read_a_clause_once(spark):
+    terms = [x if x.endswith(")") else x + rules.E for _, p in rules.ACTIONS for x in p.split("|")]
+    rules_of = [(label, "(?i)(?:" + "|".join(x if x.endswith(")") else x + rules.E for x in p.split("|")) + ")") for label, p in rules.ACTIONS]
+    words = [t.split("(")[0].replace("[éÉ]", "É") for t in terms]
+    clauses = [a + b for i, a in enumerate(words) for b in ("", "ed", " x", "é", *(sep + words[(i * 7 + k) % len(words)] for k in range(1, 9) for sep in (" ", "", "-")))]
+    rows = spark.createDataFrame([(c,) for c in [*clauses, "", "stop", None]], "c string").repartition(8)
+    got = rows.select(rules.action(F.col("c")).alias("a"), rules.first_match(F.col("c"), rules_of, "prepare").alias("b"))
+    assert got.where("NOT a <=> b").count() == 0 and got.select("a").distinct().count() == len(rules.ACTIONS) + 1
+    plan = got.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("regexp_extract_all(") == 1
+
+
+def test_facts_parse_their_json_once(spark):
+    text_of = lambda n: json.dumps({"name": n, "yield": {"quantity": 1}, "ingredient_lines": ["1 egg", "2 cups flour", " "], "instruction_lines": ["Beat eggs; add flour", "", None]})
+    found = spark.createDataFrame([(text_of("Cake"),), (None,)], "x string").select(candidates.facts(F.from_json("x", candidates.EXTRACTED)).alias("f"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    cake, nothing = (r["f"] for r in found.collect())
+    assert (cake.status, cake.meal_type, [(o.action, o.ingredients) for o in cake.operations]) == ("usable", "dessert", [("whisk", []), ("add", ["flour"])])
+    assert (nothing.status, nothing.base_name, nothing.ingredients, nothing.operations) == ("skip", "", [], [])
+
+
 def test_similarity_of_equal_steps_is_100(spark):
     assert value(spark, similarity.max_step_percent(F.col("a"), F.col("b")), a=["mix the two parts"], b=["x y z", "Mix the two parts!"]) == 100.0
     assert value(spark, similarity.max_step_percent(F.col("a"), F.col("b")), a=[], b=["x"]) == 0.0
